@@ -16,6 +16,9 @@ TIMESTAMP_PATTERNS = (
     "MMM dd yyyy HH:mm:ss",
 )
 
+# No layout is longer, so long text need not be parsed at all.
+LONGEST_TIMESTAMP = 64
+
 MICROS_PER_DAY = 86_400_000_000
 
 
@@ -27,7 +30,8 @@ def parse_ts(text: Column) -> Column:
     """
     trimmed = F.trim(text)
     iso = F.when(trimmed.rlike("^[0-9]{4}"), F.try_to_timestamp(trimmed))
-    return F.coalesce(iso, *[F.try_to_timestamp(trimmed, F.lit(p)) for p in TIMESTAMP_PATTERNS])
+    parsed = F.coalesce(iso, *[F.try_to_timestamp(trimmed, F.lit(p)) for p in TIMESTAMP_PATTERNS])
+    return F.when(F.length(trimmed) <= LONGEST_TIMESTAMP, parsed)
 
 
 def to_number(value: Column) -> Column:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.functions.columns import drop_columns, numeric_columns, quoted
+from tributary.functions.columns import clip, drop_columns, numeric_columns, quoted
 from tributary.operators.aggregates import constant_flags, null_fractions, variance_ranking
 
 PAIR_SCHEMA = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
@@ -80,8 +80,8 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     return sums.select(
         F.get(name_of, F.col("i")).alias("a"),
         F.get(name_of, F.col("j")).alias("b"),
-        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("r"),
-    ).select("a", "b", F.when(F.col("r").isNotNull() & ~F.isnan("r"), F.col("r")).alias("r"))
+        clip(r, -1.0, 1.0).alias("r"),
+    )
 
 
 def correlated_columns(df: DataFrame, threshold: float = 0.95, columns: Sequence[str] | None = None) -> list[str]:
