@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -162,6 +161,3 @@ def protect_pii(df: DataFrame, columns: Iterable[str], *, hashed: bool = True, s
         for c in df.columns
     ])
 
-
-def any_of(conditions: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

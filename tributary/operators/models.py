@@ -7,16 +7,14 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from tributary.functions.columns import hash_fraction, quoted
-from tributary.operators.metrics import with_class_weight
+from tributary.operators.metrics import accuracy, rmse, roc_auc_unrounded, with_class_weight
 from tributary.operators.quantiles import exact_quantiles
 from tributary.operators.split import assign_folds
 from tributary.sources.tables import union_rows
@@ -98,7 +96,7 @@ class FittedModel:
     pipeline: PipelineModel = field(repr=False)
 
     def prepare(self, df: DataFrame) -> DataFrame:
-        return self.scaler.transform(self.imputer.transform(df))
+        return _with_vector(self.scaler.transform(self.imputer.transform(df)), self.features)
 
     def score(self, df: DataFrame) -> DataFrame:
         """The rows with ``prediction``, and ``probability`` of class 1 for a two-class model."""
@@ -119,7 +117,35 @@ class FittedModel:
         return sorted(zip(self.features, map(float, values)), key=lambda fv: (-fv[1], fv[0]))
 
     def save(self, path: str) -> None:
-        self.pipeline.write().overwrite().save(path)
+        """Write the model, and the preparation as one row per feature."""
+        self.pipeline.write().overwrite().save(f"{path}/model")
+        rows = [
+            (i, c, self.imputer.medians[c], float(self.scaler.means[c]), float(self.scaler.deviations[c]))
+            for i, c in enumerate(self.features)
+        ]
+        o = self.options
+        described = SparkSession.active().createDataFrame(
+            rows, "position int, feature string, median double, mean double, deviation double"
+        ).withColumns({"label": F.lit(self.label), "kind": F.lit(o.kind), "task": F.lit(o.task)})
+        described.write.mode("overwrite").parquet(f"{path}/features")
+
+    @staticmethod
+    def load(path: str) -> FittedModel:
+        rows = SparkSession.active().read.parquet(f"{path}/features").orderBy("position").collect()
+        names = [r["feature"] for r in rows]
+        return FittedModel(
+            names,
+            rows[0]["label"],
+            ModelOptions(rows[0]["kind"], rows[0]["task"]),
+            Imputer({r["feature"]: r["median"] for r in rows}),
+            Scaler({r["feature"]: r["mean"] for r in rows}, {r["feature"]: r["deviation"] for r in rows}),
+            PipelineModel.load(f"{path}/model"),
+        )
+
+
+def _with_vector(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Feature names may hold dots and brackets, so columns are packed by expression."""
+    return df.withColumn("__features", array_to_vector(F.array(*[quoted(c) for c in names])))
 
 
 def _estimator(o: ModelOptions, rows: int, label: str):
@@ -162,10 +188,11 @@ def fit_model(
     if o.kind == "boosted" and o.early_stopping:
         pick = [quoted(key)] if key else [quoted(c) for c in names]
         ready = ready.withColumn("__validation", hash_fraction(o.seed, *pick) < F.lit(o.validation_share))
-    ready = ready.withColumn(label, quoted(label).cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = [c for c in ("weight", "__validation") if c in ready.columns]
+    ready = _with_vector(ready, names).select("__features", quoted(label).cast("double").alias(label), *kept)
+    ready = ready.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        assembler = VectorAssembler(inputCols=names, outputCol="__features")
-        pipeline = Pipeline(stages=[assembler, _estimator(o, ready.count(), label)]).fit(ready)
+        pipeline = Pipeline(stages=[_estimator(o, ready.count(), label)]).fit(ready)
     finally:
         ready.unpersist()
     return FittedModel(names, label, o, imputer, scaler, pipeline)
@@ -173,14 +200,13 @@ def fit_model(
 
 def evaluate(model: FittedModel, test: DataFrame) -> dict[str, float]:
     """Accuracy and ROC AUC for classes, RMSE otherwise; AUC is left out if undefined."""
-    scored = model.score(test).withColumn(model.label, quoted(model.label).cast("double"))
+    scored = model.score(test)
     if model.options.task == REGRESSION:
-        return {"rmse": RegressionEvaluator(labelCol=model.label, metricName="rmse").evaluate(scored)}
-    out = {"accuracy": MulticlassClassificationEvaluator(labelCol=model.label, metricName="accuracy").evaluate(scored)}
+        return {"rmse": rmse(scored, model.label, "prediction").first()["rmse"]}
+    out = {"accuracy": accuracy(scored, model.label, "prediction").first()["accuracy"]}
     classes = scored.agg(F.min(quoted(model.label)), F.max(quoted(model.label))).first()
-    if classes[0] == 0.0 and classes[1] == 1.0:
-        ranked = BinaryClassificationEvaluator(labelCol=model.label, rawPredictionCol="probability", numBins=0)
-        out["roc_auc"] = ranked.evaluate(scored)
+    if tuple(classes) == (0, 1):
+        out["roc_auc"] = roc_auc_unrounded(scored, model.label, "probability")
     return out
 
 
@@ -233,7 +259,3 @@ def out_of_fold(
         kept = [key, label, "fold", "prediction"] + (["probability"] if "probability" in held.columns else [])
         parts.append(held.select(*[quoted(c) for c in kept]))
     return union_rows(*parts)
-
-
-def load_pipeline(path: str) -> PipelineModel:
-    return PipelineModel.load(path)

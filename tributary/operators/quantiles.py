@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.functions.columns import any_of, quoted
+from tributary.functions.columns import quoted
 
 # Distinct values, over all targets, that the last step may bring to the driver.
 FINISH_VALUES = 65_536
@@ -120,14 +120,11 @@ def _finish(df: DataFrame, targets: list[_Target]) -> None:
     same_type = len({df.schema[t.column].dataType.simpleString() for t in lead}) == 1
     value = lambda t: quoted(t.column) if same_type else quoted(t.column).cast("double")
     picks = F.array(*[
-        F.struct(F.lit(i).alias("g"), F.when(t.in_play(), value(t)).alias("v")) for i, t in enumerate(lead)
+        F.when(t.in_play(), F.struct(F.lit(i).alias("g"), value(t).alias("v"))) for i, t in enumerate(lead)
     ])
     left = (
-        df.where(any_of(t.in_play() for t in lead))
-        .select(F.explode(picks).alias("p"))
-        .select("p.g", "p.v")
-        .where(F.col("v").isNotNull())
-        .groupBy("g", "v")
+        df.select(F.explode(F.array_compact(picks)).alias("p"))
+        .groupBy("p.g", "p.v")
         .count()
         .toPandas()
     )

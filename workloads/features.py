@@ -352,6 +352,21 @@ def feature_matrix(spark, sf_dir) -> DataFrame:
     return out.select(*shown)
 
 
+FEATURE_MATRIX_SQL = f"""
+WITH l AS (
+  SELECT orders.*, c_acctbal, c_custkey, c_nationkey,
+         lag(o_totalprice, 1) OVER (ORDER BY o_orderdate, o_orderkey) AS o_totalprice_lag_1
+  FROM orders LEFT JOIN customer ON c_custkey = o_custkey)
+SELECT c_acctbal AS c_acctbal_mean, c_custkey::DOUBLE AS c_custkey_mean, c_nationkey::DOUBLE AS c_nationkey_mean,
+       {stamp_sql("o_orderdate")} AS o_orderdate, o_orderkey, o_orderpriority, o_orderstatus, o_totalprice,
+       o_totalprice_lag_1,
+       {rounded_sql("avg(o_totalprice_lag_1) OVER (ORDER BY o_orderdate, o_orderkey ROWS 2 PRECEDING)", 4)}
+         AS o_totalprice_lag_1_roll_mean_3,
+       {rounded_sql("avg(o_totalprice) OVER (ORDER BY o_orderdate, o_orderkey ROWS 2 PRECEDING)", 4)}
+         AS o_totalprice_roll_mean_3
+FROM l"""
+
+
 # --- splits --------------------------------------------------------------------
 
 
@@ -425,6 +440,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "feature_matrix": FEATURE_MATRIX_SQL,
     "aggregate_join": AGGREGATE_JOIN_SQL,
     "deep_features": _deep_sql(1),
     "deep_features_2": _deep_sql(2),
