@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tributary.functions.columns import is_numeric, parse_ts, quoted
+from tributary.session import durable
 from tributary.sources.tables import union_rows
 
 KEY_RATIO = 0.98
 KEY_MIN_ROWS = 10
+BITS = 62  # columns per word in a set of columns
 TIME_RATIO = 0.9
 OVERLAP_RATIO = 0.9
 OVERLAP_MIN_VALUES = 5
@@ -38,39 +40,43 @@ def _comparable(data_type: T.DataType) -> bool:
 
 
 def candidate_keys(df: DataFrame) -> DataFrame:
-    """``column, non_null, n_distinct`` of columns that are unique in over 98% of their values.
+    """``column, non_null, n_distinct`` of columns that are unique in over 98% of their values."""
+    return candidate_keys_of({"": df}).drop("table")
 
-    Distinct counts are estimated for all columns in one aggregate; only columns
-    near the bar are counted exactly.
+
+def candidate_keys_of(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """The same for several tables, with the table's name.
+
+    Distinct counts are estimated from sketches; only columns near the bar are
+    counted exactly. Each of the two steps is one job over all tables.
     """
-    spark = df.sparkSession
-    names = [f.name for f in df.schema if _comparable(f.dataType)]
-    result_schema = "column string, non_null bigint, n_distinct bigint"
-    if not names:
-        return spark.createDataFrame([], result_schema)
-    estimate = df.agg(*[
-        part
-        for i, c in enumerate(names)
-        for part in (
-            F.count(quoted(c)).alias(f"n{i}"),
-            F.hll_sketch_estimate(F.hll_sketch_agg(quoted(c).cast("string"), SKETCH_BITS)).alias(f"d{i}"),
-        )
-    ]).first()
-    close = [
-        i
-        for i in range(len(names))
-        if estimate[f"n{i}"] > KEY_MIN_ROWS and estimate[f"d{i}"] >= ESTIMATE_FLOOR * estimate[f"n{i}"]
-    ]
-    if not close:
-        return spark.createDataFrame([], result_schema)
-    exact = df.agg(*[F.count_distinct(_short(quoted(names[i]), df.schema[names[i]].dataType)).alias(f"d{i}") for i in close])
-    found = exact.first()
-    rows = [
-        (names[i], estimate[f"n{i}"], found[f"d{i}"])
-        for i in close
-        if found[f"d{i}"] / estimate[f"n{i}"] > KEY_RATIO
-    ]
-    return spark.createDataFrame(rows, result_schema)
+    spark = next(iter(tables.values())).sparkSession
+    names = {t: [f.name for f in df.schema if _comparable(f.dataType)] for t, df in sorted(tables.items())}
+    estimates = _counts(tables, names, lambda c, _: F.hll_sketch_estimate(F.hll_sketch_agg(c.cast("string"), SKETCH_BITS)))
+    close: dict[str, list[str]] = {}
+    for (t, c), (n, distinct) in estimates.items():
+        if n > KEY_MIN_ROWS and distinct >= ESTIMATE_FLOOR * n:
+            close.setdefault(t, []).append(c)
+    exact = _counts(tables, close, lambda c, kind: F.count_distinct(_short(c, kind)))
+    rows = [(t, c, n, distinct) for (t, c), (n, distinct) in sorted(exact.items()) if distinct / n > KEY_RATIO]
+    return spark.createDataFrame(rows, "table string, column string, non_null bigint, n_distinct bigint")
+
+
+def _counts(tables, names, distinct) -> dict[tuple[str, str], tuple[int, int]]:
+    """``(non-null, distinct)`` per table and column: one job, in which each branch reads one column.
+
+    One aggregate with several distinct counts would copy every row per column.
+    """
+    parts = []
+    for t, columns in names.items():
+        types = {f.name: f.dataType for f in tables[t].schema}
+        for c in columns:
+            parts.append(tables[t].agg(F.count(quoted(c)).alias("n"), distinct(quoted(c), types[c]).alias("d")).select(
+                F.lit(t).alias("t"), F.lit(c).alias("c"), "n", "d"
+            ))
+    if not parts:
+        return {}
+    return {(r["t"], r["c"]): (r["n"], r["d"]) for r in union_rows(*parts).collect()}
 
 
 def _short(value: Column, data_type: T.DataType) -> Column:
@@ -129,20 +135,25 @@ def _value_class(data_type: T.DataType) -> str | None:
 
 
 def _canonical(value: Column, data_type: T.DataType) -> Column:
-    """One text per value, so that 1, 1.0 and true meet and long text is a digest."""
+    """A struct that is equal for equal values: 1, 1.0 and true meet, long text is a digest.
+
+    Whole numbers and times stay integers, so most values are grouped without
+    being turned to text.
+    """
     kind = _value_class(data_type)
+    whole, fraction, text = F.lit(None).cast("bigint"), F.lit(None).cast("double"), F.lit(None).cast("string")
     if kind == "text":
-        return _short(value, data_type)
-    if kind == "time":
-        return F.unix_micros(value.cast("timestamp")).cast("string")
-    if isinstance(data_type, (T.FloatType, T.DoubleType)):
-        whole = (value == F.floor(value)) & (F.abs(value) < F.lit(9.0e18))
-        return F.when(whole, F.when(whole, value).cast("bigint").cast("string")).otherwise(value.cast("string"))
-    if isinstance(data_type, T.BooleanType):
-        return value.cast("int").cast("string")
-    if isinstance(data_type, T.DecimalType):
-        return F.regexp_replace(value.cast("string"), r"\.?0+$", "") if data_type.scale else value.cast("string")
-    return value.cast("string")
+        text = _short(value, data_type)
+    elif kind == "time":
+        whole = F.unix_micros(value.cast("timestamp"))
+    elif isinstance(data_type, (T.FloatType, T.DoubleType, T.DecimalType)):
+        number = value.cast("double")
+        is_whole = (number == F.floor(number)) & (F.abs(number) < F.lit(9.0e18))
+        whole = F.when(is_whole, F.when(is_whole, number).cast("bigint"))
+        fraction = F.when(~is_whole, number)
+    else:
+        whole = value.cast("bigint")
+    return F.struct(F.lit(kind).alias("class"), whole.alias("whole"), fraction.alias("fraction"), text.alias("text"))
 
 
 def relationships(
@@ -172,25 +183,25 @@ def relationships(
     numbered = [(i, a) for i, a in enumerate(attributes) if a[2] in key_classes]
     if not key_classes:
         return spark.createDataFrame([], schema)
+    words = len(attributes) // BITS + 1
+    # Each branch reads one column only, so the tables are still read once in all.
     parts = []
-    for name, df in sorted(tables.items()):
-        own = [(i, a) for i, a in numbered if a[0] == name]
-        if own:
-            cells = [
-                F.struct(
-                    F.lit(i).alias("attribute"),
-                    F.lit(kind).alias("class"),
-                    _canonical(quoted(c), df.schema[c].dataType).alias("value"),
-                )
-                for i, (_, c, kind, _) in own
-            ]
-            parts.append(df.select(F.explode(F.array(*cells)).alias("x")).select("x.*").where("value is not null"))
-    # First per column and value, so that a frequent value is reduced before it travels.
-    distinct = union_rows(*parts).distinct()
-    holders = distinct.groupBy("class", "value").agg(F.collect_set("attribute").alias("holders"))
+    for i, (name, c, _, _) in numbered:
+        df = tables[name]
+        value = _canonical(quoted(c), df.schema[c].dataType)
+        bit = F.lit(1 << (i % BITS)).cast("bigint")
+        parts.append(df.where(quoted(c).isNotNull()).select(value.alias("value"), F.lit(i // BITS).alias("word"), bit.alias("bit")))
+    # The set of columns that hold a value is a few words of bits, built up on the
+    # map side, so a frequent value is reduced before it travels.
+    holders = [F.coalesce(F.bit_or(F.when(F.col("word") == w, F.col("bit"))), F.lit(0)).alias(f"w{w}") for w in range(words)]
+    values = union_rows(*parts).groupBy("value").agg(*holders)
+    # Sets repeat a lot; counting equal sets leaves few rows to pair up.
+    sets = durable(values.groupBy(*[f"w{w}" for w in range(words)]).agg(F.count(F.lit(1)).alias("n")), "column-sets")
+    members = [
+        F.when(F.col(f"w{i // BITS}").bitwiseAND(F.lit(1 << (i % BITS)).cast("bigint")) != 0, F.lit(i)) for i, _ in numbered
+    ]
+    patterns = sets.select(F.array_compact(F.array(*members)).alias("holders"), "n")
     key_ids = F.array(*[F.lit(i) for i, a in numbered if a[3]])
-    # Holder sets repeat a lot; counting the sets first leaves few rows to pair up.
-    patterns = holders.groupBy(F.array_sort("holders").alias("holders")).agg(F.count("*").alias("n"))
     sizes = patterns.select(F.explode("holders").alias("attribute"), "n").groupBy("attribute").agg(F.sum("n").alias("size"))
     table_of = F.create_map(*[x for i, a in numbered for x in (F.lit(i), F.lit(a[0]))])
     column_of = F.create_map(*[x for i, a in numbered for x in (F.lit(i), F.lit(a[1]))])

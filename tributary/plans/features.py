@@ -13,7 +13,7 @@ from tributary.operators.joins import aggregate_join
 from tributary.operators.profile import (
     Relationship,
     as_relationships,
-    candidate_keys,
+    candidate_keys_of,
     choose_anchor,
     relationships,
     time_column,
@@ -58,7 +58,10 @@ class FeatureMatrix:
 
 
 def find_keys(tables: Mapping[str, DataFrame]) -> dict[str, list[str]]:
-    return {name: [r["column"] for r in candidate_keys(df).collect()] for name, df in sorted(tables.items())}
+    found: dict[str, list[str]] = {name: [] for name in sorted(tables)}
+    for r in candidate_keys_of(tables).collect():
+        found[r["table"]].append(r["column"])
+    return found
 
 
 def _row_key(anchor: DataFrame, options: FeatureOptions, found: Sequence[str]) -> tuple[DataFrame, str]:

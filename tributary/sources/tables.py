@@ -133,10 +133,11 @@ def size_report(tables: dict[str, DataFrame], max_rows: int = 2_000_000) -> Data
 
 def union_rows(*frames: DataFrame) -> DataFrame:
     """All rows of all frames, matched by column name; absent columns become null."""
-    out = frames[0]
-    for other in frames[1:]:
-        out = out.unionByName(other, allowMissingColumns=True)
-    return out
+    if len(frames) == 1:
+        return frames[0]
+    # Halves, so that many frames do not nest as many levels deep.
+    middle = len(frames) // 2
+    return union_rows(*frames[:middle]).unionByName(union_rows(*frames[middle:]), allowMissingColumns=True)
 
 
 def write_features(df: DataFrame, path: str) -> None:

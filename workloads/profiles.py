@@ -51,11 +51,8 @@ def _each_column(kinds=("int", "double", "text", "time")):
 
 
 def candidate_keys(spark, sf_dir) -> DataFrame:
-    parts = [
-        profile.candidate_keys(df).select(F.lit(name).alias("table_name"), F.col("column").alias("column_name"), "non_null", "n_distinct")
-        for name, df in sorted(load_all(spark, sf_dir).items())
-    ]
-    return union_rows(*parts)
+    found = profile.candidate_keys_of(load_all(spark, sf_dir))
+    return found.withColumnsRenamed({"table": "table_name", "column": "column_name"})
 
 
 _KEY_STATS = " UNION ALL ".join(

@@ -19,9 +19,17 @@ TABLE_NAMES = (
 )
 
 
+_loaded: dict[tuple[str, str], DataFrame] = {}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    configure(spark)
-    return read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A given table; files are listed and the schema is read once per application."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    known = (spark.sparkContext.applicationId, path)
+    if known not in _loaded:
+        configure(spark)
+        _loaded[known] = read_table(spark, path)
+    return _loaded[known]
 
 
 def load_all(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
