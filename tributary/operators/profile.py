@@ -58,7 +58,9 @@ def candidate_keys_of(tables: Mapping[str, DataFrame]) -> DataFrame:
         if n > KEY_MIN_ROWS and distinct >= ESTIMATE_FLOOR * n:
             close.setdefault(t, []).append(c)
     exact = _counts(tables, close, lambda c, kind: F.count_distinct(_short(c, kind)))
-    rows = [(t, c, n, distinct) for (t, c), (n, distinct) in sorted(exact.items()) if distinct / n > KEY_RATIO]
+    # In the order of the columns, as the first key of a table is its main one.
+    listed = [(t, c, *exact[t, c]) for t, columns in close.items() for c in columns]
+    rows = [(t, c, n, distinct) for t, c, n, distinct in listed if distinct / n > KEY_RATIO]
     return spark.createDataFrame(rows, "table string, column string, non_null bigint, n_distinct bigint")
 
 
