@@ -119,7 +119,7 @@ def test_matrix_to_model(spark):
         F.col("id").alias("vid"),
         (F.col("id") % 200).alias("user_ref"),
         F.timestamp_micros(F.col("id") * 1_000_000).alias("at"),
-        ((F.col("id") * 7919) % 101).cast("double").alias("spent"),
+        ((F.col("id") * 7919) % 101 + F.lit(0.25)).alias("spent"),
         ((F.col("id") % 200) % 7 > 3).cast("int").alias("target"),
         F.lit("same").alias("fixed"),
     )

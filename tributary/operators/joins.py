@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tributary.functions.columns import numeric_columns, quoted
 from tributary.operators.profile import Relationship
 from tributary.operators.sequence import number_rows
-from tributary.operators.skew import HOT_ROWS, hot_keys, lookup_join
+from tributary.operators.skew import HOT_ROWS, fits_broadcast, hot_keys, lookup_join
 from tributary.sources.tables import union_rows
 
 AGGREGATES = ("count", "sum", "mean")
@@ -23,6 +23,10 @@ def _joinable(a: T.DataType, b: T.DataType) -> bool:
     return a == b
 
 
+def _taken(label: str, columns: Sequence[str], df: DataFrame) -> bool:
+    return bool({f"{label}{c}_{a}" for c in columns for a in AGGREGATES} & set(df.columns))
+
+
 def aggregate_join(
     anchor: DataFrame,
     tables: Mapping[str, DataFrame],
@@ -36,8 +40,9 @@ def aggregate_join(
     A relationship applies wherever the anchor has a column named ``child_col``.
     Names are ``column_count`` and so on; a relationship whose names are taken
     already is left out, so the first one wins. ``prefix=True`` names columns
-    ``parent__column_count`` instead and keeps all. All of this is settled from
-    schemas before any join is planned.
+    ``parent__column_count`` instead, and ``parent__child_col__column_count`` for a
+    further relationship with the same parent, so all apply. All of this is
+    settled from schemas before any join is planned.
     """
     hot: dict[str, list] = {}
     anchor_types = {f.name: f.dataType for f in anchor.schema}
@@ -52,8 +57,9 @@ def aggregate_join(
         if not columns or not _joinable(parent.schema[r.parent_col].dataType, anchor_types[r.child_col]):
             continue
         label = f"{r.parent}__" if prefix else ""
-        names = [f"{label}{c}_{a}" for c in columns for a in AGGREGATES]
-        if set(names) & set(out.columns):
+        if _taken(label, columns, out) and prefix:
+            label = f"{r.parent}__{r.child_col}__"
+        if _taken(label, columns, out):
             continue
         parts: list[Column] = []
         for c in columns:
@@ -66,9 +72,11 @@ def aggregate_join(
         grouped = (
             parent.where(quoted(r.parent_col).isNotNull()).groupBy(quoted(r.parent_col).alias("__parent_key")).agg(*parts)
         )
-        if r.child_col not in hot:
-            hot[r.child_col] = hot_keys(anchor.select(quoted(r.child_col)), r.child_col, hot_rows)
-        out = lookup_join(out, grouped, r.child_col, "__parent_key", hot=hot[r.child_col])
+        if r.child_col not in hot and not fits_broadcast(grouped):
+            # Looked for in the anchor itself, which is cheaper to read than the join so far.
+            source = anchor if r.child_col in anchor.columns else out
+            hot[r.child_col] = hot_keys(source.select(quoted(r.child_col)), r.child_col, hot_rows)
+        out = lookup_join(out, grouped, r.child_col, "__parent_key", hot=hot.get(r.child_col, []))
         anchor_types = {f.name: f.dataType for f in out.schema}
     return out
 

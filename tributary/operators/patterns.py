@@ -49,7 +49,7 @@ def rings(edges: DataFrame, device: str, user: str, *, max_rounds: int = 50, hot
     links = durable(links, "ring-links")
     before = None
     for _ in range(max_rounds):
-        links = durable(_small_star(_large_star(links, hot_rows), hot_rows), "ring-links")
+        links = durable(_small_star(durable(_large_star(links, hot_rows), "ring-links"), hot_rows), "ring-links")
         state = links.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s")).first()
         if state == before:
             break

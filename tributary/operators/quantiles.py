@@ -41,10 +41,10 @@ class _Target:
 def kth_values(df: DataFrame, wanted: Sequence[tuple[str, int]], counts: dict[str, int] | None = None) -> list:
     """Values at 0-based ranks among the sorted non-null values of numeric columns.
 
-    Each round sketches the values still in play, counts exactly around two
-    sketch values and keeps the part that holds the rank, for all targets in
-    one pass. A round cuts what is left to about 1/2000, so two or three rounds
-    do for any table size; one value with many rows is settled by its count.
+    Each round sketches the values still in play, counts exactly around the
+    sketched values and keeps the gap that holds the rank, for all targets in one
+    pass. A round cuts what is left to about 1/2000, so two or three rounds do for
+    any table size; one value with many rows is settled by its count.
     """
     if not wanted:
         return []
@@ -66,46 +66,51 @@ def kth_values(df: DataFrame, wanted: Sequence[tuple[str, int]], counts: dict[st
 
 
 def _narrow(df: DataFrame, targets: list[_Target]) -> None:
+    """One sketch and one count per part of a column still in play, for all ranks in it."""
+    parts: dict[tuple, list[_Target]] = {}
+    for t in targets:
+        parts.setdefault((t.column, t.low, t.high), []).append(t)
+    groups = list(parts.values())
     sketches = []
-    for i, t in enumerate(targets):
-        p = t.rank / max(1, t.inside - 1)
-        step = 2.0 / SKETCH_ACCURACY
-        around = [F.lit(max(0.0, p - step)), F.lit(min(1.0, p + step))]
-        sketches.append(
-            F.percentile_approx(
-                F.when(t.in_play(), quoted(t.column)), F.array(*around), F.lit(SKETCH_ACCURACY)
-            ).alias(f"s{i}")
-        )
-    pivots = df.agg(*sketches).first()
-    tallies = []
-    for i, t in enumerate(targets):
-        a, b = pivots[f"s{i}"]
-        c = quoted(t.column)
-        in_play = t.in_play()
-        tallies += [
-            F.count_if(in_play & (c < F.lit(a))).alias(f"below{i}"),
-            F.count_if(in_play & (c == F.lit(a))).alias(f"at_a{i}"),
-            F.count_if(in_play & (c > F.lit(a)) & (c < F.lit(b))).alias(f"between{i}"),
-            F.count_if(in_play & (c == F.lit(b))).alias(f"at_b{i}"),
-        ]
+    for i, members in enumerate(groups):
+        # On a grid, so that neighbouring ranks ask for the same values.
+        grid = sorted({
+            min(1.0, max(0.0, (round(t.rank / max(1, t.inside - 1) * SKETCH_ACCURACY) + step) / SKETCH_ACCURACY))
+            for t in members
+            for step in (-2, 2)
+        })
+        value = F.when(members[0].in_play(), quoted(members[0].column))
+        wanted = F.array(*[F.lit(p) for p in grid])
+        sketches.append(F.percentile_approx(value, wanted, F.lit(SKETCH_ACCURACY)).alias(f"s{i}"))
+    found = df.agg(*sketches).first()
+    tallies, pivots = [], [sorted(set(found[f"s{i}"])) for i in range(len(groups))]
+    for i, members in enumerate(groups):
+        in_play, c = members[0].in_play(), quoted(members[0].column)
+        for j, v in enumerate(pivots[i]):
+            tallies.append(F.count_if(in_play & (c < F.lit(v))).alias(f"below{i}_{j}"))
+            tallies.append(F.count_if(in_play & (c == F.lit(v))).alias(f"at{i}_{j}"))
     counted = df.agg(*tallies).first()
-    for i, t in enumerate(targets):
-        a, b = pivots[f"s{i}"]
-        below, at_a, between = counted[f"below{i}"], counted[f"at_a{i}"], counted[f"between{i}"]
-        at_b = counted[f"at_b{i}"] if b != a else 0
-        if t.rank < below:
-            t.high, t.inside = a, below
-        elif t.rank < below + at_a:
-            t.answer = a
-        elif t.rank < below + at_a + between:
-            t.rank -= below + at_a
-            t.low, t.high, t.inside = a, b, between
-        elif t.rank < below + at_a + between + at_b:
-            t.answer = b
-        else:
-            gone = below + at_a + between + at_b
-            t.rank -= gone
-            t.low, t.inside = b, t.inside - gone
+    for i, members in enumerate(groups):
+        below = [counted[f"below{i}_{j}"] for j in range(len(pivots[i]))]
+        upto = [b + counted[f"at{i}_{j}"] for j, b in enumerate(below)]
+        for t in members:
+            _settle(t, pivots[i], below, upto)
+
+
+def _settle(t: _Target, pivots: list, below: list[int], upto: list[int]) -> None:
+    """Answer the target if its rank falls on a pivot, else keep the gap that holds it."""
+    start, low = 0, t.low
+    for v, before, after in zip(pivots, below, upto):
+        if t.rank < before:
+            t.low, t.high, t.inside = low, v, before - start
+            t.rank -= start
+            return
+        if t.rank < after:
+            t.answer = v
+            return
+        start, low = after, v
+    t.low, t.inside = low, t.inside - start
+    t.rank -= start
 
 
 def _finish(df: DataFrame, targets: list[_Target]) -> None:

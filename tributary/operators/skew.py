@@ -31,6 +31,13 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list:
     return [r["key"] for r in counted.where(F.col("count") > floor).select("key").collect()]
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether Spark's own size estimate lets it broadcast ``df`` under the session's threshold."""
+    allowed = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= allowed
+
+
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
@@ -42,18 +49,21 @@ def lookup_join(
 ) -> DataFrame:
     """Left join to a table with one row per ``right_key``; that column is not kept.
 
-    Rows of a hot key are spread over ``SALTS`` slots, and only the matching row
-    of that key is repeated per slot: at most ``MAX_HOT_KEYS * SALTS`` extra rows.
+    If the right side is small enough for Spark to broadcast, rows stay where they
+    are. Otherwise rows of a hot key are spread over ``SALTS`` slots, and only the
+    matching row of that key is repeated per slot: at most
+    ``MAX_HOT_KEYS * SALTS`` extra rows. ``hot`` passes keys that are known already.
     """
-    found = hot_keys(left.select(quoted(left_key)), left_key, hot_rows) if hot is None else hot
+    if hot is None:
+        hot = [] if fits_broadcast(right) else hot_keys(left.select(quoted(left_key)), left_key, hot_rows)
     looked_up = right.withColumnRenamed(right_key, "__key")
     on = quoted(left_key) == F.col("__key")
-    if not found:
+    if not hot:
         return left.join(looked_up, on, "left").drop("__key")
-    is_hot = F.coalesce(quoted(left_key).isin(found), F.lit(True))
+    is_hot = F.coalesce(quoted(left_key).isin(hot), F.lit(True))
     spread = F.pmod(F.xxhash64(*[quoted(c) for c in left.columns]), F.lit(SALTS)).cast("int")
     salted = left.withColumn("__salt", F.when(is_hot, spread).otherwise(0))
-    slots = F.when(F.col("__key").isin(found), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    slots = F.when(F.col("__key").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     repeated = looked_up.withColumn("__slot", F.explode(slots))
     joined = salted.join(repeated, on & (F.col("__salt") == F.col("__slot")), "left")
     return joined.drop("__key", "__salt", "__slot")

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tributary.functions.columns import hash_fraction, hash_number, micros, quoted
 from tributary.operators.quantiles import kth_values
-from tributary.operators.skew import HOT_ROWS, lookup_join
+from tributary.operators.skew import HOT_ROWS, hot_keys, lookup_join
 from tributary.session import durable
 
 TRAIN, TEST = "train", "test"
@@ -105,24 +105,26 @@ def split_stratified(
     if not exact:
         return split_random(df, key, train_size, seed, name=name)
     h = _wide_hash(seed, quoted(key))
-    rows = df.select(F.coalesce(quoted(stratum).cast("string"), F.lit("\x00")).alias("s"), h.alias("h"))
+    label = F.coalesce(quoted(stratum).cast("string"), F.lit("\x00"))
+    rows = df.select(label.alias("s"), h.alias("h"))
+    # Every join below is on the stratum, so its large values are looked for once.
+    hot = hot_keys(df.select(label.alias("s")), "s", hot_rows)
     first_bin, second_bin = F.shiftright("h", 44), F.shiftright("h", 28).bitwiseAND(F.lit(0xFFFF))
 
     counted = rows.groupBy("s", first_bin.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     sizes = counted.groupBy("s").agg(F.floor(F.sum("n") * F.lit(train_size)).alias("want"))
     cut1 = durable(_cut_bin(counted, sizes, "bin1"), "strata")
-    inside = _in_bin(rows, cut1, first_bin, "bin1", hot_rows)
+    inside = _in_bin(rows, cut1, first_bin, "bin1", hot)
     counted2 = inside.groupBy("s", second_bin.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     cut2 = durable(_cut_bin(counted2, cut1.select("s", "want"), "bin2"), "strata")
-    last_few = _in_bin(inside, cut2, second_bin, "bin2", hot_rows)
+    last_few = _in_bin(inside, cut2, second_bin, "bin2", hot)
     ranked = last_few.withColumn("at", F.row_number().over(Window.partitionBy("s").orderBy("h")))
     borders = (
-        lookup_join(ranked, cut2.select(F.col("s").alias("__s"), "want"), "s", "__s", hot_rows=hot_rows)
+        lookup_join(ranked, cut2.select(F.col("s").alias("__s"), "want"), "s", "__s", hot=hot)
         .where(F.col("at") == F.col("want"))
         .select(F.col("s").alias("__s"), F.col("h").alias("__last"))
     )
-    marked = df.withColumn("__stratum", F.coalesce(quoted(stratum).cast("string"), F.lit("\x00")))
-    joined = lookup_join(marked, borders, "__stratum", "__s", hot_rows=hot_rows)
+    joined = lookup_join(df.withColumn("__stratum", label), borders, "__stratum", "__s", hot=hot)
     return joined.withColumn(name, _label(F.coalesce(h <= F.col("__last"), F.lit(False)))).drop("__stratum", "__last")
 
 
@@ -140,8 +142,8 @@ def _cut_bin(counted: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
     )
 
 
-def _in_bin(rows: DataFrame, cut: DataFrame, bin_of: Column, name: str, hot_rows: int) -> DataFrame:
-    tagged = lookup_join(rows, cut.select(F.col("s").alias("__s"), name), "s", "__s", hot_rows=hot_rows)
+def _in_bin(rows: DataFrame, cut: DataFrame, bin_of: Column, name: str, hot: list) -> DataFrame:
+    tagged = lookup_join(rows, cut.select(F.col("s").alias("__s"), name), "s", "__s", hot=hot)
     return tagged.where(bin_of == F.col(name)).select("s", "h")
 
 
