@@ -52,77 +52,86 @@ def candidate_keys_of(tables: Mapping[str, DataFrame]) -> DataFrame:
     """
     spark = next(iter(tables.values())).sparkSession
     names = {t: [f.name for f in df.schema if _comparable(f.dataType)] for t, df in sorted(tables.items())}
-    estimates = _counts(tables, names, lambda c, _: F.hll_sketch_estimate(F.hll_sketch_agg(c.cast("string"), SKETCH_BITS)))
+    estimates = _counts(tables, names, F.hll_sketch_estimate(F.hll_sketch_agg("value", SKETCH_BITS)))
     close: dict[str, list[str]] = {}
     for (t, c), (n, distinct) in estimates.items():
         if n > KEY_MIN_ROWS and distinct >= ESTIMATE_FLOOR * n:
             close.setdefault(t, []).append(c)
-    exact = _counts(tables, close, lambda c, kind: F.count_distinct(_short(c, kind)))
+    exact = _counts(tables, close, F.count_distinct("value"))
     # In the order of the columns, as the first key of a table is its main one.
     listed = [(t, c, *exact[t, c]) for t, columns in close.items() for c in columns]
     rows = [(t, c, n, distinct) for t, c, n, distinct in listed if distinct / n > KEY_RATIO]
     return spark.createDataFrame(rows, "table string, column string, non_null bigint, n_distinct bigint")
 
 
-def _counts(tables, names, distinct) -> dict[tuple[str, str], tuple[int, int]]:
-    """``(non-null, distinct)`` per table and column: one job, in which each branch reads one column.
+def _counts(tables, names, distinct: Column) -> dict[tuple[str, str], tuple[int, int]]:
+    """``(non-null, distinct)`` per table and column.
 
-    One aggregate with several distinct counts would copy every row per column.
+    The columns are stacked, each read on its own, and aggregated together. One
+    aggregate with many distinct counts would copy every row per column.
     """
     parts = []
     for t, columns in names.items():
         types = {f.name: f.dataType for f in tables[t].schema}
         for c in columns:
-            parts.append(tables[t].agg(F.count(quoted(c)).alias("n"), distinct(quoted(c), types[c]).alias("d")).select(
-                F.lit(t).alias("t"), F.lit(c).alias("c"), "n", "d"
+            value = _short(quoted(c), types[c])
+            parts.append(tables[t].where(quoted(c).isNotNull()).select(
+                F.lit(t).alias("t"), F.lit(c).alias("c"), value.cast("string").alias("value")
             ))
     if not parts:
         return {}
-    return {(r["t"], r["c"]): (r["n"], r["d"]) for r in union_rows(*parts).collect()}
+    counted = union_rows(*parts).groupBy("t", "c").agg(F.count("value").alias("n"), distinct.alias("d"))
+    found = {(r["t"], r["c"]): (r["n"], r["d"]) for r in counted.collect()}
+    return {(t, c): found.get((t, c), (0, 0)) for t, columns in names.items() for c in columns}
 
 
 def _short(value: Column, data_type: T.DataType) -> Column:
     """Long text by its digest, so that shuffles carry 32 characters at most."""
     if isinstance(data_type, T.StringType):
         return F.when(F.length(value) > 32, F.md5(value)).otherwise(value)
+    if isinstance(data_type, (T.FloatType, T.DoubleType)):
+        return value + F.lit(0.0)  # no negative zero
     return value
 
 
-def time_scores(df: DataFrame, *, numeric_as_time: bool = False) -> DataFrame:
-    """``position, column, score``: share of non-null values that read as a time."""
-    scores = []
-    for i, field in enumerate(df.schema):
-        c = quoted(field.name)
-        if isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-            good: Column = c.isNotNull()
-        elif isinstance(field.dataType, T.StringType):
-            good = parse_ts(c).isNotNull()
-        elif is_numeric(field.dataType) and numeric_as_time:
-            good = c.isNotNull()
-        else:
-            good = F.lit(False)
-        share = F.count_if(good) / F.nullif(F.count(c), F.lit(0))
-        scores.append(F.struct(F.lit(i).alias("position"), F.lit(field.name).alias("column"), share.alias("score")))
-    one = df.agg(F.array(*scores).alias("s"))
-    return one.select(F.explode("s").alias("s")).select("s.position", "s.column", "s.score")
-
+def time_scores_of(tables: Mapping[str, DataFrame], *, numeric_as_time: bool = False) -> DataFrame:
+    """``table, position, column, score``: share of non-null values that read as a time.
 
-def time_column(df: DataFrame, *, numeric_as_time: bool = False) -> str | None:
-    """First column in which over 90% of the values read as a time."""
-    good = time_scores(df, numeric_as_time=numeric_as_time).where(F.col("score") > TIME_RATIO)
-    row = good.agg(F.min_by("column", "position").alias("c")).first()
-    return row["c"]
+    Only columns that may hold times are read and listed. They are stacked, so
+    that the parsing is compiled once and aggregated in one step.
+    """
+    parts = []
+    for t, df in sorted(tables.items()):
+        for i, field in enumerate(df.schema):
+            c = quoted(field.name)
+            declared = isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)) or (
+                numeric_as_time and is_numeric(field.dataType)
+            )
+            if declared or isinstance(field.dataType, T.StringType):
+                text = F.lit(None).cast("string") if declared else c
+                parts.append(df.where(c.isNotNull()).select(
+                    F.lit(t).alias("table"), F.lit(i).alias("position"), F.lit(field.name).alias("column"),
+                    F.lit(declared).alias("declared"), text.alias("text"),
+                ))
+    if not parts:
+        spark = next(iter(tables.values())).sparkSession
+        return spark.createDataFrame([], "table string, position int, column string, score double")
+    good = (F.col("declared") | parse_ts(F.col("text")).isNotNull()).cast("double")
+    return union_rows(*parts).groupBy("table", "position", "column").agg(F.avg(good).alias("score"))
 
 
 def time_columns(tables: Mapping[str, DataFrame], **options) -> DataFrame:
-    """``table, time_column`` for every table, null where none is found."""
-    parts = [
-        time_scores(df, **options)
-        .agg(F.min_by("column", F.when(F.col("score") > TIME_RATIO, F.col("position"))).alias("time_column"))
-        .select(F.lit(name).alias("table"), "time_column")
-        for name, df in sorted(tables.items())
-    ]
-    return union_rows(*parts)
+    """``table, time_column``: per table the first column in which over 90% of the values read as a time."""
+    spark = next(iter(tables.values())).sparkSession
+    names = spark.createDataFrame([(t,) for t in sorted(tables)], "table string")
+    good = time_scores_of(tables, **options).where(F.col("score") > TIME_RATIO)
+    first = good.groupBy("table").agg(F.min_by("column", "position").alias("time_column"))
+    return names.join(first, "table", "left")
+
+
+def time_column(df: DataFrame, **options) -> str | None:
+    """The same for one table; null where no column is good enough."""
+    return time_columns({"": df}, **options).first()["time_column"]
 
 
 def _value_class(data_type: T.DataType) -> str | None:
