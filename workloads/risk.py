@@ -119,7 +119,8 @@ FROM labelled"""
 
 
 def tx_aggregates(spark, sf_dir) -> DataFrame:
-    _, tx, _, _ = _inputs(spark, sf_dir)
+    finished = load(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "F")
+    tx = finished.select(F.col("o_custkey").alias("user_id"), F.col("o_totalprice").alias("amount"))
     out = agg.amount_aggregates(tx, "user_id", "amount")
     return out.select(
         "user_id",
