@@ -9,6 +9,8 @@ MODULES = (
     "op9_mixing",
     "op5_sharding",
     "op8_bpe",
+    "op3_html",
+    "op1_ann",
 )
 _found = [import_module(f"tributary.llm.registry.{m}") for m in MODULES]
 QUERIES = {m.NAME: m.query for m in _found}
