@@ -11,6 +11,7 @@ MODULES = (
     "op8_bpe",
     "op3_html",
     "op1_ann",
+    "op6_pseudonyms",
 )
 _found = [import_module(f"tributary.llm.registry.{m}") for m in MODULES]
 QUERIES = {m.NAME: m.query for m in _found}
