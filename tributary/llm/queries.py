@@ -12,6 +12,7 @@ MODULES = (
     "op3_html",
     "op1_ann",
     "op6_pseudonyms",
+    "op7_kneser_ney",
 )
 _found = [import_module(f"tributary.llm.registry.{m}") for m in MODULES]
 QUERIES = {m.NAME: m.query for m in _found}
