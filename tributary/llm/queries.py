@@ -13,6 +13,7 @@ MODULES = (
     "op1_ann",
     "op6_pseudonyms",
     "op7_kneser_ney",
+    "op2_outliers",
 )
 _found = [import_module(f"tributary.llm.registry.{m}") for m in MODULES]
 QUERIES = {m.NAME: m.query for m in _found}
