@@ -14,6 +14,7 @@ MODULES = (
     "op6_pseudonyms",
     "op7_kneser_ney",
     "op2_outliers",
+    "op4_katz",
 )
 _found = [import_module(f"tributary.llm.registry.{m}") for m in MODULES]
 QUERIES = {m.NAME: m.query for m in _found}
