@@ -13,9 +13,9 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Pieces whose ids a task remembers, and the longest one in bytes; both bound memory only.
-MEMO_PIECES, MEMO_BYTES = 400_000, 64
+MEMO_PIECES, MEMO_BYTES = 200_000, 64
 #: Adjacent token pairs whose compatibility a task remembers.
-MEMO_PAIRS = 1_000_000
+MEMO_PAIRS = 400_000
 PAIR_SHIFT = 32
 
 #: Ids of a piece of text, their number, their decimal form, and the bytes they decode to.
@@ -190,19 +190,22 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
     name = hashlib.sha256(Path(ranks_path).read_bytes()).hexdigest()
     shared = df.sparkSession.sparkContext.broadcast(ranks)
     kept = [c for c in df.columns if c not in {"n_tokens", "ids_sha256", "decoded_sha256", "token_ids"}]
-    rows = df.select(*[df[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(kept)], df[f"`{text_col}`"].alias("__text"))
+    # A text that is kept is not sent twice.
+    texts_at = kept.index(text_col) if text_col in kept else len(kept)
+    sent = [*kept, *[text_col] * (text_col not in kept)]
+    rows = df.select(*[df[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(sent)])
     kinds = ", ".join(f"c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(kept))
     kinds += ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * keep_ids
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, find = _coder(name, shared.value), regex.compile(pattern).findall
         for batch in batches:
-            *own, texts = batch.columns
+            own, texts = batch.columns[: len(kept)], batch.column(texts_at)
             for start in range(0, batch.num_rows, 256):
                 part = texts.slice(start, 256)
                 done = [_row(coder, find(x.as_py() or ""), keep_ids) for x in part]
                 columns = [pa.array([r[i] for r in done], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()))[: 3 + keep_ids])]
-                names = [*batch.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256", *["token_ids"] * keep_ids]
+                names = [*batch.schema.names[: len(kept)], "n_tokens", "ids_sha256", "decoded_sha256", *["token_ids"] * keep_ids]
                 yield pa.RecordBatch.from_arrays([*(c.slice(start, 256) for c in own), *columns], names)
 
     coded = rows.mapInArrow(run, kinds)
