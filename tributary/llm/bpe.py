@@ -12,6 +12,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tributary.llm.common import small_batches
+
 #: Pieces whose ids a task remembers, and the longest one in bytes; both bound memory only.
 MEMO_PIECES, MEMO_BYTES = 200_000, 64
 #: Adjacent token pairs whose compatibility a task remembers.
@@ -186,6 +188,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
     tokens, digests of nothing. The vocabulary (a file of fixed size) goes to the
     tasks in their closure. Columns of these names in ``df`` are replaced.
     """
+    small_batches(df.sparkSession)
     ranks = read_ranks(ranks_path)
     name = hashlib.sha256(Path(ranks_path).read_bytes()).hexdigest()
     shared = df.sparkSession.sparkContext.broadcast(ranks)

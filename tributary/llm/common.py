@@ -24,3 +24,14 @@ def word_array(text: Column) -> Column:
 def byte_words(data: bytes | None) -> list[bytes]:
     """The lower-cased (A to Z) words of UTF-8 bytes; ``bytes.split`` cuts at exactly the six white-space bytes."""
     return data.lower().split() if data else []
+
+
+#: Rows of whole texts that go to a Python task at once; Spark's default of 10,000 long texts takes much memory twice.
+TEXT_ROWS = 1_024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let sessions send texts to Python tasks in batches of at most ``TEXT_ROWS`` rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, TEXT_ROWS)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import byte_words
+from tributary.llm.common import byte_words, small_batches
 from tributary.llm.graph import components
 from tributary.session import durable
 
@@ -49,6 +49,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             prints = np.fromiter((simhash64(x.as_py(), shingle) for x in batch.column("data")), np.int64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), pa.array(prints)], ["id", "text_hash", "fp"])
 
+    small_batches(df.sparkSession)
     narrow = df.select(
         df[id_col].cast("long").alias("id"), F.xxhash64(df[text_col]).alias("text_hash"), df[text_col].cast("binary").alias("data")
     )
