@@ -79,12 +79,21 @@ def test_no_step_gathers_the_table(series):
     assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
 
 
-def test_not_compound_and_too_wide(series):
+def test_not_compound_and_any_width(series):
     df, _ = series
     out = s.lag_and_rolling(df, "t", "id", periods=[1, 2], windows=[3], columns=["x"], compound=False)
     assert out.columns[4:] == ["x_lag_1", "x_lag_2", "x_roll_mean_3"]
-    with pytest.raises(ValueError):
-        s.lag_and_rolling(df, "t", "id", periods=list(range(1, 12)), columns=["x"])
+    wide = s.lag_and_rolling(df, "t", "id", periods=list(range(1, 1_102)), columns=["x"], compound=False)
+    assert len(wide.columns) == len(df.columns) + 1_101
+
+
+def test_ranges_count_rows_with_null_and_repeated_keys(spark):
+    rows = [(None, 1, 0), (None, 1, 5), (7, 1, 6), (7, 1, 6), (8, None, 6), (9, 2, 100)]
+    df = spark.createDataFrame(rows, "k int, g int, t long")
+    found = [
+        sorted(map(str, s.counts_in_range(df, "g", "t", "k", -6, 0, hot_rows=hot).collect())) for hot in (1, 1_000_000)
+    ]
+    assert found[0] == found[1] and len(found[0]) == len(rows)
 
 
 def test_row_numbers(series):

@@ -190,7 +190,7 @@ def deep_features(
     keys: Mapping[str, str],
     *,
     max_depth: int = 2,
-    max_features: int = 500,
+    max_features: int = 0,
     text_columns: Mapping[str, Sequence[str]] | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:

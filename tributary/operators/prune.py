@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -74,7 +75,9 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     var_y = F.col("syy") - F.col("sy") * F.col("sy") / F.nullif(F.col("n"), F.lit(0.0))
     # What is left of a zero variance after rounding is not a variance.
     tiny = F.lit(1e-12)
-    defined = (F.col("n") > 1) & (var_x > tiny * F.col("sxx")) & (var_y > tiny * F.col("syy"))
+    # Infinite values leave no variance; NaN would compare as larger than any number.
+    finite = ~F.isnan(cov) & ~F.isnan(var_x) & ~F.isnan(var_y) & (F.abs(var_x) < math.inf) & (F.abs(var_y) < math.inf)
+    defined = finite & (F.col("n") > 1) & (var_x > tiny * F.col("sxx")) & (var_y > tiny * F.col("syy"))
     r = F.when(defined, cov / F.sqrt(F.when(defined, var_x * var_y).otherwise(1.0)))
     name_of = F.array(*[F.lit(c) for c in names])
     return sums.select(

@@ -17,7 +17,6 @@ from tributary.operators.skew import HOT_ROWS, by_group_size
 from tributary.session import durable
 
 BUCKET_ROWS = 100_000
-MAX_COLUMNS = 1_000
 _SLICE_BITS = 33  # monotonically_increasing_id keeps the slice number above these
 
 
@@ -111,11 +110,6 @@ def _ordered_steps(df, order_by, group, before, after, bucket_rows, hot_rows, st
     return by_group_size(df, group, lambda rows: steps(rows, window), bucketed, hot_rows)
 
 
-def _check_width(width: int) -> None:
-    if width > MAX_COLUMNS:
-        raise ValueError(f"{width} columns, more than the allowed {MAX_COLUMNS}")
-
-
 def lag_and_rolling(
     df: DataFrame,
     time: str,
@@ -136,9 +130,6 @@ def lag_and_rolling(
     of columns doubles per period and window.
     """
     base = list(columns) if columns is not None else numeric_columns(df, skip=[key, time, *group])
-    doublings = len(periods) + len(windows) if compound else 0
-    made = len(base) * (2**doublings - 1) if compound else len(base) * (len(periods) + len(windows))
-    _check_width(len(df.columns) + made)
     reach = [*periods, *[w - 1 for w in windows]]
     before = (sum(reach) if compound else max(reach, default=0)) if reach else 0
 
@@ -219,7 +210,7 @@ def counts_in_range(
 ) -> DataFrame:
     """For each row, how many ``counted`` rows of its group lie in time + [low, high].
 
-    ``key`` must be unique. Groups beyond ``hot_rows`` are counted by differences
+    Null and repeated values of ``key`` are rows like others. Groups beyond ``hot_rows`` are counted by differences
     of one running sum over rows and range borders, which no single task holds.
     """
     flag = (counted if counted is not None else F.lit(True)).cast("int")
@@ -230,7 +221,9 @@ def counts_in_range(
         return rows.withColumn(name, F.coalesce(F.sum("__flag").over(window), F.lit(0))).drop("__flag")
 
     def large(rows: DataFrame) -> DataFrame:
-        g, t, k = quoted(group).alias("g"), quoted(time_micros), quoted(key).alias("k")
+        # Numbered once, so that null or repeated keys keep their rows.
+        rows = durable(rows.withColumn("__row", F.monotonically_increasing_id()), "ranges")
+        g, t, k = quoted(group).alias("g"), quoted(time_micros), F.col("__row").alias("k")
         data = rows.where("__flag = 1").select(
             g, t.alias("t"), F.lit(1).alias("kind"), k, F.lit(1).cast("bigint").alias("one")
         )
@@ -239,7 +232,7 @@ def counts_in_range(
         closes = rows.select(g, (t + high).alias("t"), F.lit(2).alias("kind"), k, nothing)
         marks = running_sum(data.unionByName(opens).unionByName(closes), ["g", "t", "kind", "k"], "one", "upto")
         signed = F.when(F.col("kind") == 2, F.col("upto")).otherwise(-F.col("upto"))
-        tallies = marks.where("kind <> 1").groupBy("k").agg(F.sum(signed).alias(name))
-        return rows.drop("__flag").join(tallies, quoted(key) == F.col("k")).drop("k")
+        tallies = marks.where("kind <> 1").groupBy(F.col("k").alias("__row")).agg(F.sum(signed).alias(name))
+        return rows.drop("__flag").join(tallies, "__row").drop("__row")
 
     return by_group_size(rows_in, [group], usual, large, hot_rows)

@@ -36,7 +36,7 @@ class FeatureOptions:
     prefix: bool = False
     deep: bool = False
     max_depth: int = 2
-    deep_features: int = 500
+    deep_features: int = 0
     lag_periods: Sequence[int] = ()
     rolling_windows: Sequence[int] = ()
     sequence_columns: Sequence[str] | None = None
