@@ -24,6 +24,7 @@ BANDS = 5
 TREE_ROWS = 2_000
 #: Shingles whose bits are counted at once, which bounds memory for very long texts.
 CHUNK = 1 << 16
+ALL_BITS = (1 << 64) - 1
 
 
 def simhash64(data: bytes | None, shingle: int = SHINGLE) -> int:
@@ -56,6 +57,11 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return narrow.mapInArrow(run, "id long, text_hash long, fp long")
 
 
+def distance(a: int, b: int) -> int:
+    """Bits in which two signed 64-bit values differ."""
+    return ((a ^ b) & ALL_BITS).bit_count()
+
+
 class BKTree:
     """Values under the node they reach by their distance to each node on the way."""
 
@@ -68,7 +74,7 @@ class BKTree:
         self.values.append(value)
         self.children.append({})
         while new:
-            d = (self.values[at] ^ value).bit_count()
+            d = distance(self.values[at], value)
             below = self.children[at].get(d)
             if below is None:
                 self.children[at][d] = new
@@ -80,7 +86,7 @@ class BKTree:
         todo = [0] if self.values else []
         while todo:
             at = todo.pop()
-            d = (self.values[at] ^ value).bit_count()
+            d = distance(self.values[at], value)
             if d <= radius:
                 yield at
             todo.extend(c for e, c in self.children[at].items() if d - radius <= e <= d + radius)
