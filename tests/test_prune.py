@@ -94,6 +94,6 @@ def test_all_steps_keep_protected_columns(spark):
 
 def test_infinite_values_have_no_correlation(spark):
     rows = [(1.0, 2.0, 5.0), (2.0, 4.1, float("inf")), (3.0, 6.0, 7.0), (4.0, 8.2, 1.0)]
-    pairs = prune.correlation_pairs(spark.createDataFrame(rows, "a double, b double, c double"), ["a", "b", "c"]).collect()
+    pairs = p.correlation_pairs(spark.createDataFrame(rows, "a double, b double, c double"), ["a", "b", "c"]).collect()
     found = {(r.a, r.b): r.r for r in pairs}
     assert found["a", "b"] > 0.99 and found["a", "c"] is None and found["b", "c"] is None
