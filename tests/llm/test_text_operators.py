@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -240,3 +241,11 @@ def test_byte_pairs_equal_the_library(spark):
         assert got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     assert encode(df.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_packed_integers_come_back():
+    rng = np.random.default_rng(7)
+    cases = [[], [0], [5], [0, 0, 0], [1 << 41, (1 << 41) + 3], [3, 1, 2], [1 << 62, 0, 255, 256]]
+    for values in [*cases, np.sort(rng.integers(0, 1 << 43, 5000)), rng.integers(0, 1 << 20, 5000)]:
+        values = np.array(values, np.int64)
+        assert katz.unpack(katz.pack(values)).tolist() == values.tolist()
