@@ -54,6 +54,7 @@ def test_saved_model_scores_the_same(points, tmp_path):
     model = m.fit_model(train, ["x.a", "b"], "label", m.ModelOptions("logistic"))
     model.save(str(tmp_path / "model"))
     again = m.FittedModel.load(str(tmp_path / "model"))
+    assert again.options == model.options
     pick = lambda x: [r["probability"] for r in x.score(test).orderBy("id").collect()]
     assert pick(model) == pick(again)
     assert [f for f, _ in model.importance()][0] == "x.a"
@@ -145,3 +146,10 @@ def test_matrix_to_model(spark):
         train_and_evaluate(built.df, TrainOptions("absent", "vid"))
     with pytest.raises(ValueError):
         train_and_evaluate(built.df, TrainOptions("target", "vid", model=m.ModelOptions("logistic"), minimum=1.1))
+
+
+def test_auc_does_not_round(spark):
+    rows = [(0, 0.50001), (1, 0.50002), (0, 0.50003), (1, 0.50004)]
+    df = spark.createDataFrame(rows, "label int, score double")
+    assert me.roc_auc(df, "label", "score").first()["roc_auc"] == 0.75
+    assert me.roc_auc(df.where("label = 1"), "label", "score").first()["roc_auc"] is None

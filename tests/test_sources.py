@@ -1,3 +1,8 @@
+import gzip
+import hashlib
+import os
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,23 +64,53 @@ def test_union_fills_absent_columns(spark):
     assert t.union_rows(a, b, b).count() == 5
 
 
-def test_data_fingerprint_follows_contents(spark, tmp_path):
+@pytest.mark.parametrize("limit", [1 << 30, 2])
+def test_data_fingerprint_follows_contents(spark, tmp_path, monkeypatch, limit):
+    monkeypatch.setattr(fp, "MAX_HASHED_BYTES", limit)
     for name in ("one", "two"):
         (tmp_path / name / "t").mkdir(parents=True)
-        (tmp_path / name / "t" / "a.txt").write_text("same")
-    digest = lambda root, **o: fp.data_fingerprint(spark, str(root), **o).first()["fingerprint"]
+        (tmp_path / name / "t" / "a.txt").write_text("same\nline")
+        (tmp_path / name / "t" / "b.txt").write_text("")
+    digest = lambda root, token="sha256": fp.data_fingerprint(spark, str(root), token).first()["fingerprint"]
     assert digest(tmp_path / "one") == digest(tmp_path / "two")  # relative paths
-    (tmp_path / "two" / "t" / "a.txt").write_text("diff")
+    (tmp_path / "two" / "t" / "a.txt").write_text("diff\nline")
     assert digest(tmp_path / "one") != digest(tmp_path / "two")
     assert digest(tmp_path / "one", token="size") == digest(tmp_path / "two", token="size")
-
-
-def test_many_files_go_through_part_digests(spark, folder, monkeypatch):
-    small = {r["table"]: r["fingerprint"] for r in fp.file_manifest(spark, folder).collect()}
-    monkeypatch.setattr(fp, "MAX_JOINED_FILES", 2)
-    large = {r["table"]: r["fingerprint"] for r in fp.file_manifest(spark, folder).collect()}
-    again = {r["table"]: r["fingerprint"] for r in fp.file_manifest(spark, folder).collect()}
-    assert large == again and small["people"] != large["people"]
+    os.utime(tmp_path / "two" / "t" / "a.txt", (1, 1))
+    assert digest(tmp_path / "one", token="stat") != digest(tmp_path / "two", token="stat")
+
+
+def test_manifest_equals_hashlib(spark, folder):
+    found = {r["table"]: r for r in fp.file_manifest(spark, folder, "sha256").collect()}
+    for table, row in found.items():
+        root = Path(folder)
+        at_root = [p for p in root.glob("*.parquet") if p.name.startswith(table)]
+        files = at_root or [p for p in (root / table).rglob("*") if p.name[0] not in "._"]
+        entries = [f"{p.relative_to(root)}:{hashlib.sha256(p.read_bytes()).hexdigest()}:{p.stat().st_size}" for p in files]
+        hashes = [hashlib.md5(e.encode()).hexdigest() for e in entries]
+        sums = [len(hashes), *(sum(int(h[i : i + 8], 16) for h in hashes) for i in (0, 8, 16, 24))]
+        assert row["fingerprint"] == hashlib.sha256(":".join(map(str, sums)).encode()).hexdigest()
+        assert (row["files"], row["bytes"]) == (len(files), sum(p.stat().st_size for p in files))
+
+
+def test_partitioned_compressed_and_odd_files(spark, tmp_path, monkeypatch):
+    spark.range(6).selectExpr("id", "id % 2 AS day").write.partitionBy("day").parquet(str(tmp_path / "in" / "facts"))
+    (tmp_path / "in" / "zipped").mkdir()
+    with gzip.open(tmp_path / "in" / "zipped" / "a.csv.gz", "wt") as f:
+        f.write("k,v\n1,x\n2,y\n")
+    spark.range(3).toPandas().to_parquet(tmp_path / "in" / "UP.PARQUET")
+    (tmp_path / "in" / "zipped" / "notes.doc").write_text("?")
+    with pytest.warns(UserWarning, match="1 files of zipped"):
+        tables = t.read_folder(spark, str(tmp_path / "in"))
+    assert {n: d.count() for n, d in tables.items()} == {"facts": 6, "zipped": 2, "UP": 3}
+    assert sorted(tables["facts"].columns) == ["day", "id"]
+    assert tables["facts"].where("day = 1").count() == 3
+
+
+def test_relative_root(spark, tmp_path):
+    spark.range(2).write.parquet(str(tmp_path / "in" / "facts"))
+    relative = os.path.relpath(tmp_path / "in")
+    assert [r["table"] for r in t.table_summary(spark, relative).collect()] == ["facts"]
 
 
 def test_content_fingerprint_ignores_order_but_not_copies(spark):

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.functions.columns import quoted
+from tributary.operators.sequence import running_sum
 from tributary.operators.skew import HOT_ROWS, lookup_join
 
 
@@ -21,18 +22,15 @@ def rmse(df: DataFrame, label: str, prediction: str) -> DataFrame:
     return df.agg(F.sqrt(F.avg(error * error)).alias("rmse"))
 
 
-def roc_auc(df: DataFrame, label: str, score: str, digits: int = 4) -> DataFrame:
-    """``roc_auc`` by ranks with ties, of scores in [0, 1] rounded to ``digits``.
+def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
+    """``roc_auc`` by ranks with ties, of the scores as they are. Null if a class is absent.
 
-    Rounding leaves at most 10^digits + 1 groups to order. Null if a class is absent.
+    Distinct scores are sorted in slices across the cluster, so any number of them will do.
     """
-    step = float(10**digits)
-    bins = F.floor(quoted(score) * F.lit(step) + F.lit(0.5))
-    tallies = df.where(quoted(label).isNotNull() & quoted(score).isNotNull()).groupBy(bins.alias("bin")).agg(
+    tallies = df.where(quoted(label).isNotNull() & quoted(score).isNotNull()).groupBy(quoted(score).alias("score")).agg(
         F.count_if(quoted(label) == 1).alias("pos"), F.count_if(quoted(label) == 0).alias("neg")
     )
-    below = F.sum("neg").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = tallies.withColumn("below", F.coalesce(below, F.lit(0)))
+    ranked = running_sum(tallies, ["score"], "neg", "upto").withColumn("below", F.col("upto") - F.col("neg"))
     wins = F.sum(F.col("pos").cast("double") * (F.col("below") + F.col("neg") / 2))
     pairs = F.sum("pos").cast("double") * F.sum("neg")
     return ranked.agg((wins / F.nullif(pairs, F.lit(0.0))).alias("roc_auc"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -123,10 +124,9 @@ class FittedModel:
             (i, c, self.imputer.medians[c], float(self.scaler.means[c]), float(self.scaler.deviations[c]))
             for i, c in enumerate(self.features)
         ]
-        o = self.options
         described = SparkSession.active().createDataFrame(
             rows, "position int, feature string, median double, mean double, deviation double"
-        ).withColumns({"label": F.lit(self.label), "kind": F.lit(o.kind), "task": F.lit(o.task)})
+        ).withColumns({"label": F.lit(self.label), "options": F.lit(json.dumps(asdict(self.options)))})
         described.write.mode("overwrite").parquet(f"{path}/features")
 
     @staticmethod
@@ -136,7 +136,7 @@ class FittedModel:
         return FittedModel(
             names,
             rows[0]["label"],
-            ModelOptions(rows[0]["kind"], rows[0]["task"]),
+            ModelOptions(**json.loads(rows[0]["options"])),
             Imputer({r["feature"]: r["median"] for r in rows}),
             Scaler({r["feature"]: r["mean"] for r in rows}, {r["feature"]: r["deviation"] for r in rows}),
             PipelineModel.load(f"{path}/model"),
@@ -165,7 +165,7 @@ def _estimator(o: ModelOptions, rows: int, label: str):
     if o.kind == "boosted":
         stop = {"validationIndicatorCol": "__validation"} if o.early_stopping else {}
         cls = GBTClassifier if o.task == CLASSIFICATION else GBTRegressor
-        return cls(maxIter=o.rounds, maxDepth=depth, seed=o.seed, **stop, **common)
+        return cls(maxIter=o.rounds, maxDepth=depth, seed=o.seed, **weight, **stop, **common)
     raise ValueError(f"unknown model kind {o.kind}")
 
 
@@ -183,7 +183,7 @@ def fit_model(
     filled = imputer.transform(train)
     scaler = Scaler.fit(filled, names)
     ready = scaler.transform(filled).where(quoted(label).isNotNull())
-    if o.balanced and o.task == CLASSIFICATION and o.kind in ("logistic", "forest"):
+    if o.balanced and o.task == CLASSIFICATION and o.kind != "linear":
         ready = with_class_weight(ready, label)
     if o.kind == "boosted" and o.early_stopping:
         pick = [quoted(key)] if key else [quoted(c) for c in names]

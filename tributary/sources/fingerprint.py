@@ -8,64 +8,62 @@ from pyspark.sql import functions as F
 from tributary.functions.columns import quoted
 from tributary.sources.tables import discover_tables
 
-# A binary value of Spark holds less than 2 GiB; longer files get a size token.
+# A binary value of Spark holds less than 2 GiB; longer files are hashed line by line.
 MAX_HASHED_BYTES = 1 << 30
 
-# Files whose tokens may be joined to one text before hashing.
-MAX_JOINED_FILES = 100_000
 
-
-def file_tokens(spark: SparkSession, root: str, token: str = "sha256") -> DataFrame:
+def file_tokens(spark: SparkSession, root: str, token: str = "stat") -> DataFrame:
     """``table, relative_path, token, size`` per file.
 
-    ``token="sha256"`` hashes file contents on the executors, ``"size"`` reads none.
+    ``"stat"`` (length and time of change) and ``"size"`` read no contents.
+    ``"sha256"`` reads all: files up to ``MAX_HASHED_BYTES`` are hashed whole,
+    longer ones as the sum of the digests of their lines, which are read in
+    ranges; the order of those lines is not covered.
     """
+    if token not in ("stat", "size", "sha256"):
+        raise ValueError(f"unknown token {token}")
     files = discover_tables(spark, root)
-    by_size = F.concat(F.lit("size:"), F.col("length"))
-    if token == "size":
-        return files.select("table", "relative_path", by_size.alias("token"), F.col("length").alias("size"))
+    size = F.col("length").alias("size")
+    if token != "sha256":
+        changed = F.unix_micros("modificationTime").cast("string")
+        stat = F.concat_ws(":", F.lit("stat"), F.col("length").cast("string"), changed)
+        by_size = F.concat(F.lit("size:"), F.col("length"))
+        return files.select("table", "relative_path", (stat if token == "stat" else by_size).alias("token"), size)
     contents = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    hashed = contents.where(F.col("length") <= MAX_HASHED_BYTES).select(
-        "path", F.sha2("content", 256).alias("digest")
-    )
-    return files.join(hashed, "path", "left").select(
-        "table",
-        "relative_path",
-        F.coalesce("digest", by_size).alias("token"),
-        F.col("length").alias("size"),
+    whole = contents.where(F.col("length") <= MAX_HASHED_BYTES).select("path", F.sha2("content", 256).alias("digest"))
+    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(root)
+    lines = lines.where(F.col("_metadata.file_size") > MAX_HASHED_BYTES)
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.md5(F.col("value").cast("binary")).alias("line"))
+    by_line = lines.groupBy("path").agg(F.concat(F.lit("lines:"), digest_sum("line")).alias("digest"))
+    return files.join(whole.unionByName(by_line), "path", "left").select(
+        "table", "relative_path", F.coalesce("digest", F.lit("empty")).alias("token"), size
     )
 
 
-def _joined_digest(tokens: DataFrame, group: list[str], entry: Column) -> DataFrame:
-    """SHA-256 of the sorted entries joined by ``|``, per group.
-
-    Up to ``MAX_JOINED_FILES`` per group the entries are joined as they are. Larger
-    groups go through 4,096 part digests, so no task holds all entries.
-    """
-    listed = tokens.select(*group, entry.alias("entry"), F.substring(F.md5(entry), 1, 3).alias("part"))
-    sizes = [r["n"] for r in listed.groupBy(*group).count().agg(F.max("count").alias("n")).collect()]
-    if sizes and (sizes[0] or 0) > MAX_JOINED_FILES:
-        listed = listed.groupBy(*group, "part").agg(_digest_of_sorted(F.col("entry")).alias("entry"))
-    return listed.groupBy(*group).agg(_digest_of_sorted(F.col("entry")).alias("fingerprint"))
+def digest_sum(digest: str) -> Column:
+    """Number of MD5 digests and exact sums of their four 32-bit parts: one text, whatever their order."""
+    parts = [F.conv(F.substring(digest, start, 8), 16, 10).cast("decimal(20,0)") for start in (1, 9, 17, 25)]
+    sums = [F.coalesce(F.sum(p), F.lit(0)).cast("string") for p in parts]
+    return F.concat_ws(":", F.count(F.lit(1)).cast("string"), *sums)
 
 
-def _digest_of_sorted(entry: Column) -> Column:
-    return F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), "|"), 256)
+def _entries_digest(tokens: DataFrame, group: list[str]) -> DataFrame:
+    """SHA-256 over the sums of the digests of ``path:token:size``, per group; one rule for any number of files."""
+    entry = F.concat_ws(":", "relative_path", "token", F.col("size").cast("string"))
+    hashed = tokens.select(*group, F.md5(entry).alias("entry"))
+    return hashed.groupBy(*group).agg(F.sha2(digest_sum("entry"), 256).alias("fingerprint"))
 
 
-def file_manifest(spark: SparkSession, root: str, token: str = "sha256") -> DataFrame:
+def file_manifest(spark: SparkSession, root: str, token: str = "stat") -> DataFrame:
     """``table, files, bytes, fingerprint``; the digest covers ``path:token:size`` of each file."""
     tokens = file_tokens(spark, root, token)
-    entry = F.concat_ws(":", "relative_path", "token", F.col("size").cast("string"))
-    digests = _joined_digest(tokens, ["table"], entry)
     sizes = tokens.groupBy("table").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
-    return sizes.join(digests, "table")
+    return sizes.join(_entries_digest(tokens, ["table"]), "table")
 
 
-def data_fingerprint(spark: SparkSession, root: str, token: str = "sha256") -> DataFrame:
+def data_fingerprint(spark: SparkSession, root: str, token: str = "stat") -> DataFrame:
     """One digest over all files under ``root``, by relative path."""
-    entry = F.concat_ws(":", "relative_path", "token", F.col("size").cast("string"))
-    return _joined_digest(file_tokens(spark, root, token), [], entry)
+    return _entries_digest(file_tokens(spark, root, token), [])
 
 
 def content_fingerprint(df: DataFrame) -> DataFrame:
@@ -74,15 +72,6 @@ def content_fingerprint(df: DataFrame) -> DataFrame:
     Each row gives a 128-bit digest; its four 32-bit parts are summed exactly, so
     a repeated row counts as often as it occurs.
     """
-    columns = sorted(df.columns)
-    values = [F.coalesce(quoted(c).cast("string"), F.lit("\x00")) for c in columns]
+    values = [F.coalesce(quoted(c).cast("string"), F.lit("\x00")) for c in sorted(df.columns)]
     rows = df.select(F.md5(F.concat_ws("\x1f", *values)).alias("digest"))
-    parts = [
-        F.conv(F.substring("digest", start, 8), 16, 10).cast("decimal(20,0)") for start in (1, 9, 17, 25)
-    ]
-    sums = rows.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        *[F.coalesce(F.sum(p), F.lit(0)).cast("string").alias(f"s{i}") for i, p in enumerate(parts)],
-    )
-    text = F.concat_ws(":", F.col("n_rows").cast("string"), "s0", "s1", "s2", "s3")
-    return sums.select("n_rows", F.sha2(text, 256).alias("fingerprint"))
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.sha2(digest_sum("digest"), 256).alias("fingerprint"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,17 +12,28 @@ from pyspark.sql import types as T
 from tributary.functions.columns import clean_floats, hash_number, quoted
 
 FORMATS = {"parquet": "parquet", "csv": "csv", "json": "json", "orc": "orc"}
+#: Endings of compressed text files that Spark's readers know.
+COMPRESSED = ("gz", "bz2", "zst", "lz4", "deflate")
+
+
+def qualified(spark: SparkSession, root: str) -> str:
+    """A folder's full name, as file listings give it: with scheme, absolute."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return files.makeQualified(path).toString().rstrip("/")
+
+
+def name_glob(fmt: str) -> str:
+    """Files of a format: any case of its ending, and its compressed forms."""
+    ending = "*." + "".join(f"[{c}{c.upper()}]" for c in fmt)
+    return "{" + ",".join([ending, *(f"{ending}.{z}" for z in COMPRESSED)]) + "}"
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """``path, length, relative_path`` of all files under ``root``; contents are not read."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
-    )
-    base = root.rstrip("/").split("://")[-1].lstrip("/")
-    location = F.regexp_replace("path", "^[a-zA-Z0-9]+:/+", "")
-    inside = F.substring(location, len(base) + 2, 1 << 20)
-    return files.withColumn("relative_path", inside)
+    """``path, length, modificationTime, relative_path`` of all files under ``root``; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    inside = F.substring("path", len(qualified(spark, root)) + 2, 1 << 20)
+    return files.select("path", "length", "modificationTime", inside.alias("relative_path"))
 
 
 def discover_tables(spark: SparkSession, root: str) -> DataFrame:
@@ -35,7 +47,9 @@ def discover_tables(spark: SparkSession, root: str) -> DataFrame:
     stem = F.regexp_replace(rel, r"\.[^.]*$", "")
     at_root = F.when(word != "", word).otherwise(stem)
     table = F.when(F.instr(rel, "/") > 0, F.substring_index(rel, "/", 1)).otherwise(at_root)
-    found = list_files(spark, root).select(table.alias("table"), "path", "length", "relative_path")
+    found = list_files(spark, root).select(
+        table.alias("table"), "path", "length", "modificationTime", "relative_path"
+    )
     if found.isEmpty():
         raise ValueError(f"no files under {root}")
     return found
@@ -57,10 +71,16 @@ def read_table(
     fmt: str = "parquet",
     schema: T.StructType | None = None,
     skip_corrupt: bool = False,
+    partitioned: bool = False,
 ) -> DataFrame:
-    """Read the files of one table; local timestamps become UTC, NaN becomes null."""
-    reader = spark.read.format(FORMATS[fmt])
-    reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{fmt}")
+    """Read the files of one table; local timestamps become UTC, NaN becomes null.
+
+    Files are found at any depth. With ``partitioned``, folders called
+    ``name=value`` become columns instead, and filters on them skip folders.
+    """
+    reader = spark.read.format(FORMATS[fmt]).option("pathGlobFilter", name_glob(fmt))
+    if not partitioned:
+        reader = reader.option("recursiveFileLookup", "true")
     if skip_corrupt:
         reader = reader.option("ignoreCorruptFiles", "true")
     if fmt == "csv":
@@ -78,27 +98,38 @@ def read_table(
     return clean_floats(df)
 
 
-def read_folder(spark: SparkSession, root: str, *, skip_corrupt: bool = False) -> dict[str, DataFrame]:
-    """Every table under ``root``, by name; Parquet, CSV, JSON and ORC are recognised.
+def read_folder(
+    spark: SparkSession, root: str, *, skip_corrupt: bool = False, schemas: dict[str, T.StructType] | None = None
+) -> dict[str, DataFrame]:
+    """Every table under ``root``, by name; Parquet, CSV, JSON and ORC are recognised, text also compressed.
 
-    A table in a sub-folder is read as a folder. Only paths of files that lie
-    directly at the root are listed by name.
+    A table in a sub-folder is read as a folder, with partition columns if all
+    its files lie in ``name=value`` folders. Only paths of files directly at the
+    root are listed by name. Other files are left out with a warning. ``schemas``
+    spares a table the pass that infers its types.
     """
-    files = discover_tables(spark, root).withColumn(
-        "fmt", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    endings, packed = "|".join(FORMATS), "|".join(COMPRESSED)
+    fmt = F.lower(F.regexp_extract("path", rf"\.((?i){endings})(\.({packed}))?$", 1))
+    files = discover_tables(spark, root).withColumn("fmt", fmt)
+    rel, known = F.col("relative_path"), F.col("fmt") != ""
+    nested = F.instr(rel, "/") > 0
+    kinds = files.groupBy("table", "fmt", nested.alias("nested")).agg(
+        F.count(F.lit(1)).alias("files"), F.every(rel.rlike("^[^/]+/([^/=]+=[^/]*/)+[^/]+$")).alias("partitioned")
     )
-    files = files.where(F.col("fmt").isin(*FORMATS))
-    nested = F.instr("relative_path", "/") > 0
-    folders = files.where(nested).select("table", "fmt").distinct().collect()
-    loose = files.where(~nested).select("table", "fmt", "path").collect()
+    kinds = kinds.orderBy("table", "fmt").collect()
+    for r in kinds:
+        if not r["fmt"]:
+            warnings.warn(f"{r['files']} files of {r['table']} are of no known format and were not read", stacklevel=2)
     base = root.rstrip("/")
-    sources = [(r["table"], r["fmt"], [f"{base}/{r['table']}"]) for r in folders]
-    for table, fmt in {(r["table"], r["fmt"]) for r in loose}:
-        paths = sorted(r["path"] for r in loose if (r["table"], r["fmt"]) == (table, fmt))
-        sources.append((table, fmt, paths))
+    sources = [(r["table"], r["fmt"], [f"{base}/{r['table']}"], r["partitioned"]) for r in kinds if r["fmt"] and r["nested"]]
+    loose = files.where(~nested & known).select("table", "fmt", "path").collect()
+    for table, kind in {(r["table"], r["fmt"]) for r in loose}:
+        paths = sorted(r["path"] for r in loose if (r["table"], r["fmt"]) == (table, kind))
+        sources.append((table, kind, paths, False))
     tables: dict[str, DataFrame] = {}
-    for table, fmt, paths in sorted(sources):
-        part = read_table(spark, paths, fmt=fmt, skip_corrupt=skip_corrupt)
+    for table, kind, paths, partitioned in sorted(sources):
+        schema = (schemas or {}).get(table)
+        part = read_table(spark, paths, fmt=kind, schema=schema, skip_corrupt=skip_corrupt, partitioned=partitioned)
         tables[table] = union_rows(tables[table], part) if table in tables else part
     return tables
 

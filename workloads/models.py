@@ -115,9 +115,9 @@ def metric_auc(spark, sf_dir) -> DataFrame:
 
 AUC_SQL = f"""
 {PREDICTIONS_SQL},
-b AS (SELECT floor(score * 10000.0::DOUBLE + 0.5::DOUBLE) AS bin, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg
+b AS (SELECT score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg
       FROM p GROUP BY 1),
-w AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM b)
+w AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM b)
 SELECT {rounded_sql("sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg))", 8)} AS roc_auc FROM w"""
 
 
