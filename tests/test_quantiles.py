@@ -41,3 +41,27 @@ def test_no_values(spark):
     assert q.exact_quantiles(df, ["x"], [0.5]) == {"x": [None]}
     with pytest.raises(ValueError):
         q.kth_values(df, [("x", 0)])
+
+
+def test_skewed_partitions_and_ties(spark, monkeypatch):
+    monkeypatch.setattr(q, "FINISH_VALUES", 10)
+    monkeypatch.setattr(q, "SKETCH_ACCURACY", 64)
+    df = spark.range(0, 20_000, numPartitions=7).selectExpr("id", "IF(id < 9000, 5, id % 97) AS v", "CAST(id AS DECIMAL(20, 2)) AS d")
+    pdf = df.selectExpr("id", "v", "CAST(d AS DOUBLE) AS d").toPandas()
+    found = q.exact_quantiles(df, ["id", "v", "d"], PROBABILITIES)
+    for c in ("id", "v", "d"):
+        assert np.allclose(found[c], pdf[c].quantile(PROBABILITIES).to_numpy(), rtol=1e-12)
+
+
+def test_nan_comes_last_and_infinities_are_values(spark, monkeypatch):
+    monkeypatch.setattr(q, "FINISH_VALUES", 4)
+    rows = [(float(i),) for i in range(40)] + [(float("-inf"),), (float("inf"),)] + [(float("nan"),)] * 20 + [(None,)] * 5
+    df = spark.createDataFrame(rows, "x double")
+    found = q.kth_values(df, [("x", 0), ("x", 1), ("x", 41), ("x", 50)])
+    assert found[:3] == [float("-inf"), 0.0, float("inf")] and np.isnan(found[3])
+
+
+def test_no_task_merges_the_sketches_of_all_others(spark):
+    target = q._Target("id", 5, 1_000)
+    plan = q._merged_sketches(spark.range(1_000), [[target]], ["bigint"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(merge_group" in plan
