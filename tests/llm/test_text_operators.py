@@ -185,6 +185,41 @@ def test_pseudonyms_keep_format_and_link(spark):
     assert other != got[1].text
 
 
+BETWEEN_SIGNS = [
+    ("see http://10.0.0.1/x", ["10.0.0.1"]),
+    ("net 10.0.0.0/8", ["10.0.0.0"]),
+    ("192.168.0.1,192.168.0.2", ["192.168.0.1", "192.168.0.2"]),
+    ("10.0.0.1-10.0.0.9", ["10.0.0.1", "10.0.0.9"]),
+    ("123-45-6789,234-56-7890", ["123-45-6789", "234-56-7890"]),
+    ("4111111111111111,5500005555555559", ["4111111111111111", "5500005555555559"]),
+    ("7,4111111111111111,2024-05-01", ["4111111111111111", "2024-05-01"]),
+    ("4111 1111 1111 1111/12", ["4111 1111 1111 1111"]),
+    ("at 2024-05-01T10:00:00Z", ["2024-05-01"]),
+    ("2024-05-01/2024-06-01", ["2024-05-01", "2024-06-01"]),
+    ("01.05.2024-01.06.2024", ["01.05.2024", "01.06.2024"]),
+    ("/blog/2024/05/01/10-ways", ["2024/05/01"]),
+    ("212-555-0199,+49 30 1234567/2", ["212-555-0199", "+49 30 1234567"]),
+    ("_10.0.0.1_ or scan_4111111111111111.pdf", ["10.0.0.1", "4111111111111111"]),
+    ("ES91 2100 0418 4502 0005 1332 BIC", ["ES91 2100 0418 4502 0005 1332"]),
+    ("ES91 2100 0418 4502 0005 1332 4111 1111 1111 1111", ["ES91 2100 0418 4502 0005 1332", "4111 1111 1111 1111"]),
+    ("1,DE89370400440532013000,2", ["DE89370400440532013000"]),
+    # Parts of longer values are not values.
+    ("1.10.0.0.1 10.0.0.1.2 0.4111111111111111 x4111111111111111 123-45-6789-1 2024-05-01-7 2024-05-01Tx 10.0.0.1a", []),
+    ("+10.0.0.1 -123-45-6789 (2024-05-01Z)", ["10.0.0.1", "123-45-6789", "2024-05-01"]),
+]
+
+
+def test_pseudonyms_between_signs(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(BETWEEN_SIGNS)], "doc_id long, text string")
+    for r in pseudonymise(df, "k").collect():
+        want, values = BETWEEN_SIGNS[r.doc_id]
+        assert [x.value for x in r.replaced] == values, want
+        for x in r.replaced:
+            assert x.value != x.pseudonym
+            want = want.replace(x.value, x.pseudonym, 1)
+        assert r.text == want
+
+
 def test_pseudonyms_are_permutations(spark):
     days = spark.range(10_227).select(F.col("id").alias("doc_id"), F.date_format(F.date_add(F.lit("1985-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
     assert pseudonymise(days, "k").select("text").distinct().count() == 10_227

@@ -34,14 +34,48 @@ PATTERNS = {
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "card": r"[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}",
 }
-#: A value ends where no letter, digit or digit after a sign could continue it.
-_END = r"(?![A-Za-z0-9_]|[.,/-][0-9])"
-_NUMBERS = "|".join(PATTERNS[k] for k in ("iban", "phone", "ip", "date_ymd", "date_dmy", "ssn", "card"))
+#: Lengths of IBANs by country, in letters and digits.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_of(length: int) -> str:
+    """The rest of an IBAN after its country."""
+    groups, rest = divmod(length - 4, 4)
+    return rf"[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}" + (rf" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+def _bordered(pattern: str, before: str = "", after: str = "") -> str:
+    """``pattern`` between no letters or digits; ``before`` and ``after`` are what would continue the same value."""
+    return "(?<![A-Za-z0-9])" + (f"(?<![0-9]{before})" if before else "") + f"(?:{pattern})(?![A-Za-z0-9]{after and '|' + after + '[0-9]'})"
+
+
+#: A time or a zone may follow a day.
+_TIME = r"(?![0-9]|(?![Tt][0-9]{2}|[Zz](?![A-Za-z0-9]))[A-Za-z]"
+#: Only a sign that the format itself has continues a value; other signs (a list's comma, a path's slash) end it.
+#: The country's length comes first, so that an IBAN does not take the next word.
+_NUMBERS = "|".join([
+    _bordered("(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(f"(?:{c.replace(' ', '|')}){_iban_of(n)}" for n, c in IBAN_LENGTHS.items()) + ")"),
+    _bordered(PATTERNS["iban"]),
+    _bordered(rf"(?<!\+)(?:{PATTERNS['phone']})", "[.-]", "[.-]"),
+    _bordered(PATTERNS["ip"], r"\.", r"\."),
+    r"(?<![A-Za-z0-9])(?<![0-9]-)[0-9]{4}-[0-9]{2}-[0-9]{2}" + _TIME + "|-(?![0-9]{2}:[0-9]{2})[0-9])",
+    r"(?<![A-Za-z0-9])[0-9]{4}/[0-9]{2}/[0-9]{2}" + _TIME + ")",
+    r"(?<![A-Za-z0-9])(?<![0-9]\.)[0-9]{2}\.[0-9]{2}\.[0-9]{4}" + _TIME + r"|\.[0-9])",
+    r"(?<![A-Za-z0-9])(?<![0-9]/)[0-9]{2}/[0-9]{2}/[0-9]{4}" + _TIME + "|/[0-9])",
+    _bordered(PATTERNS["ssn"], "-", "-"),
+    _bordered(r"(?<!\+)[0-9]{13,19}", r"\.", r"\."),
+    _bordered(r"(?<!\+)(?:[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{5})", "-"),
+    _bordered(r"(?<!\+)(?:[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})", "-", "-"),
+    _bordered(PATTERNS["phone_abroad"], "", "[.-]"),
+])
 SCAN = (
-    rf"(?<![A-Za-z0-9._%+-]){PATTERNS['email']}(?![A-Za-z0-9_@-])"
+    rf"(?<![A-Za-z0-9._%+-]){PATTERNS['email']}(?![A-Za-z0-9@]|[_-][A-Za-z0-9_-])"
     rf"|(?<![A-Za-z0-9_])(?:{PATTERNS['key']}|{PATTERNS['token']})(?![A-Za-z0-9_])"
-    rf"|(?<![A-Za-z0-9_+.,/-])(?:{_NUMBERS}|{PATTERNS['phone_abroad']}){_END}"
-    rf"|(?<=[A-Za-z_][.,/-])(?:{_NUMBERS}){_END}"
+    rf"|{_NUMBERS}"
 )
 #: No value without one of these.
 HINT = r"[0-9@]|AKIA|ASIA|gh[opsu]_|sk-"
