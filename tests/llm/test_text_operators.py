@@ -60,6 +60,25 @@ def test_outliers_stand_out_and_clean_rows_stay(spark):
     assert outliers(df.limit(0)).count() == 0
 
 
+def test_outliers_a_third_of_a_group_stand_out(spark):
+    rng = random.Random(3)
+
+    def text(mark):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) + mark for _ in range(120))
+
+    junk = text("**")
+    rows = [(i, text(""), "en", "s") for i in range(300)]
+    rows += [(300 + i, junk, "en", "s") for i in range(120)] + [(420 + i, text("**"), "en", "s") for i in range(30)]
+    # A small group of copies only is judged by its language.
+    rows += [(450 + i, junk, "en", "t") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in outliers(df, least_rows=30).collect()}
+    assert kept == {i: i < 300 for i in range(510)}
+    # Nor may as many different texts as that become the rule.
+    df = spark.createDataFrame(rows[:300] + [(300 + i, text("**"), "en", "s") for i in range(150)], df.schema)
+    assert {r.doc_id for r in outliers(df, least_rows=30).where("kept").collect()} == set(range(300))
+
+
 def test_chi_square():
     assert chi_square_quantile(0.975, 2) == pytest.approx(11.1433, abs=1e-3)
     assert chi_square(7.8147, 1) == pytest.approx(1 - math.exp(-7.8147 / 2))

@@ -17,10 +17,10 @@ from tributary.session import durable
 
 WINDOW = 3
 #: The share of a group whose covariance is made smallest, and the steps towards it.
-SUPPORT, STEPS = 0.75, 5
+SUPPORT, STEPS = 0.5, 5
 #: Rows are outliers above this chi-square quantile of the robust squared distance.
 QUANTILE = 0.999999
-#: Groups smaller than this are judged by the estimate of their language, then of all rows.
+#: Groups with fewer distinct texts than this are judged by the estimate of their language, then of all rows.
 LEAST_ROWS = 200
 #: Names of the transformed statistics, with the least standard deviation of each: where nearly all rows
 #: are alike the smallest deviation must not make an outlier.
@@ -194,31 +194,36 @@ def classify(
 
     Rows that fail the base rules (under 50 words, or over half of the words in
     repeated windows) are not kept and estimate nothing. The others are grouped
-    by language and source; groups under ``least_rows`` use their language's
-    estimate, small languages that of all rows. A row is kept unless its squared
-    distance is above the chi-square quantile. Null languages and sources are
+    by language and source. Estimates take each text once, so that copies of one
+    text, however many, cannot become the rule; all rows are judged. Groups with
+    under ``least_rows`` distinct texts use their language's estimate, small
+    languages that of all rows. A row is kept unless its squared distance is
+    above the chi-square quantile. Null languages and sources are
     groups of their own; a null text has no words and fails. Texts are read
     once; only statistics are kept and joined, to a few numbers per group.
     """
     names = list(STATISTICS)
-    counted = with_statistics(df, text_col).drop(text_col)
+    counted = with_statistics(df, text_col).withColumn("__t", F.xxhash64(F.col(f"`{text_col}`"))).drop(text_col)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     group, lang = F.xxhash64(F.lit("g"), F.col(lang_col).isNull(), lang_col, F.col(source_col).isNull(), source_col), F.xxhash64(F.lit("l"), F.col(lang_col).isNull(), lang_col)
     counted = counted.withColumn("base_failed", failed).withColumns(transformed()).withColumns({"__g": group, "__l": lang})
     counted = durable(counted, "mcd-statistics")
-    sizes = durable(counted.where("not base_failed").groupBy("__g", "__l").agg(F.count(F.lit(1)).alias("n")), "mcd-sizes")
+    texts = durable(counted.where("not base_failed").select("__g", "__l", "__t", *names).distinct(), "mcd-texts")
+    sizes = durable(texts.groupBy("__g", "__l").agg(F.count(F.lit(1)).alias("n")), "mcd-sizes")
     small = F.col("n") < least_rows
-    langs = sizes.groupBy("__l").agg(F.sum("n").alias("of_lang"), F.max(small.cast("int")).alias("some_small"))
+    of_lang = texts.select("__l", "__t").distinct().groupBy("__l").agg(F.count(F.lit(1)).alias("of_lang"))
+    langs = sizes.groupBy("__l").agg(F.max(small.cast("int")).alias("some_small")).join(of_lang, "__l")
     level = F.when(~small, F.col("__g")).when(F.col("of_lang") >= least_rows, F.col("__l")).otherwise(F.lit(0).cast("long"))
     plan = durable(sizes.join(langs, "__l").select("__g", "__l", "some_small", level.alias("e"), (F.col("of_lang") < least_rows).alias("all")), "mcd-plan")
-    # A language's estimate takes all its rows, not only those of its small groups.
+    # A language's estimate takes all its texts, not only those of its small groups.
     needed = plan.select("__g", F.array_distinct(F.array("e", F.when(F.col("some_small") == 1, F.col("__l")).otherwise(F.col("e")))).alias("es"))
     every = [F.lit(0).cast("long")] if not plan.where("all").isEmpty() else []
     es = F.array_distinct(F.concat("es", F.array(*every))) if every else F.col("es")
-    rows = counted.where("not base_failed").select("__g", *names).join(needed, "__g").select(F.explode(es).alias("e"), *names)
-    factors = estimates(durable(rows, "mcd-rows"), **options)
+    # A text of several sources is one text of its language.
+    rows = texts.select("__g", "__t", *names).join(needed, "__g").select(F.explode(es).alias("e"), "__t", *names).distinct()
+    factors = estimates(durable(rows.drop("__t"), "mcd-rows"), **options)
     keyed = counted.join(plan.select("__g", "e"), "__g", "left").withColumn("e", F.coalesce("e", F.lit(0).cast("long")))
     limit = chi_square_quantile(quantile, len(names) // 2)
     judged = _distances(keyed, factors, "left")
     kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= limit, F.lit(True))
-    return judged.withColumn("distance", F.sqrt("d2")).withColumn("kept", kept).drop("__g", "__l", "e", "d2", *names)
+    return judged.withColumn("distance", F.sqrt("d2")).withColumn("kept", kept).drop("__g", "__l", "__t", "e", "d2", *names)
