@@ -269,6 +269,31 @@ def test_kneser_ney_is_normalised_and_rejects_other_text(spark):
         assert total + math.exp(model._part(_tail(history, 0x2603), "en", _floor(model))) == pytest.approx(1, abs=1e-6) and start < 0
 
 
+def test_kneser_ney_learns_small_languages_beside_large_ones(spark):
+    rng = random.Random(8)
+
+    def text(words):
+        return " ".join(rng.choice(words) for _ in range(30))
+
+    rows = [(i, text(["river", "stone", "early", "wind", "lamp"]), "en") for i in range(1_500)]
+    rows += [(2_000 + i, text(["fluss", "stein", "abend", "lampe"]), "de" if i < 30 else None) for i in range(60)]
+    rows += [(3_000, "#%$!! QQXX ZZ!! " * 10, "de"), (3_001, "#%$!! QQXX ZZ!! " * 10, None), (3_002, "unknown tongue", "zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in rows[:-3]], "doc_id long, quality int, toxic int")
+    judged = kneser_ney.classify(docs, labels, train_docs=30, least_held=5)
+    got = {r.doc_id: r for r in judged.where("doc_id >= 2000").collect()}
+    assert all(got[i].perplexity is not None for i in got if i != 3_002)
+    assert not got[3_000].kept and not got[3_001].kept and got[3_002].kept
+    assert sum(got[2_000 + i].kept for i in range(60)) >= 55
+    assert [tuple(r) for r in kneser_ney.unlearnt(judged).collect()] == [("zz", 1)]
+
+
+def test_training_sample_is_filled_by_language():
+    assert kneser_ney._fill([1e6, 1e6, 30, 500], 4_000) == (4_000 - 530) / 2
+    assert kneser_ney._fill([40, 60], 4_000) == 60
+    assert kneser_ney._fill([50] * 1_000, 4_000) == kneser_ney.LEAST_TRAIN == kneser_ney._fill([], 4_000)
+
+
 def _tail(history, token):
     import numpy as np
 
