@@ -15,6 +15,7 @@ MODULES = (
     "op7_kneser_ney",
     "op2_outliers",
     "op4_katz",
+    "op11_divergence",
 )
 _found = [import_module(f"tributary.llm.registry.{m}") for m in MODULES]
 QUERIES = {m.NAME: m.query for m in _found}
