@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,66 +18,128 @@ from tributary.session import durable
 LEAST_DOCS, RAISE, UNIT = 30, 5, 1_000_000_000
 #: Terms listed for a source.
 TOP_TERMS = 50
-#: Terms or pairs that a task gathers before it hands them on, and bytes of a text cut into terms at once.
-HELD, PIECE = 1 << 17, 1 << 20
+#: Terms or pairs that a task gathers before it hands them on, bytes of a text cut into terms at once, and of all texts per shard of terms.
+HELD, PIECE, SHARD_BYTES = 1 << 19, 1 << 20, 1 << 24
 #: Letters A to Z become small; small letters and all bytes of other scripts stay; the rest separates terms.
 _BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
 
-def text_terms(data: bytes) -> Counter[bytes]:
-    """How often each term occurs in a text's UTF-8 bytes; a long text is cut in pieces between terms."""
-    flat, found, start = data.translate(_BYTES), Counter(), 0
+def text_terms(data: bytes) -> Iterator[list[bytes]]:
+    """The terms of a text's UTF-8 bytes; a long text is cut in pieces between terms."""
+    flat, start = data.translate(_BYTES), 0
     while start < len(flat):
         end = flat.find(b" ", start + PIECE)
         end = len(flat) if end < 0 else end
-        found.update(flat[start:end].split())
+        yield flat[start:end].split()
         start = end
-    return found
 
 
-def term_counts(df: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
-    """``lang, source, term, occ, docs``: occurrences and documents of each term by group.
-
-    Every group that occurs has a row with a null term, so groups without terms
-    are seen. Null text, language or source is the empty string. Tasks add up
-    before they hand on, so neither a frequent term nor a large source sends
-    one row per occurrence.
+_PACKED = "lang string, shard long, sources array<string>, terms binary, docs binary, place binary, source binary, occ binary"
+_KEPT = "lang string, source string, term string, occ long, lang_occ long"
+
+
+def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+
+class _Held:
+    """Terms of some documents: by language the documents of each, by language and source its occurrences."""
+
+    NAMES = ["lang", "shard", "sources", "terms", "docs", "place", "source", "occ"]
+    TYPES = [pa.string(), pa.int64(), pa.list_(pa.string()), *[pa.binary()] * 5]
+
+    def __init__(self) -> None:
+        self.docs: dict[str, Counter[bytes]] = {}
+        self.occ: dict[str, dict[str, Counter[bytes]]] = {}
+        self.size = 0
+
+    def add(self, lang: str, source: str, data: bytes) -> None:
+        occ = self.occ.setdefault(lang, {}).setdefault(source, Counter())
+        self.size -= len(occ)
+        seen: set[bytes] = set()
+        for terms in text_terms(data):
+            occ.update(terms)
+            seen.update(terms)
+        self.size += len(occ)
+        self.docs.setdefault(lang, Counter()).update(seen)
+
+    def packed(self, shards: int) -> pa.RecordBatch:
+        """One row per language and shard: its terms, and numbers that point at them."""
+        rows = []
+        for lang, docs in self.docs.items():
+            terms = np.array(list(docs), object)
+            if not len(terms):
+                continue
+            place = {t: i for i, t in enumerate(terms)}
+            shard = np.fromiter(map(zlib.crc32, terms), np.int64, len(terms)) % shards
+            by_shard = np.argsort(shard, kind="stable")
+            cuts = np.searchsorted(shard[by_shard], np.arange(shards + 1))
+            within = np.empty(len(terms), np.int64)
+            within[by_shard] = np.arange(len(terms)) - cuts[shard[by_shard]]
+            n_docs = np.fromiter(docs.values(), np.int64, len(terms))
+            sources = list(self.occ[lang])
+            at = np.concatenate([np.fromiter(map(place.__getitem__, c), np.int64, len(c)) for c in self.occ[lang].values()])
+            occ = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in self.occ[lang].values()])
+            source = np.repeat(np.arange(len(sources)), [len(c) for c in self.occ[lang].values()])
+            order = np.argsort(shard[at], kind="stable")
+            ends = np.searchsorted(shard[at][order], np.arange(shards + 1))
+            for s in np.flatnonzero(np.diff(cuts)):
+                own, uses = by_shard[cuts[s] : cuts[s + 1]], order[ends[s] : ends[s + 1]]
+                numbers = (n_docs[own].astype("<u4"), within[at[uses]].astype("<u4"), source[uses].astype("<u4"), occ[uses].astype("<u4"))
+                rows.append((lang, int(s), sources, b" ".join(terms[own]), *(n.tobytes() for n in numbers)))
+        return _batch(rows, self.NAMES, self.TYPES)
+
+
+def kept_terms(df: DataFrame, least_docs: int, shards: int) -> DataFrame:
+    """``lang, source, term, occ, lang_occ`` of the terms in at least ``least_docs`` documents of ``df(lang, source, data)``'s language.
+
+    Tasks add up over many documents and send each shard of terms one row, so
+    neither a frequent term nor a large source nor the many rare words send a
+    row each. A shard adds the rows of a language up and leaves out its rare terms.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        held = 0
+        held = _Held()
         for batch in batches:
-            for its_lang, its_source, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                occ, docs = groups.setdefault((its_lang, its_source), (Counter(), Counter()))
-                before = len(occ)
-                found = text_terms(data)
-                occ.update(found)
-                docs.update(found.keys())
-                held += len(occ) - before
-                if held > HELD:
-                    yield rows(groups)
-                    groups, held = {}, 0
-        yield rows(groups)
-
-    def rows(groups: dict[tuple[str, str], tuple[Counter, Counter]]) -> pa.RecordBatch:
-        out: list[tuple] = []
-        for (its_lang, its_source), (occ, docs) in groups.items():
-            out.append((its_lang, its_source, None, 0, 0))
-            out.extend((its_lang, its_source, t.decode(), n, docs[t]) for t, n in occ.items())
-        columns = list(zip(*out, strict=True)) or [()] * 5
-        types = [pa.string()] * 3 + [pa.int64()] * 2
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["lang", "source", "term", "occ", "docs"])
-
-    small_batches(df.sparkSession)
-    empty = F.lit("")
-    narrow = df.select(
-        F.coalesce(df[lang].cast("string"), empty).alias("lang"),
-        F.coalesce(df[source].cast("string"), empty).alias("source"),
-        F.coalesce(df[text], empty).cast("binary").alias("data"),
-    )
-    counted = narrow.mapInArrow(run, "lang string, source string, term string, occ long, docs long")
-    return counted.groupBy("lang", "source", "term").agg(F.sum("occ").alias("occ"), F.sum("docs").alias("docs"))
+            for lang, source, data in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "data")), strict=True):
+                held.add(lang, source, data)
+                if held.size > HELD:
+                    yield held.packed(shards)
+                    held = _Held()
+        yield held.packed(shards)
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if rows and (row["lang"], row["shard"]) != (rows[0]["lang"], rows[0]["shard"]):
+                    yield frequent(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield frequent(rows)
+
+    def frequent(rows: list[dict]) -> pa.RecordBatch:
+        docs: dict[bytes, int] = {}
+        for r in rows:
+            for term, n in zip(r["terms"].split(b" "), np.frombuffer(r["docs"], "<u4").tolist(), strict=True):
+                docs[term] = docs.get(term, 0) + n
+        occ: Counter[tuple[str, bytes]] = Counter()
+        whole: Counter[bytes] = Counter()
+        for r in rows:
+            terms = r["terms"].split(b" ")
+            often = np.fromiter((docs[t] >= least_docs for t in terms), bool, len(terms))
+            place, source, n = (np.frombuffer(r[c], t) for c, t in (("place", "<u4"), ("source", "<u4"), ("occ", "<u4")))
+            keep = often[place]
+            for p, s, k in zip(place[keep].tolist(), source[keep].tolist(), n[keep].tolist(), strict=True):
+                occ[r["sources"][s], terms[p]] += k
+                whole[terms[p]] += k
+        out = [(rows[0]["lang"], s, t.decode(), n, whole[t]) for (s, t), n in occ.items()]
+        return _batch(out, ["lang", "source", "term", "occ", "lang_occ"], [*[pa.string()] * 3, *[pa.int64()] * 2])
+
+    key = ["lang", "shard"]
+    return df.mapInArrow(run, _PACKED).repartition(*key).sortWithinPartitions(*key).mapInArrow(count, _KEPT)
 
 
 def _share(count: Column, total: Column, terms: Column) -> Column:
@@ -179,12 +243,13 @@ def audit(
     give no rows. Repeated rows are documents of their own. Other columns are
     not read. Pairs are as many as sources squared, which is the result's size.
     """
-    seen = durable(term_counts(df, lang, source, text), "divergence-terms")
-    groups = seen.select("lang", "source").distinct()
-    words = seen.where("term IS NOT NULL")
-    kept = words.groupBy("lang", "term").agg(F.sum("docs").alias("in_docs"), F.sum("occ").alias("lang_occ"))
-    kept = kept.where(F.col("in_docs") >= least_docs).drop("in_docs")
-    used = durable(words.drop("docs").join(kept, ["lang", "term"]), "divergence-kept")
+    small_batches(df.sparkSession)
+    empty = F.lit("")
+    named = [F.coalesce(df[lang].cast("string"), empty).alias("lang"), F.coalesce(df[source].cast("string"), empty).alias("source")]
+    narrow = df.select(*named, F.coalesce(df[text], empty).cast("binary").alias("data"))
+    size = narrow.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    groups = df.select(*named).distinct()
+    used = durable(kept_terms(narrow, least_docs, size // SHARD_BYTES + 1), "divergence-kept")
     # One row per language or group from here on, but for the terms themselves.
     langs = used.select("lang", "term", "lang_occ").distinct().groupBy("lang").agg(
         F.count(F.lit(1)).alias("terms"), F.sum("lang_occ").alias("lang_total")
