@@ -16,6 +16,8 @@ MODULES = (
     "op2_outliers",
     "op4_katz",
     "op11_divergence",
+    "op12_ngram_join",
+    "op13_conversations",
 )
 _found = [import_module(f"tributary.llm.registry.{m}") for m in MODULES]
 QUERIES = {m.NAME: m.query for m in _found}
