@@ -30,13 +30,21 @@ LOW = 5
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
+class _Known(dict):
+    """Hashes of words, made when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
 class Grams:
     """Hashes of a text's distinct n-grams."""
 
     def __init__(self, width: int) -> None:
         if not 1 <= width <= len(_ODD):
             raise ValueError(f"n-grams have 1 to {len(_ODD)} words")
-        self.width, self.known = width, {}
+        self.width, self.known = width, _Known()
 
     def words(self, data: bytes) -> np.ndarray:
         """One hash per word, A to Z lower-cased; a long text is cut in pieces between words."""
@@ -46,12 +54,8 @@ class Grams:
             end = len(data) if end < 0 else end
             found = data[start:end].lower().split()
             if len(self.known) > WORDS:
-                self.known = {}
-            known = self.known
-            for w in found:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            parts.append(np.fromiter(map(known.__getitem__, found), np.uint64, len(found)))
+                self.known = _Known()
+            parts.append(np.fromiter(map(self.known.__getitem__, found), np.uint64, len(found)))
             start = end
         return np.concatenate(parts) if parts else np.empty(0, np.uint64)
 
