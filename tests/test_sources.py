@@ -1,12 +1,15 @@
+import functools
 import gzip
 import hashlib
 import os
+import random
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from tributary import session
+from tributary.sources import accounts, ranges
 from tributary.sources import fingerprint as fp
 from tributary.sources import tables as t
 
@@ -64,9 +67,9 @@ def test_union_fills_absent_columns(spark):
     assert t.union_rows(a, b, b).count() == 5
 
 
-@pytest.mark.parametrize("limit", [1 << 30, 2])
-def test_data_fingerprint_follows_contents(spark, tmp_path, monkeypatch, limit):
-    monkeypatch.setattr(fp, "MAX_HASHED_BYTES", limit)
+@pytest.mark.parametrize("block", [8 << 20, 2])
+def test_data_fingerprint_follows_contents(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(fp, "file_tokens", functools.partial(fp.file_tokens, block_bytes=block))
     for name in ("one", "two"):
         (tmp_path / name / "t").mkdir(parents=True)
         (tmp_path / name / "t" / "a.txt").write_text("same\nline")
@@ -93,6 +96,112 @@ def test_manifest_equals_hashlib(spark, folder):
         assert (row["files"], row["bytes"]) == (len(files), sum(p.stat().st_size for p in files))
 
 
+def slow_tree(data, block, fan):
+    nodes = [hashlib.sha256(data[i : i + block]).digest() for i in range(0, max(len(data), 1), block)]
+    while len(nodes) > 1:
+        nodes = [hashlib.sha256(b"".join(nodes[i : i + fan])).digest() for i in range(0, len(nodes), fan)]
+    return nodes[0].hex()
+
+
+@pytest.mark.parametrize("schemes", [ranges.SCHEMES, {}])
+def test_content_digests_equal_hashlib_on_blocks(spark, tmp_path, monkeypatch, schemes):
+    """Read by the tasks themselves, and by Spark where tasks know no way to a file."""
+    monkeypatch.setattr(ranges, "SCHEMES", schemes)
+    rng = random.Random(1)
+    contents = {f"t/{n} ä+%.bin": rng.randbytes(n) for n in (1, 99, 100, 101, 300, 400, 1_000, 5_321)}
+    (tmp_path / "t").mkdir()
+    for name, data in contents.items():
+        (tmp_path / name).write_bytes(data)
+    files = t.discover_tables(spark, str(tmp_path))
+    found = fp.content_digests(spark, str(tmp_path), files.select("path", "length"), block_bytes=100, fan_out=3)
+    got = {r["relative_path"]: r["digest"] for r in files.join(found, "path").collect()}
+    assert got == {name: slow_tree(data, 100, 3) for name, data in contents.items()}
+
+
+def test_digest_sees_order_at_any_length(spark, tmp_path):
+    for name, lines in (("one", ["a", "b", "c"]), ("two", ["b", "a", "c"])):
+        (tmp_path / name / "t").mkdir(parents=True)
+        (tmp_path / name / "t" / "x.txt").write_text("\n".join(lines * 1_000))
+    tokens = [fp.file_tokens(spark, str(tmp_path / n), "sha256", block_bytes=b).first()["token"] for n in ("one", "two") for b in (64, 1 << 20)]
+    assert len(set(tokens)) == 4
+
+
+def test_no_task_reads_a_whole_large_file(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "x.bin").write_bytes(bytes(10_000))
+    files = t.discover_tables(spark, str(tmp_path)).select("path", "length")
+    sizes = [len(r["blocks"]) for r in ranges.all_blocks(files, 100).collect()]
+    assert sum(sizes) == 100 and max(sizes) == ranges.AT_ONCE
+
+
+@pytest.fixture()
+def damaged(spark, tmp_path):
+    """A folder with whole, empty, cut and broken files."""
+    root = tmp_path / "in"
+    spark.range(40).selectExpr("id", "cast(id * 7 as string) AS name").repartition(2).write.parquet(str(root / "facts"))
+    spark.range(0).selectExpr("id", "cast(id AS string) AS name").coalesce(1).write.parquet(str(root / "none"))
+    (root / "facts" / "bad one.parquet").write_bytes(b"nothing at all")
+    whole = next((root / "facts").glob("part-*.parquet")).read_bytes()
+    (root / "facts" / "half.parquet").write_bytes(whole[: len(whole) // 2])
+    # The footer is whole, the pages are not.
+    spoilt = bytearray(whole)
+    spoilt[4:60] = b"\xff" * 56
+    (root / "facts" / "spoilt.parquet").write_bytes(bytes(spoilt))
+    (root / "notes.csv").write_text("k,v\n1,x\n2,y\n")
+    (root / "head.csv").write_text("k,v\n")
+    (root / "zero.csv").write_text("")  # Spark lists no files without bytes
+    (root / "cut.csv.gz").write_bytes(gzip.compress(b"k,v\n" + b"1,x\n" * 1_000)[:30])
+    return str(root)
+
+
+def test_broken_files_are_named(spark, damaged):
+    found = {r["relative_path"]: r for r in accounts.account_files(spark, damaged).collect()}
+    status = {n: r["status"] for n, r in found.items()}
+    parts = [n for n in status if "part-" in n]
+    assert {status[n] for n in parts if n.startswith("facts")} == {"read"} and sum(found[n]["rows"] for n in parts) == 40
+    assert [status[n] for n in parts if n.startswith("none")] == ["empty"]
+    odd = {n: s for n, s in status.items() if n not in parts}
+    assert odd == {
+        "facts/bad one.parquet": "unreadable", "facts/half.parquet": "unreadable", "facts/spoilt.parquet": "cut short",
+        "notes.csv": "read", "head.csv": "empty", "cut.csv.gz": "unreadable",
+    }
+    assert "Parquet" in found["facts/half.parquet"]["reason"]
+
+
+def test_reading_a_damaged_folder_warns_and_keeps_the_rest(spark, damaged):
+    with pytest.warns(UserWarning) as told:
+        tables, report = accounts.read_folder_checked(spark, damaged, schemas={"cut": t.T.StructType.fromDDL("k int, v string")})
+    said = " ".join(str(w.message) for w in told)
+    assert all(n in said for n in ("bad one.parquet", "half.parquet", "spoilt.parquet", "cut.csv.gz")) and "notes" not in said
+    assert tables["facts"].count() >= 40 and report.where("status = 'read'").count() == 3
+
+
+def test_rows_are_estimated_without_a_scan(spark, tmp_path):
+    rng = random.Random(2)
+    spark.range(1_234).repartition(3).write.parquet(str(tmp_path / "facts"))
+    for part in range(3):
+        lines = "".join(f"{i},{'v' * rng.randint(1, 60)}\n" for i in range(20_000))
+        (tmp_path / f"long_{part}").mkdir(exist_ok=True)
+        (tmp_path / f"long_{part}" / "a.csv").write_text("k,v\n" + lines)
+    (tmp_path / "small.csv").write_text("k,v\n1,2\n3,4")
+    with gzip.open(tmp_path / "zipped.json.gz", "wt") as f:
+        f.write("{}\n")
+    found = {r["table"]: r for r in accounts.estimate_rows(spark, str(tmp_path), sample_bytes=100_000, block_bytes=4_096).collect()}
+    assert (found["facts"]["rows"], found["facts"]["method"]) == (1_234, "footers")
+    assert (found["small"]["rows"], found["small"]["method"]) == (2, "lines")
+    assert (found["zipped"]["rows"], found["zipped"]["method"]) == (None, "unknown")
+    for part in range(3):
+        r = found[f"long_{part}"]
+        assert r["method"] == "sample" and r["low"] <= 20_000 <= r["high"] and r["high"] < 1.2 * r["rows"]
+
+
+def test_load_guard_names_tables(spark):
+    rows = spark.createDataFrame([("a", 10, 8), ("b", 30, 25)], "table string, rows long, low long")
+    assert accounts.load_guard(rows, 25) is rows
+    with pytest.raises(ValueError, match=r"b \(30\)$"):
+        accounts.load_guard(rows, 20)
+
+
 def test_partitioned_compressed_and_odd_files(spark, tmp_path, monkeypatch):
     spark.range(6).selectExpr("id", "id % 2 AS day").write.partitionBy("day").parquet(str(tmp_path / "in" / "facts"))
     (tmp_path / "in" / "zipped").mkdir()

@@ -129,13 +129,17 @@ def label_as_of(
 
 
 def encode_categories(
-    df: DataFrame, columns: Sequence[str], *, suffix: str = "_code", hot_rows: int = HOT_ROWS
+    df: DataFrame, columns: Sequence[str], *, suffix: str = "_code", hot_rows: int = HOT_ROWS, learn_from: DataFrame | None = None
 ) -> DataFrame:
-    """Add a code 0..k-1 per column, by the sorted order of its values; null stays null."""
+    """Add a code 0..k-1 per column, by the sorted order of its values; null stays null.
+
+    With ``learn_from`` the values of those rows get codes, and others none.
+    """
     cells = [
         F.struct(F.lit(i).alias("c"), quoted(c).cast("string").alias("v")) for i, c in enumerate(columns)
     ]
-    values = df.select(F.explode(F.array(*cells)).alias("x")).select("x.*").where("v is not null").distinct()
+    known = df if learn_from is None else learn_from
+    values = known.select(F.explode(F.array(*cells)).alias("x")).select("x.*").where("v is not null").distinct()
     numbered = number_rows(values, ["c", "v"], "rn")
     first = {r["c"]: r["first"] for r in numbered.groupBy("c").agg(F.min("rn").alias("first")).collect()}
     out = df

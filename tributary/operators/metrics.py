@@ -11,6 +11,10 @@ from tributary.operators.sequence import running_sum
 from tributary.operators.skew import HOT_ROWS, lookup_join
 
 
+#: Copies of one row that one task writes out; more are dealt to other tasks.
+COPIES = 1_000
+
+
 def accuracy(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """``accuracy`` over rows that have both."""
     same = (quoted(label).cast("double") == quoted(prediction).cast("double")).cast("double")
@@ -42,14 +46,64 @@ def roc_auc_unrounded(df: DataFrame, label: str, score: str) -> float:
     return evaluator.evaluate(df.select(quoted(label).cast("double").alias(label), quoted(score).alias(score)))
 
 
-def metric_gate(metrics: DataFrame, metric: str, minimum: float | None, *, lower_is_better: bool = False) -> DataFrame:
-    """Pass the metrics on if ``metric`` reaches the bar, else raise."""
+def log_loss(df: DataFrame, label: str, score: str) -> DataFrame:
+    """``log_loss`` of the probability of class 1, kept away from 0 and 1 by 1e-15."""
+    p = F.least(F.greatest(quoted(score).cast("double"), F.lit(1e-15)), F.lit(1 - 1e-15))
+    loss = -F.when(quoted(label) == 1, F.log(p)).otherwise(F.log(1 - p))
+    return df.where(quoted(label).isNotNull()).agg(F.avg(loss).alias("log_loss"))
+
+
+def f1(df: DataFrame, label: str, prediction: str) -> DataFrame:
+    """``f1`` of class 1; 0 if it neither occurs nor is predicted."""
+    actual, said = quoted(label) == 1, quoted(prediction) == 1
+    hits, both = F.count_if(actual & said), F.count_if(actual) + F.count_if(said)
+    return df.agg(F.coalesce(2 * hits / F.nullif(both, F.lit(0)), F.lit(0.0)).alias("f1"))
+
+
+def mae(df: DataFrame, label: str, prediction: str) -> DataFrame:
+    return df.agg(F.avg(F.abs(quoted(label).cast("double") - quoted(prediction).cast("double"))).alias("mae"))
+
+
+def r2(df: DataFrame, label: str, prediction: str) -> DataFrame:
+    """``r2``: share of the label's variance that the prediction explains; null if it has none."""
+    y, error = quoted(label).cast("double"), quoted(label).cast("double") - quoted(prediction).cast("double")
+    return df.agg((1 - F.avg(error * error) / F.nullif(F.var_pop(y), F.lit(0.0))).alias("r2"))
+
+
+#: Metrics by name, and the column of a scored table that each judges.
+METRICS = {
+    "accuracy": (accuracy, "prediction"),
+    "roc_auc": (roc_auc, "probability"),
+    "log_loss": (log_loss, "probability"),
+    "f1": (f1, "prediction"),
+    "rmse": (rmse, "prediction"),
+    "mae": (mae, "prediction"),
+    "r2": (r2, "prediction"),
+}
+LOWER_IS_BETTER = {"log_loss", "rmse", "mae"}
+
+
+def metric_value(scored: DataFrame, label: str, metric: str) -> float | None:
+    """One metric of a scored table; null where it isn't defined."""
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric}")
+    measure, judged = METRICS[metric]
+    return measure(scored, label, judged).first()[metric]
+
+
+def check_metric(value: float | None, metric: str, minimum: float | None, *, lower_is_better: bool | None = None) -> None:
+    """An error if ``value`` misses the bar; which way is better follows from the metric's name unless told."""
+    lower = metric in LOWER_IS_BETTER if lower_is_better is None else lower_is_better
     if minimum is None:
-        return metrics
-    value = metrics.select(quoted(metric)).first()[0]
-    good = value is not None and (value <= minimum if lower_is_better else value >= minimum)
-    if not good:
+        return
+    if value is None or not (value <= minimum if lower else value >= minimum):
         raise ValueError(f"{metric} is {value}, the bar is {minimum}")
+
+
+def metric_gate(metrics: DataFrame, metric: str, minimum: float | None, *, lower_is_better: bool | None = None) -> DataFrame:
+    """Pass the metrics on if ``metric`` reaches the bar, else raise."""
+    if minimum is not None:
+        check_metric(metrics.select(quoted(metric)).first()[0], metric, minimum, lower_is_better=lower_is_better)
     return metrics
 
 
@@ -75,5 +129,13 @@ def oversample(df: DataFrame, label: str, *, max_ratio: float = 10.0, hot_rows:
         "__class", F.ceil(F.col("most") / (F.col("rows") * F.lit(float(max_ratio)))).cast("int").alias("__times")
     )
     joined = lookup_join(df, times, label, "__class", hot_rows=hot_rows)
-    copies = F.sequence(F.lit(1), F.greatest(F.coalesce("__times", F.lit(1)), F.lit(1)))
-    return joined.withColumn("__copy", F.explode(copies)).drop("__copy", "__times")
+    wanted = F.greatest(F.coalesce("__times", F.lit(1)), F.lit(1))
+    # A row gives one row per block of copies first; the blocks go to different tasks before they are written out.
+    block = F.explode(F.sequence(F.lit(0), F.floor((wanted - 1) / COPIES).cast("int")))
+    blocks = joined.select("*", block.alias("__block"), F.monotonically_increasing_id().alias("__row"))
+    # A stated number of tasks stays, while Spark would join tasks that have little to read, though much to write.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    often = blocks.where(wanted > COPIES).repartition(tasks, "__row", "__block")
+    dealt = blocks.where(wanted <= COPIES).unionByName(often)
+    here = F.least(F.lit(COPIES), wanted - F.col("__block") * COPIES)
+    return dealt.withColumn("__copy", F.explode(F.sequence(F.lit(1), here))).drop("__copy", "__times", "__block", "__row")

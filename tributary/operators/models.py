@@ -4,20 +4,21 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
+from functools import partial
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from tributary.functions.columns import hash_fraction, quoted
 from tributary.operators.metrics import accuracy, rmse, roc_auc_unrounded, with_class_weight
 from tributary.operators.quantiles import exact_quantiles
 from tributary.operators.split import assign_folds
+from tributary.session import durable, in_parallel
 from tributary.sources.tables import union_rows
 
 CLASSIFICATION, REGRESSION = "classification", "regression"
@@ -82,6 +83,7 @@ class ModelOptions:
     inverse_penalty: float = 1.0
     balanced: bool = False
     early_stopping: bool = True
+    patience: int = 50
     validation_share: float = 0.1
 
 
@@ -101,10 +103,14 @@ class FittedModel:
 
     def score(self, df: DataFrame) -> DataFrame:
         """The rows with ``prediction``, and ``probability`` of class 1 for a two-class model."""
-        scored = self.pipeline.transform(self.prepare(df))
+        return self.score_prepared(self.prepare(df))
+
+    def score_prepared(self, ready: DataFrame) -> DataFrame:
+        """The same for rows that have their vector."""
+        scored = self.pipeline.transform(ready)
         if self.options.task == CLASSIFICATION:
             scored = scored.withColumn("probability", F.get(vector_to_array("probability"), F.lit(1)))
-        return scored.drop("__features", "rawPrediction", "weight", "__validation")
+        return scored.drop("__features", "rawPrediction", "weight")
 
     def importance(self) -> list[tuple[str, float]]:
         """Weight of each feature: tree importance, or the size of a linear coefficient."""
@@ -163,39 +169,100 @@ def _estimator(o: ModelOptions, rows: int, label: str):
             return RandomForestClassifier(numTrees=o.trees, maxDepth=depth, seed=o.seed, **weight, **common)
         return RandomForestRegressor(numTrees=o.trees, maxDepth=depth, seed=o.seed, **common)
     if o.kind == "boosted":
-        stop = {"validationIndicatorCol": "__validation"} if o.early_stopping else {}
         cls = GBTClassifier if o.task == CLASSIFICATION else GBTRegressor
-        return cls(maxIter=o.rounds, maxDepth=depth, seed=o.seed, **weight, **stop, **common)
+        return cls(maxIter=o.rounds, maxDepth=depth, seed=o.seed, **weight, **common)
     raise ValueError(f"unknown model kind {o.kind}")
 
 
-def fit_model(
-    train: DataFrame, features: Sequence[str], label: str, options: ModelOptions | None = None, *, key: str | None = None
-) -> FittedModel:
-    """Impute medians, scale, and fit on the training rows.
+def best_round(losses: Sequence[float], patience: int) -> int:
+    """The round of the least loss, as met before ``patience`` rounds in a row bring no lower one; rounds count from 1."""
+    least, at = float("inf"), 1
+    for i, loss in enumerate(losses, 1):
+        if loss < least:
+            least, at = loss, i
+        elif i - at >= patience:
+            break
+    return at
+
 
-    Boosting stops early on a slice of the *training* rows, chosen by a hash of
-    ``key`` (or of the features).
+@dataclass
+class Training:
+    """Rows ready to fit: vector, label and two hashes of the key; written once, read by every fit."""
+
+    features: list[str]
+    label: str
+    imputer: Imputer
+    scaler: Scaler
+    ready: DataFrame
+
+    def where(self, condition: Column) -> Training:
+        return replace(self, ready=self.ready.where(condition))
+
+    def fit(self, o: ModelOptions) -> FittedModel:
+        """A model of these rows.
+
+        Boosting with early stopping learns from all but ``validation_share`` of
+        them. The loss of every round on that share comes from one scan, which
+        adds each row's trees up one by one. If ``patience`` rounds in a row are
+        no better than an earlier one, the rounds up to the best are fitted
+        alone: the same trees, as a round depends on those before it only.
+        """
+        weighted = o.balanced and o.task == CLASSIFICATION and o.kind != "linear"
+        ready = with_class_weight(self.ready, self.label) if weighted else self.ready
+        if o.kind == "boosted" and o.early_stopping and o.validation_share > 0:
+            held_out = F.col(HASH) < F.lit(o.validation_share)
+            check = ready.where(held_out)
+            if not check.isEmpty():
+                return self._fit_with_patience(o, ready.where(~held_out), check)
+        return self._fitted(o, ready)
+
+    def _fit_with_patience(self, o: ModelOptions, rows: DataFrame, check: DataFrame) -> FittedModel:
+        model = self._fitted(o, rows)
+        stages = model.pipeline.stages[-1]
+        losses = stages.evaluateEachIteration(check) if o.task == CLASSIFICATION else stages.evaluateEachIteration(check, "squared")
+        best = best_round(losses, o.patience)
+        if best < o.rounds:
+            model = replace(self._fitted(replace(o, rounds=best), rows), options=o)
+        return model
+
+    def _fitted(self, o: ModelOptions, rows: DataFrame) -> FittedModel:
+        # Only the penalty of linear models needs the number of rows.
+        n = rows.count() if o.kind in ("logistic", "linear") else 0
+        pipeline = Pipeline(stages=[_estimator(o, n, self.label)]).fit(rows)
+        return FittedModel(self.features, self.label, o, self.imputer, self.scaler, pipeline)
+
+
+#: Numbers in [0, 1) by hash of a row's key: one decides which rows stop the boosting, the other is for samples of rows.
+HASH, PART = "__hash", "__part"
+
+
+def prepare_training(
+    train: DataFrame, features: Sequence[str], label: str, *, key: str | None = None, seed: int = 42,
+    imputer: Imputer | None = None, scaler: Scaler | None = None,
+) -> Training:
+    """Medians, means and deviations of the training rows, and their vectors, written to the shared folder.
+
+    Spark ML keeps what its iterations need by itself, so nothing is cached here
+    and a lost executor costs a read. ``key`` decides a row's hash, else its features do.
     """
-    o = options or ModelOptions()
     names = list(features)
-    imputer = Imputer.fit(train, names)
+    known = train.where(quoted(label).isNotNull())
+    imputer = imputer or Imputer.fit(train, names)
     filled = imputer.transform(train)
-    scaler = Scaler.fit(filled, names)
-    ready = scaler.transform(filled).where(quoted(label).isNotNull())
-    if o.balanced and o.task == CLASSIFICATION and o.kind != "linear":
-        ready = with_class_weight(ready, label)
-    if o.kind == "boosted" and o.early_stopping:
-        pick = [quoted(key)] if key else [quoted(c) for c in names]
-        ready = ready.withColumn("__validation", hash_fraction(o.seed, *pick) < F.lit(o.validation_share))
-    kept = [c for c in ("weight", "__validation") if c in ready.columns]
-    ready = _with_vector(ready, names).select("__features", quoted(label).cast("double").alias(label), *kept)
-    ready = ready.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        pipeline = Pipeline(stages=[_estimator(o, ready.count(), label)]).fit(ready)
-    finally:
-        ready.unpersist()
-    return FittedModel(names, label, o, imputer, scaler, pipeline)
+    scaler = scaler or Scaler.fit(filled, names)
+    pick = [quoted(key)] if key else [quoted(c) for c in names]
+    hashed = known.withColumns({HASH: hash_fraction(seed, *pick), PART: hash_fraction(seed + 1, *pick)})
+    ready = _with_vector(scaler.transform(imputer.transform(hashed)), names)
+    ready = ready.select("__features", quoted(label).cast("double").alias(label), HASH, PART)
+    return Training(names, label, imputer, scaler, durable(ready, "training"))
+
+
+def fit_model(
+    train: DataFrame, features: Sequence[str], label: str, options: ModelOptions | None = None, *, key: str | None = None
+) -> FittedModel:
+    """Impute medians, scale, and fit on the training rows; rows without a label only help to impute and scale."""
+    o = options or ModelOptions()
+    return prepare_training(train, features, label, key=key, seed=o.seed).fit(o)
 
 
 def evaluate(model: FittedModel, test: DataFrame) -> dict[str, float]:
@@ -210,34 +277,35 @@ def evaluate(model: FittedModel, test: DataFrame) -> dict[str, float]:
     return out
 
 
-LOWER_IS_BETTER = {"rmse"}
-
+def fold_preparations(marked: DataFrame, names: Sequence[str], folds: int) -> list[tuple[Imputer, Scaler]]:
+    """For each fold the medians, means and deviations of all other rows of ``marked``, which has ``fold``.
 
-def search_models(
-    train: DataFrame,
-    features: Sequence[str],
-    label: str,
-    candidates: Sequence[ModelOptions],
-    metric: str,
-    *,
-    key: str,
-    budget: int | None = None,
-    validation_share: float = 0.2,
-    seed: int = 42,
-) -> tuple[FittedModel, list[tuple[int, str, float]]]:
-    """Try up to ``budget`` candidates on one split of the training rows; refit the best on all.
-
-    Returns the model and ``(trial, kind, metric)`` per trial.
+    All folds' medians come from the same passes. Means and deviations come from
+    one more, by fold: counts, means and sums of squares of parts add up.
     """
-    held_out = hash_fraction(seed + 1, quoted(key)) < F.lit(validation_share)
-    fit_rows, check_rows = train.where(~held_out), train.where(held_out)
-    trials = []
-    for i, o in enumerate(list(candidates)[:budget]):
-        value = evaluate(fit_model(fit_rows, features, label, o, key=key), check_rows)[metric]
-        trials.append((i, o.kind, value))
-    sign = 1.0 if metric in LOWER_IS_BETTER else -1.0
-    best = min(trials, key=lambda t: (sign * t[2], t[0]))
-    return fit_model(train, features, label, candidates[best[0]], key=key), trials
+    columns = {(i, c): f"{i}_{n}" for i in range(folds) for n, c in enumerate(names)}
+    apart = marked.select(*[F.when(F.col("fold") != i, quoted(c)).alias(a) for (i, c), a in columns.items()])
+    medians = exact_quantiles(apart, list(columns.values()), [0.5])
+    parts = marked.groupBy("fold").agg(F.count(F.lit(1)).alias("rows"), *[
+        part
+        for n, c in enumerate(names)
+        for part in (F.count(quoted(c)).alias(f"n{n}"), F.avg(quoted(c)).alias(f"m{n}"), F.var_pop(quoted(c)).alias(f"v{n}"))
+    ]).collect()
+    out = []
+    for i in range(folds):
+        imputer = Imputer({c: medians[columns[i, c]][0] for c in names})
+        others = [p for p in parts if p["fold"] != i]
+        means, deviations = {}, {}
+        for n, c in enumerate(names):
+            known = [(p[f"n{n}"], p[f"m{n}"], p[f"v{n}"]) for p in others if p[f"n{n}"]]
+            missing = sum(p["rows"] - p[f"n{n}"] for p in others)
+            pieces = known + ([(missing, imputer.medians[c] or 0.0, 0.0)] if missing else [])
+            total = sum(k for k, _, _ in pieces)
+            mean = sum(k * m for k, m, _ in pieces) / total if total else 0.0
+            spread = sum(k * (v + (m - mean) ** 2) for k, m, v in pieces) / total if total else 0.0
+            means[c], deviations[c] = mean, spread**0.5 or 1.0
+        out.append((imputer, Scaler(means, deviations)))
+    return out
 
 
 def out_of_fold(
@@ -249,12 +317,28 @@ def out_of_fold(
     *,
     folds: int = 5,
     seed: int = 42,
+    at_once: int | None = None,
 ) -> DataFrame:
-    """Every row scored by the model of the folds it is not in."""
-    marked = assign_folds(df, key, folds, seed, name="fold")
+    """Every row scored by the model of the folds it is not in.
+
+    The rows are written once with their fold, and what is learnt for imputing
+    and scaling comes from passes over all folds at once. The folds are fitted
+    at the same time, ``at_once`` of them, each in a scheduler pool of its own.
+    """
+    o = options or ModelOptions()
+    names = list(features)
+    marked = assign_folds(df.select(*[quoted(c) for c in dict.fromkeys([key, label, *names])]), key, folds, seed, name="fold")
+    marked = durable(marked, "folds")
+    learnt = fold_preparations(marked, names, folds)
+
+    def fit(i: int) -> FittedModel:
+        imputer, scaler = learnt[i]
+        rows = marked.where(F.col("fold") != i)
+        return prepare_training(rows, names, label, key=key, seed=o.seed, imputer=imputer, scaler=scaler).fit(o)
+
+    fitted = in_parallel(df.sparkSession, [partial(fit, i) for i in range(folds)], at_once or folds)
     parts = []
-    for i in range(folds):
-        model = fit_model(marked.where(F.col("fold") != i).drop("fold"), features, label, options, key=key)
+    for i, model in enumerate(fitted):
         held = model.score(marked.where(F.col("fold") == i))
         kept = [key, label, "fold", "prediction"] + (["probability"] if "probability" in held.columns else [])
         parts.append(held.select(*[quoted(c) for c in kept]))

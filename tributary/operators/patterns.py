@@ -113,14 +113,29 @@ def takeovers(
     return counted.where((quoted(success) == 1) & (F.col("n_failed") >= failures)).drop("__t")
 
 
-def merchant_concentration(tx: DataFrame, merchant: str, amount: str, risk: str, high_risk: float = 0.8) -> DataFrame:
-    """Per merchant: transactions, amount, share of all amounts, mean risk, high-risk flag."""
-    per = tx.groupBy(quoted(merchant)).agg(
-        F.count(F.lit(1)).alias("n_txns"), F.sum(quoted(amount)).alias("amount"), F.avg(quoted(risk)).alias("mean_risk")
+def merchant_concentration(
+    tx: DataFrame, merchant: str, amount: str, risk: str, high_risk: float = 0.8, *, category: str | None = None
+) -> DataFrame:
+    """Per merchant: transactions, amount, share of all amounts, mean risk, high-risk flag.
+
+    With ``category`` there are rows of ``level`` "merchant" for each merchant in
+    its category, and of "category" for each category, whose merchant is null;
+    a null category is one of its own. All levels and the total come from one
+    grouping, so the transactions travel once.
+    """
+    keys = [quoted(merchant)] + ([quoted(category)] if category else [])
+    levels = [keys, keys[1:], []] if category else [keys, []]
+    # grouping_id has a bit for each column that a level leaves out, the first column's highest.
+    per = tx.groupingSets(levels, *keys).agg(
+        F.grouping_id().alias("__level"), F.count(F.lit(1)).alias("n_txns"), F.sum(quoted(amount)).alias("amount"), F.avg(quoted(risk)).alias("mean_risk")
     )
-    total = tx.agg(F.sum(quoted(amount)).alias("total"))
-    return per.crossJoin(F.broadcast(total)).select(
-        quoted(merchant),
+    per = durable(per, "concentration")
+    total = per.where(F.col("__level") == (1 << len(keys)) - 1).select(F.col("amount").alias("total"))
+    level = F.when(F.col("__level") == 0, "merchant").when(F.col("__level") == 2, "category")
+    out = per.where(F.col("__level") != (1 << len(keys)) - 1).crossJoin(F.broadcast(total))
+    return out.select(
+        *([level.alias("level")] if category else []),
+        *keys,
         "n_txns",
         "amount",
         (F.col("amount") / F.nullif(F.col("total"), F.lit(0.0))).alias("share"),

@@ -19,10 +19,8 @@ BITS = 62  # columns per word in a set of columns
 TIME_RATIO = 0.9
 OVERLAP_RATIO = 0.9
 OVERLAP_MIN_VALUES = 5
-# The estimate's standard error is 0.8% at this size, so a true key ratio falls
-# below the floor only beyond six standard errors.
-SKETCH_BITS = 14
-ESTIMATE_FLOOR = 0.93
+# Columns of a table that one row is stacked into at once.
+STACKED = 16
 
 
 @dataclass(frozen=True, order=True)
@@ -44,48 +42,89 @@ def candidate_keys(df: DataFrame) -> DataFrame:
     return candidate_keys_of({"": df}).drop("table")
 
 
-def candidate_keys_of(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """The same for several tables, with the table's name.
+@dataclass(frozen=True)
+class Attribute:
+    """One column of one table that is compared with others."""
 
-    Distinct counts are estimated from sketches; only columns near the bar are
-    counted exactly. Each of the two steps is one job over all tables.
+    table: str
+    column: str
+    kind: str
+
+
+@dataclass
+class ColumnSets:
+    """Which columns hold which values: for every set of columns, how many distinct values exactly these hold.
+
+    ``sets`` has the set as words of bits, ``w0, w1, ...``, and ``n``; ``non_null``
+    counts the rows of each attribute.
     """
-    spark = next(iter(tables.values())).sparkSession
-    names = {t: [f.name for f in df.schema if _comparable(f.dataType)] for t, df in sorted(tables.items())}
-    estimates = _counts(tables, names, lambda c, _: F.hll_sketch_estimate(F.hll_sketch_agg(c.cast("string"), SKETCH_BITS)))
-    close: dict[str, list[str]] = {}
-    for (t, c), (n, distinct) in estimates.items():
-        if n > KEY_MIN_ROWS and distinct >= ESTIMATE_FLOOR * n:
-            close.setdefault(t, []).append(c)
-    exact = _counts(tables, close, lambda c, kind: F.count_distinct(_short(c, kind)))
-    # In the order of the columns, as the first key of a table is its main one.
-    listed = [(t, c, *exact[t, c]) for t, columns in close.items() for c in columns]
-    rows = [(t, c, n, distinct) for t, c, n, distinct in listed if distinct / n > KEY_RATIO]
-    return spark.createDataFrame(rows, "table string, column string, non_null bigint, n_distinct bigint")
 
+    attributes: list[Attribute]
+    sets: DataFrame
+    non_null: list[int]
+
+    def patterns(self) -> DataFrame:
+        """``holders, n``: the numbers of the attributes of each set."""
+        members = [
+            F.when(F.col(f"w{i // BITS}").bitwiseAND(F.lit(1 << (i % BITS)).cast("bigint")) != 0, F.lit(i))
+            for i in range(len(self.attributes))
+        ]
+        return self.sets.select(F.array_compact(F.array(*members)).alias("holders"), "n")
 
-def _counts(tables, names, distinct) -> dict[tuple[str, str], tuple[int, int]]:
-    """``(non-null, distinct)`` per table and column: one job, in which each branch reads one column.
+    def sizes(self) -> DataFrame:
+        """``attribute, size``: distinct values of each attribute."""
+        return self.patterns().select(F.explode("holders").alias("attribute"), "n").groupBy("attribute").agg(F.sum("n").alias("size"))
 
-    One aggregate with several distinct counts would copy every row per column.
+
+def column_sets(tables: Mapping[str, DataFrame], attributes: Sequence[Attribute] | None = None) -> ColumnSets:
+    """The values of all columns of all tables, met in one shuffle.
+
+    Each table is stacked: a row gives one short row per column with two 64-bit
+    hashes of the value, so long text does not travel and equal values of
+    different types meet. What gathers at a value is the set of columns that
+    hold it, built up before the shuffle. Keys and relationships both follow
+    from the counts of these sets, and nothing is estimated.
     """
-    parts = []
-    for t, columns in names.items():
-        types = {f.name: f.dataType for f in tables[t].schema}
-        for c in columns:
-            parts.append(tables[t].agg(F.count(quoted(c)).alias("n"), distinct(quoted(c), types[c]).alias("d")).select(
-                F.lit(t).alias("t"), F.lit(c).alias("c"), "n", "d"
-            ))
-    if not parts:
-        return {}
-    return {(r["t"], r["c"]): (r["n"], r["d"]) for r in union_rows(*parts).collect()}
+    if attributes is None:
+        attributes = [
+            Attribute(t, f.name, _value_class(f.dataType) or "other")
+            for t, df in sorted(tables.items()) for f in df.schema if _comparable(f.dataType)
+        ]
+    attributes = list(attributes)
+    spark = next(iter(tables.values())).sparkSession
+    words = len(attributes) // BITS + 1
+    named = [f"w{w}" for w in range(words)]
+    if not attributes:
+        return ColumnSets([], spark.createDataFrame([], f"{', '.join(f'{w} bigint' for w in named)}, n bigint"), [])
+    counts, stacked = [], []
+    for t, df in sorted(tables.items()):
+        own = [(i, a) for i, a in enumerate(attributes) if a.table == t]
+        for start in range(0, len(own), STACKED):
+            cells, known = [], []
+            for i, a in own[start : start + STACKED]:
+                value = quoted(a.column)
+                one, two = _hashes(value, df.schema[a.column].dataType)
+                cells.append(F.when(value.isNotNull(), F.struct(F.lit(i).alias("i"), one.alias("one"), two.alias("two"))))
+                known.append(F.struct(F.lit(i).alias("i"), F.count(value).alias("rows")))
+            stacked.append(df.select(F.inline(F.array(*cells))).where("i IS NOT NULL"))
+            counts.append(df.agg(F.array(*known).alias("x")).select(F.inline("x")))
+    non_null = {r["i"]: r["rows"] for r in union_rows(*counts).collect()}
+    holders = [F.coalesce(F.bit_or(F.when(F.floor(F.col("i") / BITS) == w, F.expr(f"shiftleft(1L, i % {BITS})"))), F.lit(0)).alias(n) for w, n in enumerate(named)]
+    values = union_rows(*stacked).groupBy("one", "two").agg(*holders)
+    # Sets repeat a lot; counting equal sets leaves few rows to pair up.
+    sets = durable(values.groupBy(*named).agg(F.count(F.lit(1)).alias("n")), "column-sets")
+    return ColumnSets(attributes, sets, [non_null[i] for i in range(len(attributes))])
 
 
-def _short(value: Column, data_type: T.DataType) -> Column:
-    """Long text by its digest, so that shuffles carry 32 characters at most."""
-    if isinstance(data_type, T.StringType):
-        return F.when(F.length(value) > 32, F.md5(value)).otherwise(value)
-    return value
+def candidate_keys_of(tables: Mapping[str, DataFrame], sets: ColumnSets | None = None) -> DataFrame:
+    """The same for several tables, with the table's name; ``sets`` are those of the tables if known already."""
+    spark = next(iter(tables.values())).sparkSession
+    found = sets or column_sets(tables)
+    sizes = {r["attribute"]: r["size"] for r in found.sizes().collect()}
+    # In the order of the columns, as the first key of a table is its main one.
+    listed = [(a.table, a.column, n, sizes.get(i, 0)) for i, (a, n) in enumerate(zip(found.attributes, found.non_null))]
+    rows = [r for r in listed if r[2] > KEY_MIN_ROWS and r[3] / r[2] > KEY_RATIO]
+    return spark.createDataFrame(rows, "table string, column string, non_null bigint, n_distinct bigint")
 
 
 def time_scores_of(tables: Mapping[str, DataFrame], *, numeric_as_time: bool = False) -> DataFrame:
@@ -139,26 +178,23 @@ def _value_class(data_type: T.DataType) -> str | None:
     return None
 
 
-def _canonical(value: Column, data_type: T.DataType) -> Column:
-    """A struct that is equal for equal values: 1, 1.0 and true meet, long text is a digest.
-
-    Whole numbers and times stay integers, so most values are grouped without
-    being turned to text.
-    """
+def _hashes(value: Column, data_type: T.DataType) -> tuple[Column, Column]:
+    """Two 64-bit hashes that are equal for equal values: 1, 1.0 and true meet, text never meets numbers."""
     kind = _value_class(data_type)
-    whole, fraction, text = F.lit(None).cast("bigint"), F.lit(None).cast("double"), F.lit(None).cast("string")
-    if kind == "text":
-        text = _short(value, data_type)
-    elif kind == "time":
-        whole = F.unix_micros(value.cast("timestamp"))
-    elif isinstance(data_type, (T.FloatType, T.DoubleType, T.DecimalType)):
+
+    def both(tag: int, c: Column) -> tuple[Column, Column]:
+        return F.xxhash64(F.lit(tag), c), F.xxhash64(F.lit(-tag), c)
+
+    if kind == "time":
+        return both(1, F.unix_micros(value.cast("timestamp")))
+    if isinstance(data_type, (T.FloatType, T.DoubleType, T.DecimalType)):
         number = value.cast("double")
         is_whole = (number == F.floor(number)) & (F.abs(number) < F.lit(9.0e18))
-        whole = F.when(is_whole, F.when(is_whole, number).cast("bigint"))
-        fraction = F.when(~is_whole, number)
-    else:
-        whole = value.cast("bigint")
-    return F.struct(F.lit(kind).alias("class"), whole.alias("whole"), fraction.alias("fraction"), text.alias("text"))
+        whole, fraction = both(2, F.when(is_whole, number).cast("bigint")), both(3, number)
+        return tuple(F.when(is_whole, w).otherwise(f) for w, f in zip(whole, fraction))
+    if kind == "number":
+        return both(2, value.cast("bigint"))
+    return both(4, value.cast("string"))
 
 
 def relationships(
@@ -166,50 +202,32 @@ def relationships(
     keys: Mapping[str, Sequence[str]],
     *,
     same_suffix: bool = False,
+    sets: ColumnSets | None = None,
 ) -> DataFrame:
     """``parent, parent_col, child, child_col, overlap`` for every likely foreign key.
 
-    Each column's distinct values meet once in a shuffle on the value; what
-    gathers at a value is the set of columns that hold it, so no group is larger
-    than the number of columns, and no two columns are joined with each other.
     A key and a column belong together if at least 90% of the column's values, and
-    more than five, occur in the key. ``same_suffix`` also asks for equal names
-    after the first underscore.
+    more than five, occur in the key. Values meet once (``column_sets``): no
+    group is larger than the number of columns, and no two columns are joined
+    with each other. ``same_suffix`` also asks for equal names after the first
+    underscore. ``sets`` are those of the tables if known already.
     """
     spark = next(iter(tables.values())).sparkSession
     schema = "parent string, parent_col string, child string, child_col string, overlap double"
-    attributes: list[tuple[str, str, str, bool]] = []
-    for name, df in sorted(tables.items()):
-        for field in df.schema:
-            kind = _value_class(field.dataType)
-            if kind:
-                attributes.append((name, field.name, kind, field.name in set(keys.get(name, ()))))
-    key_classes = {kind for _, _, kind, is_key in attributes if is_key}
-    numbered = [(i, a) for i, a in enumerate(attributes) if a[2] in key_classes]
-    if not key_classes:
+    if sets is None:
+        listed = [
+            Attribute(t, f.name, _value_class(f.dataType)) for t, df in sorted(tables.items()) for f in df.schema if _value_class(f.dataType)
+        ]
+        kinds = {a.kind for a in listed if a.column in set(keys.get(a.table, ()))}
+        sets = column_sets(tables, [a for a in listed if a.kind in kinds])
+    numbered = list(enumerate(sets.attributes))
+    own_keys = [i for i, a in numbered if a.column in set(keys.get(a.table, ()))]
+    if not own_keys:
         return spark.createDataFrame([], schema)
-    words = len(attributes) // BITS + 1
-    # Each branch reads one column only, so the tables are still read once in all.
-    parts = []
-    for i, (name, c, _, _) in numbered:
-        df = tables[name]
-        value = _canonical(quoted(c), df.schema[c].dataType)
-        bit = F.lit(1 << (i % BITS)).cast("bigint")
-        parts.append(df.where(quoted(c).isNotNull()).select(value.alias("value"), F.lit(i // BITS).alias("word"), bit.alias("bit")))
-    # The set of columns that hold a value is a few words of bits, built up on the
-    # map side, so a frequent value is reduced before it travels.
-    holders = [F.coalesce(F.bit_or(F.when(F.col("word") == w, F.col("bit"))), F.lit(0)).alias(f"w{w}") for w in range(words)]
-    values = union_rows(*parts).groupBy("value").agg(*holders)
-    # Sets repeat a lot; counting equal sets leaves few rows to pair up.
-    sets = durable(values.groupBy(*[f"w{w}" for w in range(words)]).agg(F.count(F.lit(1)).alias("n")), "column-sets")
-    members = [
-        F.when(F.col(f"w{i // BITS}").bitwiseAND(F.lit(1 << (i % BITS)).cast("bigint")) != 0, F.lit(i)) for i, _ in numbered
-    ]
-    patterns = sets.select(F.array_compact(F.array(*members)).alias("holders"), "n")
-    key_ids = F.array(*[F.lit(i) for i, a in numbered if a[3]])
-    sizes = patterns.select(F.explode("holders").alias("attribute"), "n").groupBy("attribute").agg(F.sum("n").alias("size"))
-    table_of = F.create_map(*[x for i, a in numbered for x in (F.lit(i), F.lit(a[0]))])
-    column_of = F.create_map(*[x for i, a in numbered for x in (F.lit(i), F.lit(a[1]))])
+    patterns = sets.patterns()
+    key_ids = F.array(*[F.lit(i) for i in own_keys])
+    table_of = F.create_map(*[x for i, a in numbered for x in (F.lit(i), F.lit(a.table))])
+    column_of = F.create_map(*[x for i, a in numbered for x in (F.lit(i), F.lit(a.column))])
     pairs = (
         patterns.select(F.explode(F.array_intersect("holders", key_ids)).alias("p"), "holders", "n")
         .select("p", F.explode("holders").alias("attribute"), "n")
@@ -219,7 +237,7 @@ def relationships(
         .where(F.col("common") > OVERLAP_MIN_VALUES)
     )
     found = (
-        pairs.join(sizes, "attribute")
+        pairs.join(sets.sizes(), "attribute")
         .withColumn("overlap", F.col("common") / F.col("size"))
         .where(F.col("overlap") >= OVERLAP_RATIO)
         .select(

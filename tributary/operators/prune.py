@@ -8,118 +8,240 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.functions.columns import clip, drop_columns, numeric_columns, quoted
+from tributary.functions.columns import drop_columns, numeric_columns, quoted
 from tributary.operators.aggregates import constant_flags, null_fractions, variance_ranking
+from tributary.session import durable
 
-PAIR_SCHEMA = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
+#: Columns of a tile. Sums over a pair of tiles are six matrices of this width squared, which is what a task holds.
+TILE = 512
+#: Bytes of rows that are multiplied at once.
+CHUNK_BYTES = 4 << 20
+#: Tables of more columns than this are centred in Python, as one aggregate of so many expressions isn't compiled.
+WIDE = 256
+#: What is left of a zero variance after rounding is not a variance.
+TINY = 1e-12
+_SUMS = "tile long, slab long, sums binary"
 
 
-def _pair_moments(width: int):
-    """Sums over all pairs of columns of one partition, by matrix products per batch."""
-    upper = np.triu_indices(width, 1)
+def _rows_of(batch: pa.RecordBatch) -> np.ndarray:
+    """The batch's one column, arrays of equal length, as a matrix; null is NaN."""
+    column = batch.column(0)
+    return column.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(column), -1)
+
+
+def _products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Counts and sums over rows where both columns are present, for every column of ``x`` with every one of ``y``."""
+    px, py = (~np.isnan(x)).astype("float64"), (~np.isnan(y)).astype("float64")
+    fx, fy = np.nan_to_num(x, nan=0.0), np.nan_to_num(y, nan=0.0)
+    return np.stack([px.T @ py, fx.T @ py, px.T @ fy, (fx * fx).T @ py, px.T @ (fy * fy), fx.T @ fy])
+
+
+def _spans(width: int, tile: int) -> list[tuple[int, int]]:
+    return [(i, min(i + tile, width)) for i in range(0, width, tile)]
+
+
+def _means(arrays: DataFrame, width: int) -> np.ndarray:
+    """Mean of each position of the arrays; about is enough, as any shift gives the same correlations."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(width), np.zeros(width)
+        for batch in batches:
+            rows = _rows_of(batch)
+            finite = np.isfinite(rows)
+            total += np.where(finite, rows, 0.0).sum(axis=0)
+            n += finite.sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array(total), pa.array(n)], ["i", "total", "n"])
+
+    out = np.zeros(width)
+    for r in arrays.mapInArrow(sums, "i long, total double, n double").groupBy("i").agg(F.sum("total"), F.sum("n")).collect():
+        out[r[0]] = r[1] / r[2] if r[2] else 0.0
+    return out
+
+
+def _narrow_sums(centred: DataFrame, slots: int) -> DataFrame:
+    """One tile: every task multiplies its own rows, and sends one row to one of ``slots`` places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                rows = _rows_of(batch)
+                found = _products(rows, rows)
+                total = found if total is None else total + found
+        if total is not None:
+            slab = TaskContext.get().partitionId() % slots
+            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([slab]), pa.array([total.tobytes()], pa.binary())], ["tile", "slab", "sums"])
+
+    return centred.mapInArrow(run, _SUMS)
+
+
+def _tiled_sums(centred: DataFrame, width: int, tile: int, slabs: int) -> DataFrame:
+    """Pairs of tiles: the rows' blocks of columns go to every pair that has them, and meet there chunk by chunk."""
+    spans = _spans(width, tile)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, step = 0, max(1, CHUNK_BYTES // (8 * tile))
+        for batch in batches:
+            rows = _rows_of(batch)
+            for start in range(0, len(rows), step):
+                part = rows[start : start + step]
+                chunk = (TaskContext.get().partitionId() << 32) | made
+                made += 1
+                blocks = [np.ascontiguousarray(part[:, a:b]).tobytes() for a, b in spans]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chunk] * len(spans)), pa.array(range(len(spans)), pa.int64()), pa.array(blocks, pa.binary())], ["chunk", "block", "cells"]
+                )
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total, first = None, None, None
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]]), pa.array([total.tobytes()], pa.binary())], ["tile", "slab", "sums"])
+
+        for batch in batches:
+            for tile_no, slab, chunk, block, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (tile_no, slab) != key:
+                    if key is not None:
+                        yield row()
+                    key, total = (tile_no, slab), 0.0
+                a, b = spans[block]
+                part = np.frombuffer(cells).reshape(-1, b - a)
+                i, j = divmod(tile_no, len(spans))
+                if i == j:
+                    total = total + _products(part, part)
+                elif block == i:
+                    first = (chunk, part)
+                elif first[0] == chunk:
+                    total = total + _products(first[1], part)
+                else:
+                    raise RuntimeError(f"chunk {chunk} has one block of two")
+        if key is not None:
+            yield row()
+
+    n = len(spans)
+    blocks = centred.mapInArrow(pack, "chunk long, block long, cells binary")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("other")
+    dealt = blocks.select("*", other).select(
+        (F.least("block", "other") * n + F.greatest("block", "other")).alias("tile"),
+        F.pmod(F.xxhash64("chunk"), F.lit(slabs)).alias("slab"), "chunk", "block", "cells",
+    )
+    return dealt.repartition("tile", "slab").sortWithinPartitions("tile", "slab", "chunk", "block").mapInArrow(multiply, _SUMS)
+
+
+def _added(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums with equal keys added up, one row held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total = None, None
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]]), pa.array([total.tobytes()], pa.binary())], ["tile", "slab", "sums"])
 
-    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = np.column_stack([
-                column.to_numpy(zero_copy_only=False).astype("float64") for column in batch.columns
-            ])
-            present = (~np.isnan(table)).astype("float64")
-            filled = np.nan_to_num(table, nan=0.0)
-            squares = filled * filled
-            sums = np.stack([
-                present.T @ present,
-                filled.T @ present,
-                present.T @ filled,
-                squares.T @ present,
-                present.T @ squares,
-                filled.T @ filled,
-            ])
-            totals = sums if totals is None else totals + sums
-        if totals is not None:
-            columns = [pa.array(u.astype("int32")) for u in upper] + [pa.array(t[upper]) for t in totals]
-            yield pa.RecordBatch.from_arrays(columns, names=["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
-
-    return moments
-
-
-def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+            for tile, slab, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                now = (tile, slab if "slab" in keys else 0)
+                if now != key:
+                    if key is not None:
+                        yield row()
+                    key, total = now, np.zeros(len(data) // 8)
+                total += np.frombuffer(data)
+        if key is not None:
+            yield row()
+
+    return sums.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, _SUMS)
+
+
+def _correlations(sums: DataFrame, names: Sequence[str], tile: int) -> DataFrame:
+    """``i, j, r`` of the pairs of each tile; undefined correlations are null."""
+    spans = _spans(len(names), tile)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tile_no, data in zip(batch.column("tile").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                (a, b), (c, d) = (spans[k] for k in divmod(tile_no, len(spans)))
+                n, sx, sy, sxx, syy, sxy = np.frombuffer(data).reshape(6, b - a, d - c)
+                with np.errstate(all="ignore"):
+                    cov, var_x, var_y = sxy - sx * sy / n, sxx - sx * sx / n, syy - sy * sy / n
+                    r = np.clip(cov / np.sqrt(var_x * var_y), -1.0, 1.0)
+                    # Infinite values leave no variance.
+                    defined = np.isfinite(cov) & np.isfinite(var_x) & np.isfinite(var_y) & (n > 1) & (var_x > TINY * sxx) & (var_y > TINY * syy)
+                for i in range(b - a):
+                    js = np.arange(max(c, a + i + 1), d)
+                    if len(js):
+                        values = pa.array(r[i, js - c], mask=~defined[i, js - c])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(js), a + i)), pa.array(js), values], ["i", "j", "r"])
+
+    return sums.mapInArrow(run, "i long, j long, r double")
+
+
+def _numbered_correlations(df: DataFrame, names: Sequence[str], tile: int) -> DataFrame:
+    arrays = df.select(F.array(*[quoted(c).cast("double") for c in names]).alias("x"))
+    if len(names) > WIDE:
+        means = _means(arrays, len(names))
+    else:
+        row = df.agg(*[F.avg(quoted(c).cast("double")).alias(f"m{i}") for i, c in enumerate(names)]).first()
+        means = np.nan_to_num(np.array([row[f"m{i}"] or 0.0 for i in range(len(names))]), posinf=0.0, neginf=0.0)
+    # Centred values keep the sums of squares small.
+    shift = F.array(*[F.lit(float(m)) for m in means])
+    centred = arrays.select(F.zip_with("x", shift, lambda v, m: v - m).alias("x"))
+    tiles = len(_spans(len(names), tile))
+    parallel = df.sparkSession.sparkContext.defaultParallelism
+    if tiles == 1:
+        sums = _added(_narrow_sums(centred, max(1, math.isqrt(4 * parallel))), ["tile", "slab"])
+    else:
+        sums = _tiled_sums(centred, len(names), tile, max(1, -(-4 * parallel // (tiles * (tiles + 1)))))
+    return _correlations(_added(sums, ["tile"]), names, tile)
+
+
+def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None, *, tile: int | None = None) -> DataFrame:
     """``a, b, r`` for a before b by name: Pearson over rows where both are present.
 
-    Undefined correlations are null. Each task sends one row per pair, so the
-    input is merged to a few tasks per core first, which needs no shuffle.
+    Undefined correlations are null. Up to ``TILE`` columns, every task adds up
+    its own rows and sends one row of sums. More columns are cut into tiles: a
+    pair of tiles is a key, the rows' blocks of both meet there, and a task holds
+    the sums of one pair of tiles only, whatever the number of columns.
     """
     names = sorted(columns if columns is not None else numeric_columns(df))
-    spark = df.sparkSession
     if len(names) < 2:
-        return spark.createDataFrame([], "a string, b string, r double")
-    means = df.agg(*[F.avg(quoted(c).cast("double")).alias(f"m{i}") for i, c in enumerate(names)]).first()
-    # Centred values keep the sums of squares small.
-    centred = df.select(*[
-        (quoted(c).cast("double") - F.lit(means[f"m{i}"] or 0.0)).alias(f"c{i}") for i, c in enumerate(names)
-    ])
-    tasks = max(1, spark.sparkContext.defaultParallelism * 4)
-    sums = (
-        centred.coalesce(tasks)
-        .mapInArrow(_pair_moments(len(names)), PAIR_SCHEMA)
-        .groupBy("i", "j")
-        .agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
-    )
-    cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.nullif(F.col("n"), F.lit(0.0))
-    var_x = F.col("sxx") - F.col("sx") * F.col("sx") / F.nullif(F.col("n"), F.lit(0.0))
-    var_y = F.col("syy") - F.col("sy") * F.col("sy") / F.nullif(F.col("n"), F.lit(0.0))
-    # What is left of a zero variance after rounding is not a variance.
-    tiny = F.lit(1e-12)
-    # Infinite values leave no variance; NaN would compare as larger than any number.
-    finite = ~F.isnan(cov) & ~F.isnan(var_x) & ~F.isnan(var_y) & (F.abs(var_x) < math.inf) & (F.abs(var_y) < math.inf)
-    defined = finite & (F.col("n") > 1) & (var_x > tiny * F.col("sxx")) & (var_y > tiny * F.col("syy"))
-    r = F.when(defined, cov / F.sqrt(F.when(defined, var_x * var_y).otherwise(1.0)))
+        return df.sparkSession.createDataFrame([], "a string, b string, r double")
     name_of = F.array(*[F.lit(c) for c in names])
-    return sums.select(
-        F.get(name_of, F.col("i")).alias("a"),
-        F.get(name_of, F.col("j")).alias("b"),
-        clip(r, -1.0, 1.0).alias("r"),
-    )
+    found = _numbered_correlations(df, names, tile or TILE)
+    return found.select(F.get(name_of, F.col("i").cast("int")).alias("a"), F.get(name_of, F.col("j").cast("int")).alias("b"), "r")
 
 
-def correlated_columns(df: DataFrame, threshold: float = 0.95, columns: Sequence[str] | None = None) -> list[str]:
+def correlated_columns(
+    df: DataFrame, threshold: float = 0.95, columns: Sequence[str] | None = None, *, tile: int | None = None
+) -> list[str]:
     """Columns to leave out so that no strongly correlated pair stays.
 
     Pairs are visited in name order. A column that was marked before its turn is
     not visited; one that is marked during its turn still meets its remaining
     partners. Of a pair at or above the threshold, the column with the larger
-    mean correlation goes, on a tie the later name.
+    mean correlation goes, on a tie the later name. The driver gets one mean per
+    column, and then the strong partners of one column after the other.
     """
     names = sorted(columns if columns is not None else numeric_columns(df))
     if len(names) < 2 or threshold <= 0:
         return []
-    at = {c: i for i, c in enumerate(names)}
-    strength = np.full((len(names), len(names)), np.nan)
-    for row in correlation_pairs(df, names).collect():
-        if row["r"] is not None:
-            i, j = at[row["a"]], at[row["b"]]
-            strength[i, j] = strength[j, i] = abs(row["r"])
-    defined = ~np.isnan(strength)
+    found = durable(_numbered_correlations(df, names, tile or TILE).where("r IS NOT NULL").withColumn("r", F.abs("r")), "correlations")
     # A column correlates fully with itself, if it varies at all.
-    for i in range(len(names)):
-        if defined[i].any():
-            strength[i, i] = 1.0
-    counted = (~np.isnan(strength)).sum(axis=1)
-    means = np.where(counted > 0, np.nansum(strength, axis=1) / np.maximum(counted, 1), np.nan)
+    both = found.select(F.explode(F.array("i", "j")).alias("i"), "r")
+    sums = both.groupBy("i").agg(F.sum("r").alias("total"), F.count(F.lit(1)).alias("n")).collect()
     # Rounded, so that the order of summation cannot decide a tie.
-    means = np.round(means, 10)
+    means = {r["i"]: round((r["total"] + 1.0) / (r["n"] + 1), 10) for r in sums}
+    strong = found.where(F.col("r") >= threshold).groupBy("i").agg(F.sort_array(F.collect_list("j")).alias("partners"))
     gone: set[int] = set()
-    for i in range(len(names)):
+    for row in strong.orderBy("i").toLocalIterator():
+        i = row["i"]
         if i in gone:
             continue
-        for j in np.flatnonzero(strength[i] >= threshold):
-            if j > i and j not in gone:
-                gone.add(i if means[i] > means[j] else int(j))
+        for j in row["partners"]:
+            if j not in gone:
+                gone.add(i if means[i] > means[j] else j)
     return [names[i] for i in sorted(gone)]
 
 

@@ -11,10 +11,12 @@ from tributary.functions.columns import is_numeric, protect_pii, sort_columns
 from tributary.operators.deep import deep_features
 from tributary.operators.joins import aggregate_join
 from tributary.operators.profile import (
+    ColumnSets,
     Relationship,
     as_relationships,
     candidate_keys_of,
     choose_anchor,
+    column_sets,
     relationships,
     time_column,
 )
@@ -57,9 +59,9 @@ class FeatureMatrix:
     dropped: PruneReport
 
 
-def find_keys(tables: Mapping[str, DataFrame]) -> dict[str, list[str]]:
+def find_keys(tables: Mapping[str, DataFrame], sets: ColumnSets | None = None) -> dict[str, list[str]]:
     found: dict[str, list[str]] = {name: [] for name in sorted(tables)}
-    for r in candidate_keys_of(tables).collect():
+    for r in candidate_keys_of(tables, sets).collect():
         found[r["table"]].append(r["column"])
     return found
 
@@ -83,12 +85,14 @@ def build_feature_matrix(tables: Mapping[str, DataFrame], options: FeatureOption
     """
     o = options or FeatureOptions()
     anchor_name = choose_anchor(tables, o.anchor)
-    keys = o.keys
+    keys, sets = o.keys, None
     if keys is None and (o.relationships is None or o.deep):
-        keys = find_keys(tables)
+        # Keys and relationships come from the same pass over the tables.
+        sets = column_sets(tables)
+        keys = find_keys(tables, sets)
     keys = keys or {}
     found = (
-        list(o.relationships) if o.relationships is not None else as_relationships(relationships(tables, keys))
+        list(o.relationships) if o.relationships is not None else as_relationships(relationships(tables, keys, sets=sets))
     )
     anchor, row_key = _row_key(tables[anchor_name], o, keys.get(anchor_name, ()))
     if o.deep:

@@ -2,23 +2,54 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tributary.functions.columns import quoted
+from tributary.sources.ranges import all_blocks, map_blocks
 from tributary.sources.tables import discover_tables
 
-# A binary value of Spark holds less than 2 GiB; longer files are hashed line by line.
-MAX_HASHED_BYTES = 1 << 30
+#: Bytes of a block, and digests that a node of the next level covers.
+BLOCK_BYTES, FAN_OUT = 8 << 20, 1024
+
 
+def content_digests(
+    spark: SparkSession, root: str, files: DataFrame, *, block_bytes: int = BLOCK_BYTES, fan_out: int = FAN_OUT
+) -> DataFrame:
+    """``path, digest`` of ``files(path, length)`` under ``root``: a hash tree over fixed blocks, one rule for any length.
 
-def file_tokens(spark: SparkSession, root: str, token: str = "stat") -> DataFrame:
+    Leaves are the SHA-256 of the file's blocks in order. Every ``fan_out``
+    neighbours give one node, the SHA-256 of their digests one after the other,
+    until one is left; a file of one block keeps that block's digest, which is
+    the SHA-256 of the file. Blocks are read and hashed by different tasks, and
+    no group holds over ``fan_out`` digests.
+    """
+    leaf = T.StructType([T.StructField("digest", T.StringType())])
+    blocks = all_blocks(files, block_bytes)
+    nodes = map_blocks(spark, root, blocks, block_bytes, lambda data: (hashlib.sha256(data).hexdigest(),), leaf)
+    longest = files.agg(F.max("length")).first()[0] or 0
+    widths = files.select("path", F.greatest(F.ceil(F.col("length") / block_bytes).cast("long"), F.lit(1)).alias("width"))
+    nodes = nodes.join(widths, "path").select("path", "width", F.col("block").alias("place"), "digest")
+    most = -(-longest // block_bytes)
+    while most > 1:
+        parent = F.expr(f"place div {fan_out}").alias("place")
+        in_order = F.transform(F.sort_array(F.collect_list(F.struct("place", "digest"))), lambda n: n["digest"])
+        grouped = nodes.groupBy("path", "width", parent).agg(in_order.alias("below"))
+        joined = F.sha2(F.unhex(F.array_join("below", "")), 256)
+        digest = F.when(F.col("width") > 1, joined).otherwise(F.get("below", F.lit(0)))
+        nodes = grouped.select("path", F.ceil(F.col("width") / fan_out).cast("long").alias("width"), "place", digest.alias("digest"))
+        most = -(-most // fan_out)
+    return nodes.select("path", "digest")
+
+
+def file_tokens(spark: SparkSession, root: str, token: str = "stat", *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``table, relative_path, token, size`` per file.
 
     ``"stat"`` (length and time of change) and ``"size"`` read no contents.
-    ``"sha256"`` reads all: files up to ``MAX_HASHED_BYTES`` are hashed whole,
-    longer ones as the sum of the digests of their lines, which are read in
-    ranges; the order of those lines is not covered.
+    ``"sha256"`` reads all, by ``content_digests``.
     """
     if token not in ("stat", "size", "sha256"):
         raise ValueError(f"unknown token {token}")
@@ -29,15 +60,8 @@ def file_tokens(spark: SparkSession, root: str, token: str = "stat") -> DataFram
         stat = F.concat_ws(":", F.lit("stat"), F.col("length").cast("string"), changed)
         by_size = F.concat(F.lit("size:"), F.col("length"))
         return files.select("table", "relative_path", (stat if token == "stat" else by_size).alias("token"), size)
-    contents = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    whole = contents.where(F.col("length") <= MAX_HASHED_BYTES).select("path", F.sha2("content", 256).alias("digest"))
-    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(root)
-    lines = lines.where(F.col("_metadata.file_size") > MAX_HASHED_BYTES)
-    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.md5(F.col("value").cast("binary")).alias("line"))
-    by_line = lines.groupBy("path").agg(F.concat(F.lit("lines:"), digest_sum("line")).alias("digest"))
-    return files.join(whole.unionByName(by_line), "path", "left").select(
-        "table", "relative_path", F.coalesce("digest", F.lit("empty")).alias("token"), size
-    )
+    digests = content_digests(spark, root, files.select("path", "length"), block_bytes=block_bytes)
+    return files.join(digests, "path").select("table", "relative_path", F.col("digest").alias("token"), size)
 
 
 def digest_sum(digest: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,8 +29,14 @@ def name_glob(fmt: str) -> str:
     return "{" + ",".join([ending, *(f"{ending}.{z}" for z in COMPRESSED)]) + "}"
 
 
+def file_format(path: Column) -> Column:
+    """The format of a file by its ending, also before that of a compression; empty if it is none of ``FORMATS``."""
+    endings, packed = "|".join(FORMATS), "|".join(COMPRESSED)
+    return F.lower(F.regexp_extract(path, rf"\.((?i){endings})(\.({packed}))?$", 1))
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """``path, length, modificationTime, relative_path`` of all files under ``root``; contents are not read."""
+    """``path, length, modificationTime, relative_path`` of all files under ``root`` that have bytes; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     inside = F.substring("path", len(qualified(spark, root)) + 2, 1 << 20)
     return files.select("path", "length", "modificationTime", inside.alias("relative_path"))
@@ -83,6 +89,9 @@ def read_table(
         reader = reader.option("recursiveFileLookup", "true")
     if skip_corrupt:
         reader = reader.option("ignoreCorruptFiles", "true")
+        if fmt in ("parquet", "orc") and schema is None:
+            # All footers give the schema, as any single file may be the broken one.
+            reader = reader.option("mergeSchema", "true")
     if fmt == "csv":
         reader = reader.option("header", "true").option("escape", '"')
     if schema is not None:
@@ -108,9 +117,7 @@ def read_folder(
     root are listed by name. Other files are left out with a warning. ``schemas``
     spares a table the pass that infers its types.
     """
-    endings, packed = "|".join(FORMATS), "|".join(COMPRESSED)
-    fmt = F.lower(F.regexp_extract("path", rf"\.((?i){endings})(\.({packed}))?$", 1))
-    files = discover_tables(spark, root).withColumn("fmt", fmt)
+    files = discover_tables(spark, root).withColumn("fmt", file_format(F.col("path")))
     rel, known = F.col("relative_path"), F.col("fmt") != ""
     nested = F.instr(rel, "/") > 0
     kinds = files.groupBy("table", "fmt", nested.alias("nested")).agg(

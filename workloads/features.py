@@ -25,18 +25,20 @@ def _series(spark, sf_dir) -> DataFrame:
     return load(spark, sf_dir, "events").select("event_id", "user_id", "ts", value.alias("value"))
 
 
+#: All numbers of an event but its key.
+EVENT_NUMBERS = ["value", "user_id"]
 SERIES_SQL = "s AS (SELECT event_id, user_id, ts, CASE WHEN event_type <> 'view' THEN value END AS value FROM events)"
 
 
 def _shown(df: DataFrame, *keys: str) -> DataFrame:
-    numbers = [c for c in df.columns if c.startswith("value")]
+    numbers = [c for c in df.columns if c not in (*keys, "ts") and (c.startswith(("value", "user_id_")))]
     return df.select(*keys, *[rounded(quoted(c), 6).alias(c) for c in numbers])
 
 
-def _sequence_sql(periods, windows, group="") -> tuple[str, list[str]]:
+def _sequence_sql(periods, windows, group="", columns=("value",)) -> tuple[str, list[str]]:
     """The columns made step by step, as nested views."""
     over = f"(PARTITION BY {group} ORDER BY ts, event_id" if group else "(ORDER BY ts, event_id"
-    views, names, last = [SERIES_SQL], ["value"], "s"
+    views, names, last = [SERIES_SQL], list(columns), "s"
     for p in periods:
         made = [f"lag({c}, {p}) OVER {over}) AS {c}_lag_{p}" for c in names]
         views.append(f"lag{p} AS (SELECT *, {', '.join(made)} FROM {last})")
@@ -45,17 +47,17 @@ def _sequence_sql(periods, windows, group="") -> tuple[str, list[str]]:
         made = [f"avg({c}) OVER {over} ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) AS {c}_roll_mean_{w}" for c in names]
         views.append(f"roll{w} AS (SELECT *, {', '.join(made)} FROM {last})")
         names, last = names + [f"{c}_roll_mean_{w}" for c in names], f"roll{w}"
-    shown = ", ".join(f"{rounded_sql(c, 6)} AS {c}" for c in names)
+    shown = ", ".join(f"{rounded_sql(c, 6)} AS {c}" for c in names if c != "user_id")
     return f"WITH {', '.join(views)} SELECT event_id, {shown} FROM {last}", names
 
 
 def lag_features(spark, sf_dir) -> DataFrame:
-    out = sequence.lag_features(_series(spark, sf_dir), "ts", "event_id", [1, 3], columns=["value"])
+    out = sequence.lag_features(_series(spark, sf_dir), "ts", "event_id", [1, 3], columns=EVENT_NUMBERS)
     return _shown(out, "event_id")
 
 
 def rolling_mean(spark, sf_dir) -> DataFrame:
-    out = sequence.rolling_mean(_series(spark, sf_dir), "ts", "event_id", [3, 7], columns=["value"])
+    out = sequence.rolling_mean(_series(spark, sf_dir), "ts", "event_id", [3, 7], columns=EVENT_NUMBERS)
     return _shown(out, "event_id")
 
 
@@ -375,6 +377,14 @@ def split_time(spark, sf_dir) -> DataFrame:
     return split.split_time(orders, "o_orderdate", "o_orderkey").select("o_orderkey", "split")
 
 
+def split_auto(spark, sf_dir) -> DataFrame:
+    """What the automatic split takes with a time, with strata only, and with neither."""
+    df = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    df = split.split_auto(df, "o_orderkey", time="o_orderdate", stratum="o_orderpriority", name="by_time")
+    df = split.split_auto(df, "o_orderkey", stratum="o_orderpriority", name="by_stratum")
+    return split.split_auto(df, "o_orderkey", name="by_hash").select("o_orderkey", "by_time", "by_stratum", "by_hash")
+
+
 def split_random(spark, sf_dir) -> DataFrame:
     return split.split_random(load(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
 
@@ -417,6 +427,18 @@ def _hash_side(key: str) -> str:
     return _side(f"{number} / 4294967296.0 < 0.8")
 
 
+def _named(side: str, name: str) -> str:
+    return side.removesuffix("split") + name
+
+
+SPLIT_AUTO_SQL = f"""
+SELECT o_orderkey,
+       {_named(_side(f"row_number() OVER (ORDER BY o_orderdate, o_orderkey) <= {_CUT.format(over='')}"), "by_time")},
+       {_named(_side(f"row_number() OVER (PARTITION BY o_orderpriority ORDER BY {_WIDE}) <= {_CUT.format(over='PARTITION BY o_orderpriority')}"), "by_stratum")},
+       {_named(_hash_side("o_orderkey"), "by_hash")}
+FROM orders"""
+
+
 QUERIES = {
     "feature_matrix": feature_matrix,
     "aggregate_join": aggregate_join,
@@ -432,6 +454,7 @@ QUERIES = {
     "prune_correlated": prune_correlated,
     "prune_cap": prune_cap,
     "split_time": split_time,
+    "split_auto": split_auto,
     "split_random": split_random,
     "split_random_exact": split_random_exact,
     "split_stratified": split_stratified,
@@ -444,8 +467,8 @@ ORACLES = {
     "aggregate_join": AGGREGATE_JOIN_SQL,
     "deep_features": _deep_sql(1),
     "deep_features_2": _deep_sql(2),
-    "lag_features": _sequence_sql([1, 3], [])[0],
-    "rolling_mean": _sequence_sql([], [3, 7])[0],
+    "lag_features": _sequence_sql([1, 3], [], columns=EVENT_NUMBERS)[0],
+    "rolling_mean": _sequence_sql([], [3, 7], columns=EVENT_NUMBERS)[0],
     "lag_and_rolling": _sequence_sql([1, 2], [2, 3])[0],
     "panel_lag": _sequence_sql([1, 2], [3], "user_id")[0],
     "forecast_target": FORECAST_SQL,
@@ -454,6 +477,7 @@ ORACLES = {
     "prune_correlated": PRUNE_CORRELATED_SQL,
     "prune_cap": PRUNE_CAP_SQL,
     "split_time": SPLIT_TIME_SQL,
+    "split_auto": SPLIT_AUTO_SQL,
     "split_random": f"SELECT o_orderkey, {_hash_side('o_orderkey')} FROM orders",
     "split_random_exact": SPLIT_EXACT_SQL,
     "split_stratified": SPLIT_STRATA_SQL,

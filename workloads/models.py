@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tributary.functions.columns import clip, numeric_columns
 from tributary.operators import metrics
 from tributary.operators import models as m
 from tributary.operators.profile import Relationship
+from tributary.operators.search import search_models
 from tributary.operators.split import split_random, train_test
 from tributary.plans.features import FeatureOptions, build_feature_matrix
-from tributary.plans.training import TrainOptions, train_and_evaluate
+from tributary.plans.training import TrainOptions, read_record, train_and_evaluate, write_run
+from tributary.session import shared_dir
 from workloads import risk
 from workloads import tables as t
 from workloads.tables import load, md5_number_sql, rounded, rounded_sql
@@ -144,31 +149,102 @@ def train_logistic(spark, sf_dir) -> DataFrame:
 
 
 def train_forest(spark, sf_dir) -> DataFrame:
-    return _fit_and_score(spark, sf_dir, m.ModelOptions("forest", trees=30, balanced=True))
+    return _fit_and_score(spark, sf_dir, m.ModelOptions("forest", balanced=True))
 
 
 def train_boosted(spark, sf_dir) -> DataFrame:
-    return _fit_and_score(spark, sf_dir, m.ModelOptions("boosted", rounds=8, max_depth=3))
+    """Up to 100 rounds, cut at the best one on held-out training rows."""
+    return _fit_and_score(spark, sf_dir, m.ModelOptions("boosted"))
 
 
 def train_regression(spark, sf_dir) -> DataFrame:
-    """Price of a line from its other numbers, by a forest of regression trees."""
-    columns = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "l_partkey"]
-    lines = load(spark, sf_dir, "lineitem").select(*columns, "l_extendedprice", "l_orderkey")
-    train, test = train_test(split_random(lines, "l_orderkey"))
-    options = m.ModelOptions("forest", task=m.REGRESSION, trees=10)
-    return _metric_rows(spark, m.evaluate(m.fit_model(train, columns, "l_extendedprice", options), test))
+    """Price of a line from all its other numbers, by a forest of regression trees."""
+    lines = load(spark, sf_dir, "lineitem")
+    columns = numeric_columns(lines, skip=["l_extendedprice"])
+    train, test = train_test(split_random(lines.select(*columns, "l_extendedprice"), "l_orderkey"))
+    return _metric_rows(spark, m.evaluate(m.fit_model(train, columns, "l_extendedprice", m.ModelOptions("forest", task=m.REGRESSION)), test))
 
 
 def model_search(spark, sf_dir) -> DataFrame:
+    """Trials of a search by log loss within ten minutes, on growing samples."""
     train, _ = _halves(spark, sf_dir)
     candidates = [
         m.ModelOptions("logistic"),
         m.ModelOptions("logistic", inverse_penalty=0.01),
-        m.ModelOptions("forest", trees=10),
+        m.ModelOptions("logistic", inverse_penalty=0.0001),
+        m.ModelOptions("forest"),
     ]
-    _, trials = m.search_models(train, FEATURES, "target", candidates, "accuracy", key="vec_id", budget=3)
-    return spark.createDataFrame(trials, "trial int, kind string, accuracy double")
+    found = search_models(train, FEATURES, "target", candidates, "log_loss", key="vec_id", seconds=600, least_rows=200)
+    return found.report(spark)
+
+
+#: Lines of both sides by order, and the price's line over the quantity, fitted where asked.
+_LINES = f"""WITH l AS (
+  SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice,
+         {md5_number_sql("'42:' || l_orderkey")} / 4294967296.0 < 0.8 AS train, {md5_number_sql("'42:' || l_orderkey")} % 5 AS fold
+  FROM lineitem)"""
+#: A penalty of next to nothing, so that the closed form holds.
+_PLAIN = m.ModelOptions("linear", task=m.REGRESSION, inverse_penalty=1e12)
+
+
+def _lines(spark, sf_dir) -> DataFrame:
+    return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+
+
+def train_linear(spark, sf_dir) -> DataFrame:
+    """Test rows scored by a line that the training rows give; batch scoring of a model in closed form."""
+    train, test = train_test(split_random(_lines(spark, sf_dir), "l_orderkey"))
+    model = m.fit_model(train, ["l_quantity"], "l_extendedprice", _PLAIN, key="l_orderkey")
+    return model.score(test).select("l_orderkey", "l_linenumber", rounded(F.col("prediction"), 3).alias("prediction"))
+
+
+LINEAR_SQL = f"""{_LINES},
+fit AS (SELECT regr_slope(l_extendedprice, l_quantity) AS s, regr_intercept(l_extendedprice, l_quantity) AS i FROM l WHERE train)
+SELECT l_orderkey, l_linenumber, {rounded_sql("i + s * l_quantity", 3)} AS prediction FROM l, fit WHERE NOT train"""
+
+
+def saved_model(spark, sf_dir) -> DataFrame:
+    """The same by the model as it comes back from its folder."""
+    train, test = train_test(split_random(_lines(spark, sf_dir), "l_orderkey"))
+    folder = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+    m.fit_model(train, ["l_quantity"], "l_extendedprice", _PLAIN, key="l_orderkey").save(folder)
+    scored = m.FittedModel.load(folder).score(test)
+    return scored.select("l_orderkey", "l_linenumber", rounded(F.col("prediction"), 3).alias("prediction"))
+
+
+def oof_linear(spark, sf_dir) -> DataFrame:
+    """Every line scored by the line of the four folds it is not in."""
+    scored = m.out_of_fold(_lines(spark, sf_dir).withColumn("quantity", F.col("l_quantity")), ["quantity"], "l_extendedprice", "l_orderkey", _PLAIN)
+    return scored.select("l_orderkey", "fold", rounded(F.col("prediction"), 3).alias("prediction"))
+
+
+OOF_SQL = f"""{_LINES},
+fit AS (SELECT f AS fold, regr_slope(l_extendedprice, l_quantity) AS s, regr_intercept(l_extendedprice, l_quantity) AS i
+        FROM l, range(5) AS folds(f) WHERE l.fold <> f GROUP BY f)
+SELECT l_orderkey, l.fold, {rounded_sql("i + s * l_quantity", 3)} AS prediction FROM l JOIN fit ON fit.fold = l.fold"""
+
+
+def metric_gate(spark, sf_dir) -> DataFrame:
+    """The accuracy of the guess, which passes a bar of 0.1."""
+    found = metrics.metric_gate(metrics.accuracy(_predictions(spark, sf_dir), "label", "prediction"), "accuracy", 0.1)
+    return found.select(rounded(F.col("accuracy"), 8).alias("accuracy"))
+
+
+def metrics_by_name(spark, sf_dir) -> DataFrame:
+    """Log loss, F1, mean absolute error and explained variance of the guess."""
+    guess = _predictions(spark, sf_dir).withColumn("probability", clip(F.col("score"), 0.01, 0.99))
+    one_row = metrics.log_loss(guess, "label", "probability")
+    for measure in (metrics.f1, metrics.mae, metrics.r2):
+        one_row = one_row.crossJoin(measure(guess, "label", "prediction"))
+    return one_row.select(*[rounded(F.col(c), 8).alias(c) for c in ("log_loss", "f1", "mae", "r2")])
+
+
+METRICS_SQL = f"""{PREDICTIONS_SQL},
+g AS (SELECT label, CASE WHEN score > 0.4::DOUBLE THEN 1 ELSE 0 END AS said, greatest(0.01::DOUBLE, least(0.99::DOUBLE, score)) AS s FROM p)
+SELECT {rounded_sql("-avg(CASE WHEN label = 1 THEN ln(s) ELSE ln(1.0::DOUBLE - s) END)", 8)} AS log_loss,
+       {rounded_sql("2.0 * sum(label * said) / (sum(label) + sum(said))", 8)} AS f1,
+       {rounded_sql("avg(abs(label - said))", 8)} AS mae,
+       {rounded_sql("1.0 - avg((label - said) * (label - said)) / var_pop(label)", 8)} AS r2 FROM g"""
 
 
 def batch_score(spark, sf_dir) -> DataFrame:
@@ -178,12 +254,12 @@ def batch_score(spark, sf_dir) -> DataFrame:
 
 
 def oof_predictions(spark, sf_dir) -> DataFrame:
-    return m.out_of_fold(_vectors(spark, sf_dir), FEATURES, "target", "vec_id", m.ModelOptions("logistic"), folds=3)
+    return m.out_of_fold(_vectors(spark, sf_dir), FEATURES, "target", "vec_id", m.ModelOptions("logistic"))
 
 
 def feature_importance(spark, sf_dir) -> DataFrame:
     train, _ = _halves(spark, sf_dir)
-    model = m.fit_model(train, FEATURES, "target", m.ModelOptions("forest", trees=20), key="vec_id")
+    model = m.fit_model(train, FEATURES, "target", m.ModelOptions("forest"), key="vec_id")
     return spark.createDataFrame(model.importance(), "feature string, importance double")
 
 
@@ -195,31 +271,25 @@ ACTIVITY = [
 
 
 def training_run(spark, sf_dir) -> DataFrame:
-    """Labelled users, synthesised and pruned features, a stratified split and a model, end to end."""
-    labelled = risk.risk_labels(spark, sf_dir).select("user_id", "account_type", "country", "income", "signup_date", "is_fraud")
+    """Labelled users, synthesised and pruned features, a stratified split and a model, end to end.
+
+    The record of the run, as it is read back from the folder that has the matrix and the model.
+    """
     tables = {
-        "users": labelled,
-        "transactions": t.transactions(spark, sf_dir).select("transaction_id", "user_id", "amount", "merchant_risk"),
-        "logins": t.logins(spark, sf_dir).select("login_id", "user_id", "success"),
+        "users": risk.risk_labels(spark, sf_dir).select("user_id", "account_type", "country", "income", "signup_date", "is_fraud"),
+        "transactions": t.transactions(spark, sf_dir),
+        "logins": t.logins(spark, sf_dir),
         "devices": t.devices(spark, sf_dir),
     }
     keys = {"users": ["user_id"], "transactions": ["transaction_id"], "logins": ["login_id"], "devices": []}
-    options = FeatureOptions(
-        anchor="users", relationships=ACTIVITY, keys=keys, row_key="user_id", deep=True, max_depth=1
-    )
+    options = FeatureOptions(anchor="users", relationships=ACTIVITY, keys=keys, row_key="user_id", deep=True)
     options.prune.protect = ["user_id", "is_fraud"]
     matrix = build_feature_matrix(tables, options)
-    result = train_and_evaluate(
-        matrix.df,
-        TrainOptions(
-            target="is_fraud",
-            row_key="user_id",
-            stratum="is_fraud",
-            encode_text=True,
-            model=m.ModelOptions("logistic", max_iter=100, balanced=True),
-        ),
-    )
-    return result.report(spark).drop("seconds")
+    asked = TrainOptions(target="is_fraud", row_key="user_id", stratum="is_fraud", encode_text=True, model=m.ModelOptions("logistic", balanced=True))
+    folder = write_run(train_and_evaluate(matrix.df, asked), matrix.df, f"{shared_dir(spark)}/runs")
+    kept = ["run_id", "data_fingerprint", "backend", "kind", "task", "hyperparameters", "features", "train_rows", "test_rows", "accuracy"]
+    record = read_record(spark, folder)
+    return spark.createDataFrame([tuple(record[k] for k in kept)], kept)
 
 
 QUERIES = {
@@ -230,6 +300,11 @@ QUERIES = {
     "metric_accuracy": metric_accuracy,
     "metric_auc": metric_auc,
     "metric_rmse": metric_rmse,
+    "metric_gate": metric_gate,
+    "metrics_by_name": metrics_by_name,
+    "train_linear": train_linear,
+    "saved_model": saved_model,
+    "oof_linear": oof_linear,
     "train_logistic": train_logistic,
     "train_forest": train_forest,
     "train_boosted": train_boosted,
@@ -249,5 +324,11 @@ ORACLES = {
     "metric_accuracy": f"""{PREDICTIONS_SQL}
         SELECT {rounded_sql("avg(CASE WHEN (score > 0.4::DOUBLE) = (label = 1) THEN 1.0 ELSE 0.0 END)", 8)} AS accuracy FROM p""",
     "metric_auc": AUC_SQL,
+    "metric_gate": f"""{PREDICTIONS_SQL}
+        SELECT {rounded_sql("avg(CASE WHEN (score > 0.4::DOUBLE) = (label = 1) THEN 1.0 ELSE 0.0 END)", 8)} AS accuracy FROM p""",
+    "metrics_by_name": METRICS_SQL,
+    "train_linear": LINEAR_SQL,
+    "saved_model": LINEAR_SQL,
+    "oof_linear": OOF_SQL,
     "metric_rmse": RMSE_SQL,
 }

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tributary.functions.columns import parse_ts, valid_ipv4
 from tributary.operators import aggregates as agg
-from tributary.operators import profile
+from tributary.operators import drift, profile
 from tributary.operators.prune import correlation_pairs as pair_correlations
 from tributary.operators.sequence import number_rows
 from tributary.plans.features import find_keys
+from tributary.session import shared_dir
 from tributary.sources.tables import union_rows
 from workloads.tables import load, load_all, rounded, rounded_sql
 
@@ -87,7 +90,8 @@ TIME_SQL = (
 
 def relationships(spark, sf_dir) -> DataFrame:
     tables = load_all(spark, sf_dir)
-    found = profile.relationships(tables, find_keys(tables))
+    sets = profile.column_sets(tables)
+    found = profile.relationships(tables, find_keys(tables, sets), sets=sets)
     return found.withColumn("overlap", rounded(F.col("overlap"), 6))
 
 
@@ -369,6 +373,36 @@ def drift_psi(spark, sf_dir) -> DataFrame:
     return out.select(F.col("column").alias("column_name"), rounded(F.col("psi"), 8).alias("psi"))
 
 
+def drift_state(spark, sf_dir) -> DataFrame:
+    """Statistics of all orders from the kept states of three years' worth and the rest, which are not read again.
+
+    Medians are sketched; ``median_within`` says whether an exact count of all
+    rows finds each within the sketches' bound.
+    """
+    orders = load(spark, sf_dir, "orders").select("o_orderdate", *DRIFT_COLUMNS)
+    root = f"{shared_dir(spark)}/drift-{uuid.uuid4().hex}"
+    part = F.least(F.greatest(F.year("o_orderdate"), F.lit(1998)), F.lit(2001))
+    for year in range(1998, 2002):
+        drift.write_state(orders.where(part == year), root, f"year-{year}", DRIFT_COLUMNS)
+    found = drift.state_statistics(drift.read_state(spark, root), [0.5])
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in DRIFT_COLUMNS])
+    ranks = orders.select(F.inline(cells)).join(found.select("column", "q50"), "column").groupBy("column").agg(
+        F.avg((F.col("v") < F.col("q50")).cast("double")).alias("below"), F.avg((F.col("v") <= F.col("q50")).cast("double")).alias("upto")
+    )
+    within = (F.col("below") - drift.RANK_ERROR <= 0.5) & (F.col("upto") + drift.RANK_ERROR >= 0.5)
+    both = found.join(ranks, "column").withColumn("median_within", within.cast("int"))
+    numbers = [rounded(F.col(v), 4).alias(v) for v in ("mean", "std", "minimum", "maximum")]
+    return both.select(F.col("column").alias("column_name"), "n", "n_null", *numbers, "median_within")
+
+
+DRIFT_STATE_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count({c}) AS n, count(*) - count({c}) AS n_null, {rounded_sql(f'avg({c})', 4)} AS mean,"
+    f" {rounded_sql(f'stddev_samp({c})', 4)} AS std, {rounded_sql(f'min({c})', 4)} AS minimum, {rounded_sql(f'max({c})', 4)} AS maximum,"
+    f" 1 AS median_within FROM orders"
+    for c in DRIFT_COLUMNS
+)
+
+
 def _psi_sql(c: str) -> str:
     bins = " + ".join(f"(CASE WHEN {c} > q[{i}] THEN 1 ELSE 0 END)" for i in range(1, 10))
     return f"""SELECT '{c}' AS column_name, {rounded_sql("sum((b - a) * ln(b / a))", 8)} AS psi FROM (
@@ -402,6 +436,7 @@ QUERIES = {
     "baseline_stats": baseline_stats,
     "top_values": top_values,
     "drift_psi": drift_psi,
+    "drift_state": drift_state,
 }
 
 ORACLES = {
@@ -421,4 +456,5 @@ ORACLES = {
     "baseline_stats": BASELINE_SQL,
     "top_values": TOP_SQL,
     "drift_psi": DRIFT_SQL,
+    "drift_state": DRIFT_STATE_SQL,
 }

@@ -14,9 +14,7 @@ from workloads.tables import load, rounded, rounded_sql, stamp, stamp_sql, with_
 
 
 def _inputs(spark: SparkSession, sf_dir: str):
-    # Activity by finished orders only, so that some users have none.
-    tx = t.transactions(spark, sf_dir).where(F.col("status") == "F")
-    return t.users(spark, sf_dir), tx, t.logins(spark, sf_dir), t.devices(spark, sf_dir)
+    return t.users(spark, sf_dir), t.transactions(spark, sf_dir), t.logins(spark, sf_dir), t.devices(spark, sf_dir)
 
 
 def _as_of(spark, sf_dir):
@@ -60,7 +58,7 @@ base AS (
 
 USER_AGGREGATES_SQL = f"""
 {with_views("users", "transactions", "logins", "devices")},
-{USER_SIGNALS.format(where="WHERE status = 'F'")}
+{USER_SIGNALS.format(where="")}
 SELECT user_id, total_txns, {rounded_sql("sum_amount", 2)} AS sum_amount, {rounded_sql("avg_amount", 4)} AS avg_amount,
        {rounded_sql("txn_std", 4)} AS txn_std, failed_logins, num_devices, recent_txns,
        {rounded_sql("avg_merchant_risk", 6)} AS avg_merchant_risk, account_age_days::DOUBLE AS account_age_days
@@ -69,8 +67,7 @@ FROM base"""
 
 def risk_labels(spark, sf_dir) -> DataFrame:
     """Users with score and label, all transactions counted."""
-    everyone, _, logins, devices = _inputs(spark, sf_dir)
-    return risk.risk_score(everyone, t.transactions(spark, sf_dir), logins, devices, _as_of(spark, sf_dir))
+    return risk.risk_score(*_inputs(spark, sf_dir), _as_of(spark, sf_dir))
 
 
 def risk_score(spark, sf_dir) -> DataFrame:
@@ -119,8 +116,7 @@ FROM labelled"""
 
 
 def tx_aggregates(spark, sf_dir) -> DataFrame:
-    finished = load(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "F")
-    tx = finished.select(F.col("o_custkey").alias("user_id"), F.col("o_totalprice").alias("amount"))
+    tx = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_totalprice").alias("amount"))
     out = agg.amount_aggregates(tx, "user_id", "amount")
     return out.select(
         "user_id",
@@ -135,7 +131,7 @@ TX_AGGREGATES_SQL = f"""
 SELECT o_custkey AS user_id, count(*) AS total_txns, {rounded_sql("sum(o_totalprice)", 2)} AS sum_amount,
        {rounded_sql("avg(o_totalprice)", 4)} AS avg_amount,
        {rounded_sql("coalesce(stddev_samp(o_totalprice), 0)", 4)} AS txn_std
-FROM orders WHERE o_orderstatus = 'F' GROUP BY 1"""
+FROM orders GROUP BY 1"""
 
 
 def failed_logins(spark, sf_dir) -> DataFrame:
@@ -314,6 +310,37 @@ SELECT merchant_id, count(*) AS n_txns, {rounded_sql("sum(amount)", 2)} AS amoun
 FROM known GROUP BY 1"""
 
 
+def category_concentration(spark, sf_dir) -> DataFrame:
+    """Volume and risk of merchants in their category, and of categories, in one grouping."""
+    merchants = t.merchants(spark, sf_dir).select("merchant_id", "merchant_category")
+    tx = t.transactions(spark, sf_dir).where("merchant_id is not null").join(merchants, "merchant_id", "left")
+    out = patterns.merchant_concentration(tx, "merchant_id", "amount", "merchant_risk", category="merchant_category")
+    return out.select(
+        "level",
+        "merchant_id",
+        "merchant_category",
+        "n_txns",
+        rounded(F.col("amount"), 2).alias("amount"),
+        rounded(F.col("share"), 8).alias("share"),
+        rounded(F.col("mean_risk"), 6).alias("mean_risk"),
+        "high_risk",
+    )
+
+
+CATEGORY_SQL = f"""
+{with_views("transactions", "merchants")},
+known AS (SELECT x.*, m.merchant_category FROM transactions x LEFT JOIN merchants m USING (merchant_id) WHERE x.merchant_id IS NOT NULL),
+per AS (
+  SELECT 'merchant' AS level, merchant_id, merchant_category, count(*) AS n_txns, sum(amount) AS amount, avg(merchant_risk) AS risk
+  FROM known GROUP BY 2, 3
+  UNION ALL
+  SELECT 'category', NULL, merchant_category, count(*), sum(amount), avg(merchant_risk) FROM known GROUP BY 3)
+SELECT level, merchant_id, merchant_category, n_txns, {rounded_sql("amount", 2)} AS amount,
+       {rounded_sql("amount / (SELECT sum(amount) FROM known)", 8)} AS share, {rounded_sql("risk", 6)} AS mean_risk,
+       CASE WHEN risk >= 0.8 THEN 1 ELSE 0 END AS high_risk
+FROM per"""
+
+
 def near_duplicates(spark, sf_dir) -> DataFrame:
     parts = load(spark, sf_dir, "part")
     return patterns.near_duplicates(parts, "p_partkey", ["p_name", "p_brand", "p_type", "p_size"])
@@ -406,6 +433,7 @@ QUERIES = {
     "velocity_bursts": velocity_bursts,
     "takeover": takeover,
     "merchant_concentration": merchant_concentration,
+    "category_concentration": category_concentration,
     "near_duplicates": near_duplicates,
     "leakage_scan": leakage_scan,
     "dataset_report": dataset_report,
@@ -428,6 +456,7 @@ ORACLES = {
     "velocity_bursts": VELOCITY_SQL,
     "takeover": TAKEOVER_SQL,
     "merchant_concentration": MERCHANT_SQL,
+    "category_concentration": CATEGORY_SQL,
     "near_duplicates": NEAR_DUPLICATES_SQL,
     "leakage_scan": LEAKAGE_SQL,
     "dataset_report": DATASET_SQL,

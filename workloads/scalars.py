@@ -11,7 +11,7 @@ from tributary.functions import columns as c
 from tributary.operators import aggregates as agg
 from tributary.operators import joins
 from tributary.session import shared_dir
-from tributary.sources import fingerprint, tables
+from tributary.sources import accounts, fingerprint, tables
 from workloads.tables import (
     TABLE_NAMES,
     load,
@@ -28,6 +28,44 @@ def discover_tables(spark, sf_dir) -> DataFrame:
     return tables.table_summary(spark, sf_dir).withColumnRenamed("table", "table_name")
 
 
+def file_accounts(spark, sf_dir) -> DataFrame:
+    """Rows of every table by what became of its files; broken or cut files would have rows of their own."""
+    found = accounts.account_files(spark, sf_dir)
+    return found.groupBy(F.col("table").alias("table_name"), "status").agg(F.sum("rows").alias("n_rows"))
+
+
+FILE_ACCOUNTS_SQL = " UNION ALL ".join(f"SELECT '{n}' AS table_name, 'read' AS status, count(*) AS n_rows FROM {n}" for n in TABLE_NAMES)
+
+
+def row_estimates(spark, sf_dir) -> DataFrame:
+    """Rows of every table from the footers of its files."""
+    found = accounts.load_guard(accounts.estimate_rows(spark, sf_dir), 1 << 40)
+    return found.select(F.col("table").alias("table_name"), F.col("rows").alias("n_rows"), "low", "high", "method")
+
+
+ROW_ESTIMATES_SQL = " UNION ALL ".join(
+    f"SELECT '{n}' AS table_name, count(*) AS n_rows, count(*) AS low, count(*) AS high, 'footers' AS method FROM {n}" for n in TABLE_NAMES
+)
+
+
+def file_digests(spark, sf_dir) -> DataFrame:
+    """The hash tree's root of every file's contents."""
+    found = fingerprint.file_tokens(spark, sf_dir, "sha256")
+    return found.select(F.col("table").alias("table_name"), "relative_path", "token", "size")
+
+
+def written_features(spark, sf_dir) -> DataFrame:
+    """Orders as a feature table that is written whole and read back."""
+    path = f"{shared_dir(spark)}/features-{uuid.uuid4().hex}"
+    tables.write_features(load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority"), path)
+    return tables.read_table(spark, path)
+
+
+def drop_columns(spark, sf_dir) -> DataFrame:
+    """Customers without their name, nor anything that ends in a balance."""
+    return c.drop_columns(load(spark, sf_dir, "customer"), ["c_name"], suffix="bal")
+
+
 def csv_roundtrip(spark, sf_dir) -> DataFrame:
     """Orders written as CSV and read back with their schema."""
     orders = load(spark, sf_dir, "orders")
@@ -135,12 +173,12 @@ TO_NUMBER_SQL = "SELECT event_id, CASE WHEN event_type NOT IN ('error', 'signup'
 
 
 def fill_defaults(spark, sf_dir) -> DataFrame:
-    """Customers without finished orders get constants."""
-    finished = load(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "F")
-    spent = finished.groupBy("o_custkey").agg(
+    """All orders, counted for the even customers next below; odd customers have none and get constants."""
+    buyer = F.col("o_custkey") - F.col("o_custkey") % 2
+    spent = load(spark, sf_dir, "orders").groupBy(buyer.alias("buyer")).agg(
         F.count("*").alias("n_orders"), F.max("o_totalprice").alias("largest"), F.max("o_orderpriority").alias("priority")
     )
-    joined = load(spark, sf_dir, "customer").join(spent, F.col("c_custkey") == F.col("o_custkey"), "left")
+    joined = load(spark, sf_dir, "customer").join(spent, F.col("c_custkey") == F.col("buyer"), "left")
     picked = joined.select("c_custkey", "n_orders", "largest", "priority")
     return c.fill(picked, {"n_orders": 0, "largest": 365.0, "priority": "none"})
 
@@ -148,8 +186,8 @@ def fill_defaults(spark, sf_dir) -> DataFrame:
 FILL_SQL = """
 SELECT c_custkey, coalesce(n, 0) AS n_orders, coalesce(largest, 365.0) AS largest, coalesce(priority, 'none') AS priority
 FROM customer LEFT JOIN (
-  SELECT o_custkey, count(*) AS n, max(o_totalprice) AS largest, max(o_orderpriority) AS priority
-  FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) ON o_custkey = c_custkey"""
+  SELECT o_custkey - o_custkey % 2 AS buyer, count(*) AS n, max(o_totalprice) AS largest, max(o_orderpriority) AS priority
+  FROM orders GROUP BY 1) ON buyer = c_custkey"""
 
 
 def dedupe(spark, sf_dir) -> DataFrame:
@@ -243,6 +281,11 @@ FROM documents"""
 
 QUERIES = {
     "discover_tables": discover_tables,
+    "file_accounts": file_accounts,
+    "row_estimates": row_estimates,
+    "file_digests": file_digests,
+    "written_features": written_features,
+    "drop_columns": drop_columns,
     "csv_roundtrip": csv_roundtrip,
     "sample_rows": sample_rows,
     "row_guard": row_guard,
@@ -264,6 +307,10 @@ QUERIES = {
 }
 
 ORACLES = {
+    "file_accounts": FILE_ACCOUNTS_SQL,
+    "row_estimates": ROW_ESTIMATES_SQL,
+    "written_features": "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders",
+    "drop_columns": "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer",
     "csv_roundtrip": CSV_SQL,
     "sample_rows": SAMPLE_SQL,
     "row_guard": ROW_GUARD_SQL,
