@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+from tributary.llm import ngram_join
 from tributary.llm.ngram_join import Grams, _pack, _pack_places, _unpack, _unpack_places, near_duplicates, overlap_bound, prefix_length, similar
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -60,7 +61,9 @@ def corpus(rng):
 
 
 @pytest.mark.parametrize("sizes", [{}, {"chunk_rows": 150, "shard_rows": 64, "partners": 1}])
-def test_join_equals_all_pairs(spark, sizes):
+def test_join_equals_all_pairs(spark, monkeypatch, sizes):
+    if sizes:  # beyond the size that is sent to all tasks
+        monkeypatch.setattr(ngram_join, "SENT_BYTES", 0)
     rng = random.Random(8)
     texts = corpus(rng)
     rows = list(zip(rng.sample(range(10_000), len(texts)), texts, strict=True))
@@ -70,6 +73,17 @@ def test_join_equals_all_pairs(spark, sizes):
     assert got == slow_join(rows)
 
 
+@pytest.mark.parametrize("most_bytes", [0, 1 << 40])
+def test_components_of_long_chains(spark, most_bytes):
+    rng = random.Random(6)
+    names = rng.sample(range(1_000, 10_000), 220)
+    pairs = [(names[i], names[i + 1]) for i in range(99)] + [(names[i], names[rng.randint(100, i - 1)]) for i in range(101, 200)] + [(names[200], names[201])]
+    links = spark.createDataFrame([(str(a).encode(), str(b).encode()) for a, b in pairs], "a binary, b binary")
+    got = {r.node: r.root for r in ngram_join._components(links, most_bytes).collect()}
+    assert len(got) == 202 and len(set(got.values())) == 3
+    assert all(got[str(a).encode()] == got[str(b).encode()] for a, b in pairs)
+
+
 def test_nothing_and_only_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(df).count() == 0

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tributary.llm.common import small_batches
-from tributary.llm.graph import components
 from tributary.session import durable
 
 #: Words of an n-gram, and least similarity in percent.
@@ -22,7 +21,9 @@ CHUNK, CHUNK_DOCS, SHARD = 1 << 20, 1 << 16, 1 << 20
 #: Bytes of a text cut into words at once, and words whose hashes a task remembers.
 PIECE, WORDS = 1 << 20, 1 << 17
 #: Partners that each bucket chooses in its first round, and the growth from round to round.
-PARTNERS, GROWTH = 2, 8
+PARTNERS, GROWTH = 16, 16
+#: Most bytes of a table that is sent to all tasks, and about the bytes that a row of a bucket or a label takes there.
+SENT_BYTES, ROW_BYTES, LABEL_BYTES = 16 << 20, 100, 64
 #: Halvings of the suffix filter.
 SUFFIX_DEPTH = 3
 #: Bytes that a shard gets of a hash, besides those that name the shard.
@@ -283,6 +284,43 @@ def _verify(percent: int):  # noqa: ANN202
     return run
 
 
+def _sized(df: DataFrame, most_bytes: int) -> DataFrame:
+    """``df`` for a join: sent to all tasks if it surely has no more than ``SENT_BYTES``, else joined by shuffles."""
+    return F.broadcast(df) if most_bytes <= SENT_BYTES else df
+
+
+def _labels(links: DataFrame, most_bytes: int) -> DataFrame:
+    """``node, part`` of all nodes of ``links(a, b)``: a node of the same component, mostly its smallest."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("part"))
+    far = both.join(_sized(near, most_bytes), F.col("b") == F.col("node")).groupBy("a").agg(F.min("part").alias("part"))
+    far = durable(far.select(F.col("a").alias("node"), "part"), "ngram-labels")
+    jump = far.select(F.col("node").alias("part"), F.col("part").alias("next"))
+    return far.join(_sized(jump, most_bytes), "part", "left").select("node", F.coalesce("next", "part").alias("part"))
+
+
+def _components(links: DataFrame, most_bytes: int) -> DataFrame:
+    """``node, root`` of all nodes of ``links``; nodes of one component, and only these, have the same root.
+
+    A step labels all nodes; links between different labels are the links of the
+    next step, in which labels are the nodes. Every component that is not
+    done yet has at most half as many labels afterwards.
+    """
+    roots, edges = None, links
+    while True:
+        labels = durable(_labels(edges, most_bytes), "ngram-parts")
+        ends = [_sized(labels.select(F.col("node").alias(c), F.col("part").alias(f"part_{c}")), most_bytes) for c in "ab"]
+        across = edges.join(ends[0], "a").join(ends[1], "b").where("part_a <> part_b")
+        edges = durable(across.select(F.col("part_a").alias("a"), F.col("part_b").alias("b")).distinct(), "ngram-across")
+        if roots is None:
+            roots = labels.withColumnRenamed("part", "root")
+        else:
+            moved = _sized(labels.select(F.col("node").alias("root"), "part"), most_bytes)
+            roots = roots.join(moved, "root", "left").select("node", F.coalesce("part", "root").alias("root"))
+        if edges.isEmpty():
+            return roots
+
+
 def _joined(sets: DataFrame, percent: int, partners: int) -> DataFrame:
     """``node, root`` of the classes that have links, for ``sets(cls, n, common)``, one row per class.
 
@@ -293,22 +331,29 @@ def _joined(sets: DataFrame, percent: int, partners: int) -> DataFrame:
     is done when the rest of it is linked already. The members of its largest
     linked part are never partners: each pair still missing has one outside of
     it. So many near copies of one text cost a few pairs each, while members
-    that stay apart all meet, as an exact join has to.
+    that stay apart all meet, as an exact join has to. Labels that tell linked
+    parts apart between the rounds may be finer than the components are, which
+    only makes more pairs meet.
     """
     spark = sets.sparkSession
     classes = durable(sets, "ngram-classes")
+    held = classes.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.length("common")), F.lit(0)).alias("bytes")).first()
+    label_bytes, set_bytes = held["rows"] * LABEL_BYTES, held["bytes"] + held["rows"] * ROW_BYTES
     left = durable(classes.mapInArrow(_postings(percent), "gram long, cls binary, n long, pos long"), "ngram-postings")
-    roots = spark.createDataFrame([], "node binary, root binary")
-    tested = links = None
+    left = left.withColumn("part", F.col("cls"))
+    tested: list[DataFrame] = []
+    links = spark.createDataFrame([], "a binary, b binary")
     while True:
-        named = left.join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-        named = named.select("gram", "cls", "n", "pos", F.coalesce("root", "cls").alias("part"))
-        parts = named.groupBy("gram", "part").agg(F.count(F.lit(1)).alias("size"))
+        if tested:
+            labels = _labels(links, label_bytes).withColumnRenamed("node", "cls")
+            left = left.join(_sized(labels, label_bytes), "cls", "left").withColumn("part", F.coalesce("part", "cls"))
+        parts = left.groupBy("gram", "part").agg(F.count(F.lit(1)).alias("size"))
         unlinked = parts.groupBy("gram").agg(F.max(F.struct("size", "part")).alias("most"), F.count(F.lit(1)).alias("parts"))
         unlinked = unlinked.where("parts > 1").select("gram", F.col("most.part").alias("most"))
-        left = durable(named.join(unlinked, "gram"), "ngram-buckets")
-        if left.isEmpty():
-            return roots
+        left = durable(left.join(unlinked, "gram"), "ngram-buckets")
+        bucket_bytes = left.count() * ROW_BYTES
+        if not bucket_bytes:
+            return _components(links, label_bytes)
         in_order = F.row_number().over(Window.partitionBy("gram").orderBy("cls"))
         partner = left.where("part <> most").withColumn("rn", in_order).where(F.col("rn") <= partners)
         partner = durable(partner.select("gram", "cls", "n", "pos", "part"), "ngram-partners")
@@ -316,18 +361,17 @@ def _joined(sets: DataFrame, percent: int, partners: int) -> DataFrame:
         need = overlap_needed(F.col("n"), F.col("n_a"), percent)
         most = F.least(F.col("n") - F.col("pos"), F.col("n_a") - F.col("pos_a"))
         fits = (F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * percent) & (most >= need)
-        met = left.join(a, "gram").where((F.col("part") != F.col("part_a")) & fits)
+        met = left.join(_sized(a, bucket_bytes), "gram").where((F.col("part") != F.col("part_a")) & fits)
         pairs = met.select(F.least("cls", "cls_a").alias("a"), F.greatest("cls", "cls_a").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = durable(pairs, "ngram-pairs")
-        one, two = (classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("common").alias(f"common_{c}")) for c in "ab")
-        found = pairs.join(two, "b").join(one, "a").mapInArrow(_verify(percent), "a binary, b binary")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = durable(found if links is None else found.unionByName(links), "ngram-links")
-        roots = components(links)
-        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        left = left.drop("part", "most").join(partner.select("gram", "cls"), ["gram", "cls"], "left_anti")
+        for before in tested:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        tested.append(durable(pairs, "ngram-pairs"))
+        one, two = (
+            _sized(classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("common").alias(f"common_{c}")), set_bytes) for c in "ab"
+        )
+        found = tested[-1].join(two, "b").join(one, "a").mapInArrow(_verify(percent), "a binary, b binary")
+        links = links.unionByName(durable(found, "ngram-links"))
+        left = left.drop("part", "most").join(_sized(partner.select("gram", "cls"), bucket_bytes), ["gram", "cls"], "left_anti")
         partners *= GROWTH
 
 
