@@ -1,63 +1,137 @@
 """A small labelled table for the block classifier: pages whose elements carry ``data-main`` (1: main text, 0: not).
 
-Pages are put together from labelled pieces by a rule, so that the tree sees
-long and short paragraphs next to long and short notices, with and without
-sectioning elements.
+The pages are made by a rule from a seed, in three styles: with sectioning
+elements, with telling class names, and with neither, where only the shape of
+blocks and of their neighbours tells an article from what surrounds it. Article
+paragraphs hold links, menus may hold none, and names that tell something may
+stand on an element that holds the whole page.
 """
 
 from __future__ import annotations
 
-MARK = "data-main"
-
-_WORDS = "river stone early market wind paper under garden seven quiet lamp road winter field voice"
-
-
-def _text(n: int) -> str:
-    words = _WORDS.split()
-    return " ".join(words[i * 7 % len(words)] for i in range(n))
-
-
-def _links(n: int) -> str:
-    return "".join(f'<li><a href="/{i}">{_text(1 + i % 2)}</a></li>' for i in range(n))
-
-
-def _paragraphs(lengths: tuple[int, ...], main: int = 1) -> str:
-    return "".join(f'<p {MARK}="{main}">{_text(n)}</p>' for n in lengths)
+from random import Random
 
-
-_MENU = f'<nav {MARK}="0"><ul>{_links(5)}</ul></nav>'
-_DIV_MENU = f'<div class="menu" {MARK}="0"><ul>{_links(6)}</ul></div>'
-_PLAIN_MENU = f'<ul {MARK}="0">{_links(7)}</ul>'
-_HEADER = f'<header {MARK}="0"><h1>{_text(2)}</h1><p>{_text(5)}</p></header>'
-_FOOTER = f'<footer {MARK}="0"><p>{_text(9)}</p> {_text(4)}</footer>'
-_DIV_FOOTER = f'<div id="footer" {MARK}="0">{_text(16)} <a href="/x">{_text(1)}</a></div>'
-_AD = f'<div class="ad" {MARK}="0">{_text(8)}</div>'
-_LONG_AD = f'<div class="sponsored" {MARK}="0"><p>{_text(45)}</p></div>'
-_SIDEBAR = f'<aside {MARK}="0"><h3>{_text(2)}</h3><p>{_text(30)}</p><ul>{_links(3)}</ul></aside>'
-_DIV_SIDEBAR = f'<div class="sidebar" {MARK}="0"><h3>{_text(2)}</h3><p>{_text(60)}</p></div>'
-_NOTICE = f'<div class="cookie-notice" {MARK}="0"><p>{_text(25)}</p></div>'
-_FORM = f'<form {MARK}="0"><p>{_text(6)}</p><label>{_text(2)}</label><input name="q"></form>'
-_COMMENTS = f'<section class="comments" {MARK}="0"><h2>{_text(1)}</h2><div><p>{_text(40)}</p></div><div><p>{_text(3)}</p></div></section>'
-_SHARE = f'<p {MARK}="0"><a href="/s">{_text(2)}</a> <a href="/t">{_text(2)}</a></p>'
-_BODIES = ((60, 45, 80), (3, 50, 2), (1,), (25, 4, 30, 6), (120,), (5, 5, 5), (14, 200))
-
-
-def _article(lengths: tuple[int, ...], extra: str = "") -> str:
-    items = f'<ul><li {MARK}="1">{_text(9)}</li><li {MARK}="1">{_text(3)}</li></ul>'
-    return f'<article><h1 {MARK}="1">{_text(6)}</h1>{_paragraphs(lengths)}{items if len(lengths) > 2 else ""}{extra}</article>'
-
-
-def _page(*parts: str) -> str:
-    return f"<html><head><title>t</title></head><body>{''.join(parts)}</body></html>"
-
-
-#: Whole pages, about 40, with some hundred labelled blocks.
-LABELLED_PAGES = [
-    *(_page(_MENU, _AD, _article(b), _FOOTER) for b in _BODIES),
-    *(_page(_HEADER, _DIV_MENU, _article(b, _AD if i % 2 else _LONG_AD), _COMMENTS, _DIV_FOOTER) for i, b in enumerate(_BODIES)),
-    *(_page(_NOTICE, _PLAIN_MENU, f"<main><h2 {MARK}='1'>{_text(5)}</h2>{_paragraphs(b)}</main>", _SIDEBAR, _FORM, _FOOTER) for b in _BODIES),
-    *(_page(_DIV_MENU, f"<article>{_MENU}{_paragraphs(b)}{_SHARE}{_COMMENTS}</article>", _DIV_SIDEBAR, _NOTICE) for b in _BODIES),
-    # Pages without sectioning elements: length and links decide.
-    *(_page(_PLAIN_MENU, f"<div><h1 {MARK}='1'>{_text(6)}</h1>{_paragraphs(b)}</div>", _SHARE, _DIV_FOOTER) for b in _BODIES),
-    *(_page(_PLAIN_MENU, _AD, f"<div {MARK}='1'>{_text(40)}<br>{_text(30)}</div>{_paragraphs(b)}", _PLAIN_MENU) for b in _BODIES),
-]
+MARK = "data-main"
+PAGES, SEED = 500, 7
+STYLES = ("sections", "names", "bare")
+_WORDS = "river stone early market wind paper under garden seven quiet lamp road winter field voice open letter green".split()
+#: Words of class names, by part of the page.
+NAMES = {
+    "menu": ("menu", "main-nav", "navbar", "site_navigation", "breadcrumbs", "pagination", "toolbar"),
+    "header": ("header", "site-header", "masthead", "top-banner"),
+    "footer": ("footer", "site-footer", "copyright", "legal"),
+    "side": ("sidebar", "related", "widget", "popular-widget", "newsletter", "promo"),
+    "ad": ("ad", "ads", "advert", "sponsored", "ad-slot"),
+    "notice": ("cookie-notice", "consent", "notice", "popup", "modal"),
+    "comments": ("comments", "comment-list", "replies", "reader-comments"),
+    "share": ("share", "social", "sharing-links"),
+    "form": ("search-form", "login", "signup", "subscribe"),
+}
+_SECTION = {"menu": "nav", "header": "header", "footer": "footer", "side": "aside", "form": "form"}
+
+
+class _Maker:
+    def __init__(self, rng: Random) -> None:
+        self.rng, self.style = rng, rng.choice(STYLES)
+
+    def words(self, low: int, high: int) -> str:
+        return " ".join(self.rng.choice(_WORDS) for _ in range(self.rng.randint(low, high)))
+
+    def prose(self, low: int, high: int) -> str:
+        """Words of which some may be linked: none mostly, a few often, most of them now and then."""
+        share = self.rng.choice((0, 0, 0, 0, 0.05, 0.1, 0.2, 0.35))
+        words = self.words(low, high).split()
+        return " ".join(f'<a href="/{i}">{w}</a>' if len(words) > 5 and self.rng.random() < share else w for i, w in enumerate(words))
+
+    def part(self, kind: str, inner: str) -> str:
+        """A part that is not the article, as the page's style marks it."""
+        tag = _SECTION.get(kind) if self.style == "sections" else None
+        name = self.rng.choice(NAMES[kind]) if self.style == "names" or (tag is None and self.style == "sections") else None
+        marked = f' class="{name}"' if name else ""
+        return f'<{tag or "div"}{marked} {MARK}="0">{inner}</{tag or "div"}>'
+
+    def menu(self) -> str:
+        # Without links only where a mark or the place at the top tells it.
+        linked = self.rng.random() < 0.7
+        items = [self.words(1, 3) for _ in range(self.rng.randint(3, 9))]
+        return self.part("menu", "<ul>" + "".join(f'<li><a href="/{i}">{t}</a></li>' if linked else f"<li>{t}</li>" for i, t in enumerate(items)) + "</ul>")
+
+    def link_list(self) -> str:
+        return "<ul>" + "".join(f'<li><a href="/{i}">{self.words(2, 9)}</a></li>' for i in range(self.rng.randint(3, 7))) + "</ul>"
+
+    def side(self) -> str:
+        if self.style == "bare":
+            # Only the links after it tell its heading from one of the article.
+            return self.part("side", (f"<h3>{self.words(1, 4)}</h3>" if self.rng.random() < 0.6 else "") + self.link_list())
+        inner = self.rng.choice((self.link_list(), f"<p>{self.words(10, 70)}</p>", f"<h3>{self.words(1, 4)}</h3><p>{self.words(15, 40)}</p>" + self.link_list()))
+        return self.part("side", inner)
+
+    def footer(self) -> str:
+        links = " ".join(f'<a href="/{i}">{self.words(1, 2)}</a>' for i in range(self.rng.randint(2, 5)))
+        if self.style == "bare":
+            return self.part("footer", f"<p>{links}</p>")
+        return self.part("footer", self.rng.choice((f"<p>{self.words(3, 16)}</p>", f"{self.words(3, 30)} {links}", f"<p>{self.words(20, 60)}</p>")))
+
+    def marked_only(self) -> list[str]:
+        """Parts that shape alone can't tell."""
+        if self.style == "bare":
+            return []
+        made = {
+            "ad": f"<p>{self.words(3, 50)}</p>", "notice": f"<p>{self.words(5, 40)}</p>", "share": self.words(2, 6),
+            "comments": "".join(f"<div><p>{self.words(2, 60)}</p></div>" for _ in range(self.rng.randint(1, 4))),
+            "form": f"<p>{self.words(2, 12)}</p><label>{self.words(1, 3)}</label>",
+        }
+        return [self.part(k, v) for k, v in made.items() if self.rng.random() < 0.35]
+
+    def article(self) -> str:
+        r, out = self.rng, []
+        if r.random() < 0.85:
+            out.append(f'<h1 {MARK}="1">{self.words(2, 9)}</h1>')
+        short = r.random() < 0.2
+        for _ in range(r.randint(1, 3 if short else 7)):
+            kind = r.random()
+            if short:
+                out.append(f'<p {MARK}="1">{self.words(1, 11)}</p>')
+            elif kind < 0.58:
+                out.append(f'<p {MARK}="1">{self.prose(14, 120)}</p>')
+            elif kind < 0.68 and out:
+                # A line that is all link, between long ones without.
+                out.append(f'<p {MARK}="1">{self.words(16, 60)}</p><p {MARK}="1"><a href="/more">{self.words(2, 8)}</a></p><p {MARK}="1">{self.words(16, 60)}</p>')
+            elif kind < 0.76 and out:
+                # Short lines stand next to long ones.
+                out.append(f'<p {MARK}="1">{self.words(1, 9)}</p><p {MARK}="1">{self.prose(20, 90)}</p>')
+            elif kind < 0.83:
+                out.append(f'<h2 {MARK}="1">{self.words(1, 6)}</h2><p {MARK}="1">{self.prose(15, 80)}</p>')
+            elif kind < 0.92:
+                items = "".join(f'<li {MARK}="1">{self.words(1, 14)}</li>' for _ in range(r.randint(2, 5)))
+                out.append(f'<p {MARK}="1">{self.words(12, 40)}</p><ul>{items}</ul><p {MARK}="1">{self.prose(14, 60)}</p>')
+            else:
+                out.append(f'<blockquote {MARK}="1">{self.words(8, 40)}</blockquote><p {MARK}="1">{self.prose(14, 60)}</p>')
+        if not any("<p" in x for x in out):
+            out.append(f'<p {MARK}="1">{self.prose(20, 90)}</p>')
+        for extra in self.marked_only():
+            out.insert(r.randint(1, len(out)), extra)
+        inner = "".join(out)
+        if self.style == "sections":
+            return f"<{(tag := r.choice(('article', 'main')))}>{inner}</{tag}>"
+        # A name that would tell, on an element that holds the article and more.
+        return f'<div class="{r.choice(("content", "post", "has-sidebar", "with-comments wide", "entry"))}">{inner}</div>'
+
+    def page(self) -> str:
+        r = self.rng
+        top = [x for x in (self.menu() if r.random() < 0.85 else "", self.side() if r.random() < 0.2 else "") if x]
+        if self.style != "bare" and r.random() < 0.6:
+            top.insert(r.randint(0, len(top)), self.part("header", f"<p>{self.words(1, 8)}</p>"))
+        end = [x for x in (self.side() if r.random() < 0.5 else "", *self.marked_only(), self.footer() if r.random() < 0.85 else "") if x]
+        body = r.choice(("", ' class="has-sidebar home"', ' class="no-ads"', ' id="top"'))
+        head = r.choice(("<head><title>t</title></head>", "<head><title>t</title><meta charset=utf-8>", "<title>t</title>"))
+        return f"<html>{head}<body{body}>{''.join(top)}{self.article()}{''.join(end)}</body></html>"
+
+
+def labelled_pages(count: int = PAGES, seed: int = SEED) -> list[str]:
+    """``count`` pages, the same for a seed."""
+    rng = Random(seed)
+    return [_Maker(rng).page() for _ in range(count)]
+
+
+LABELLED_PAGES = labelled_pages()
