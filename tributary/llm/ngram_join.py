@@ -21,7 +21,7 @@ CHUNK, CHUNK_DOCS, SHARD = 1 << 20, 1 << 16, 1 << 20
 #: Bytes of a text cut into words at once, and words whose hashes a task remembers.
 PIECE, WORDS = 1 << 20, 1 << 17
 #: Partners that each bucket chooses in its first round, and the growth from round to round.
-PARTNERS, GROWTH = 16, 16
+PARTNERS, GROWTH = 8, 128
 #: Most bytes of a table that is sent to all tasks, and about the bytes that a row of a bucket or a label takes there.
 SENT_BYTES, ROW_BYTES, LABEL_BYTES = 16 << 20, 100, 64
 #: Halvings of the suffix filter.
@@ -232,7 +232,7 @@ def _sets(percent: int):  # noqa: ANN202
 
 
 def _postings(percent: int):  # noqa: ANN202
-    types = {"gram": pa.int64(), "cls": pa.binary(), "n": pa.int64(), "pos": pa.int64()}
+    types = {"gram": pa.int64(), "cls": pa.binary(), "n": pa.int64(), "pos": pa.int64(), "alone": pa.int64()}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,7 +240,7 @@ def _postings(percent: int):  # noqa: ANN202
             for r in batch.to_pylist():
                 common, n = np.frombuffer(r["common"], "<i8"), r["n"]
                 alone = n - len(common)
-                out += [(g, r["cls"], n, alone + i) for i, g in enumerate(common[: prefix_length(n, percent) - alone].tolist())]
+                out += [(g, r["cls"], n, alone + i, alone) for i, g in enumerate(common[: prefix_length(n, percent) - alone].tolist())]
             yield _batch(out, types)
 
     return run
@@ -327,7 +327,9 @@ def _joined(sets: DataFrame, percent: int, partners: int) -> DataFrame:
     Classes meet in the buckets of their prefix n-grams. In a round each bucket
     names some of its members as partners; these meet all other members of
     the bucket, and pairs that pass the length and positional filters are
-    verified once. A partner then leaves the bucket, as it has met all. A bucket
+    verified once. A partner then leaves the bucket, as it has met all. Those
+    with the least share of n-grams of their own go first: of the copies of a
+    text, which may be far from each other, they are nearest to all. A bucket
     is done when the rest of it is linked already. The members of its largest
     linked part are never partners: each pair still missing has one outside of
     it. So many near copies of one text cost a few pairs each, while members
@@ -339,7 +341,7 @@ def _joined(sets: DataFrame, percent: int, partners: int) -> DataFrame:
     classes = durable(sets, "ngram-classes")
     held = classes.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.length("common")), F.lit(0)).alias("bytes")).first()
     label_bytes, set_bytes = held["rows"] * LABEL_BYTES, held["bytes"] + held["rows"] * ROW_BYTES
-    left = durable(classes.mapInArrow(_postings(percent), "gram long, cls binary, n long, pos long"), "ngram-postings")
+    left = durable(classes.mapInArrow(_postings(percent), "gram long, cls binary, n long, pos long, alone long"), "ngram-postings")
     left = left.withColumn("part", F.col("cls"))
     tested: list[DataFrame] = []
     links = spark.createDataFrame([], "a binary, b binary")
@@ -354,7 +356,7 @@ def _joined(sets: DataFrame, percent: int, partners: int) -> DataFrame:
         bucket_bytes = left.count() * ROW_BYTES
         if not bucket_bytes:
             return _components(links, label_bytes)
-        in_order = F.row_number().over(Window.partitionBy("gram").orderBy("cls"))
+        in_order = F.row_number().over(Window.partitionBy("gram").orderBy(F.col("alone") / F.col("n"), "cls"))
         partner = left.where("part <> most").withColumn("rn", in_order).where(F.col("rn") <= partners)
         partner = durable(partner.select("gram", "cls", "n", "pos", "part"), "ngram-partners")
         a = partner.select("gram", *[F.col(c).alias(f"{c}_a") for c in ("cls", "n", "pos", "part")])
