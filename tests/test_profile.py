@@ -38,6 +38,22 @@ def test_relationships_compare_numbers_by_value(spark):
     assert found == [p.Relationship("p", "id", "c", "ref"), p.Relationship("p", "name", "c", "text")]
 
 
+def test_many_columns_and_long_text_in_one_exchange(spark):
+    """More columns than a word of bits has, stacked in several pieces; text that differs late."""
+    wide = spark.range(60).select("id", *[(F.col("id") * (i + 2) % 97).alias(f"n{i}") for i in range(70)], F.concat(F.lit("x" * 500), F.col("id").cast("string")).alias("text"))
+    child = spark.range(200).select((F.col("id") % 30).alias("ref"), F.concat(F.lit("x" * 500), (F.col("id") % 40).cast("string")).alias("words"), F.lit(None).cast("int").alias("none"))
+    sets = p.column_sets({"w": wide, "c": child})
+    sizes = {sets.attributes[r["attribute"]].column: r["size"] for r in sets.sizes().collect()}
+    pdf = wide.toPandas()
+    assert all(sizes[c] == pdf[c].nunique() for c in pdf.columns) and sizes["ref"] == 30 and "none" not in sizes
+    keys = {}
+    for r in p.candidate_keys_of({"w": wide, "c": child}, sets).collect():
+        keys.setdefault(r["table"], []).append(r["column"])
+    assert keys["w"][0] == "id" and "text" in keys["w"] and "c" not in keys
+    found = p.as_relationships(p.relationships({"w": wide, "c": child}, {"w": ["id", "text"]}, sets=sets))
+    assert found == [p.Relationship("w", "id", "c", "ref"), p.Relationship("w", "text", "c", "words")]
+
+
 def test_relationship_overlap_bar(spark):
     parents = spark.range(90)
     nine_tenths = spark.range(100).select(F.col("id").alias("r"))

@@ -47,6 +47,27 @@ def test_correlation_equals_pandas(spark):
         assert (r["r"] is None and np.isnan(want)) or abs(r["r"] - want) < 1e-9
 
 
+def test_tiles_give_the_same_as_one(spark, monkeypatch):
+    """Pairs of tiles, a last narrow tile, several chunks and slabs, gaps, and centring in Python."""
+    monkeypatch.setattr(p, "CHUNK_BYTES", 8 * 4 * 30)
+    monkeypatch.setattr(p, "WIDE", 5)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(500, 4))
+    data = {f"c{i:02d}": base[:, i % 4] * (i + 1) + rng.normal(size=500) * (0.1 + i % 3) + 100 * i for i in range(14)}
+    data["c03"][::3] = np.nan
+    data["c07"][:] = 5.0
+    df = frame(spark, data).repartition(7)
+    expected = df.toPandas().corr()
+    for tile in (4, 5, 14, 512):
+        found = {(r["a"], r["b"]): r["r"] for r in p.correlation_pairs(df, tile=tile).collect()}
+        assert len(found) == 14 * 13 // 2
+        for (a, b), r in found.items():
+            want = expected.loc[a, b]
+            assert (r is None and np.isnan(want)) or abs(r - want) < 1e-9
+    whole = p.correlated_columns(df, 0.9, tile=512)
+    assert whole and p.correlated_columns(df, 0.9, tile=4) == p.correlated_columns(df, 0.9, tile=3) == whole
+
+
 def test_of_two_equal_columns_the_later_goes(spark):
     x = np.arange(50.0)
     noise = np.random.default_rng(2).random(50)
