@@ -269,6 +269,18 @@ def test_matrix_to_model(spark, tmp_path):
         train_and_evaluate(built.df, TrainOptions("target", "vid", model=m.ModelOptions("logistic"), minimum=1.1))
 
 
+def test_time_column_of_another_table(spark):
+    """The anchor's own column reads as a time too seldom; another table's column of that name does."""
+    seen = F.when(F.col("id") % 2 == 0, "junk").otherwise(F.concat(F.lit("2024-01-0"), F.col("id").cast("string")))
+    visits = spark.range(9).select(F.col("id").alias("vid"), (F.col("id") % 3).alias("uid"), seen.alias("at"), (F.col("id") * 2.5).alias("spent"))
+    users = spark.range(3).select(F.col("id").alias("uid"), F.timestamp_micros(F.col("id") * 1_000_000).alias("at"))
+    options = FeatureOptions(anchor="visits", relationships=[], row_key="vid", lag_periods=[1], sequence_columns=["spent"])
+    options.prune.protect = ["vid", "spent_lag_1"]
+    built = build_feature_matrix({"visits": visits, "users": users}, options)
+    assert built.time == "at" and "spent_lag_1" in built.df.columns
+    assert build_feature_matrix({"visits": visits}, options).time is None
+
+
 def test_auc_does_not_round(spark):
     rows = [(0, 0.50001), (1, 0.50002), (0, 0.50003), (1, 0.50004)]
     df = spark.createDataFrame(rows, "label int, score double")

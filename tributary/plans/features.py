@@ -18,7 +18,7 @@ from tributary.operators.profile import (
     choose_anchor,
     column_sets,
     relationships,
-    time_column,
+    time_columns,
 )
 from tributary.operators.prune import PruneOptions, PruneReport, prune
 from tributary.operators.sequence import ensure_row_id, lag_and_rolling
@@ -77,6 +77,13 @@ def _row_key(anchor: DataFrame, options: FeatureOptions, found: Sequence[str]) -
     return ensure_row_id(anchor, order), "generated_index"
 
 
+def _time_of(tables: Mapping[str, DataFrame], anchor: str, columns: Sequence[str]) -> str | None:
+    """The anchor's time column, else the first other table's, by name, that the matrix has too."""
+    found = {r["table"]: r["time_column"] for r in time_columns(tables).collect() if r["time_column"]}
+    others = [found[t] for t in sorted(found) if t != anchor]
+    return next((c for c in [found.get(anchor), *others] if c in columns), None)
+
+
 def build_feature_matrix(tables: Mapping[str, DataFrame], options: FeatureOptions | None = None) -> FeatureMatrix:
     """Join, sequence and prune; the joined matrix is written once, then read by column.
 
@@ -103,7 +110,9 @@ def build_feature_matrix(tables: Mapping[str, DataFrame], options: FeatureOption
         )
     else:
         matrix = aggregate_join(anchor, tables, found, prefix=o.prefix)
-    time = o.time or time_column(tables[anchor_name]) if (o.lag_periods or o.rolling_windows) else o.time
+    time = o.time
+    if not time and (o.lag_periods or o.rolling_windows):
+        time = _time_of(tables, anchor_name, matrix.columns)
     if time and time in matrix.columns and (o.lag_periods or o.rolling_windows):
         matrix = durable(matrix, "joined")
         numbers = o.sequence_columns
