@@ -103,6 +103,16 @@ def test_main_text_of_broken_page(spark):
 
 
 def test_tree_agrees_with_its_labels(spark):
+    from tributary.llm.html_labels import LABELLED_PAGES, MARK
+
+    rule = train_tree(spark, LABELLED_PAGES[::2])
+    held = spark.createDataFrame([(x,) for x in LABELLED_PAGES[1::2]], "html string")
+    right = total = 0
+    for page, r in zip(LABELLED_PAGES[1::2], main_text(held, tree=rule).collect(), strict=True):
+        labels = [b["label"] for b in page_blocks(page, labelled=True)]
+        pairs = [(y, b.main) for y, b in zip(labels, r.blocks, strict=True) if y >= 0]
+        right, total = right + sum(bool(y) == m for y, m in pairs), total + len(pairs)
+    assert MARK in LABELLED_PAGES[0] and total > 100 and right >= 0.95 * total
 
 
 def slow_katz(rows):

@@ -92,6 +92,10 @@ class _Maker:
             kind = r.random()
             if short:
                 out.append(f'<p {MARK}="1">{self.words(1, 11)}</p>')
+                if self.style == "sections" and r.random() < 0.5:
+                    # Without long text around it, only the section tells such a list from a menu.
+                    items = "".join(f'<li {MARK}="1">{self.words(1, 5)}</li>' for _ in range(r.randint(2, 4)))
+                    out.append(f"<ul>{items}</ul>")
             elif kind < 0.58:
                 out.append(f'<p {MARK}="1">{self.prose(14, 120)}</p>')
             elif kind < 0.68 and out:
@@ -103,12 +107,16 @@ class _Maker:
             elif kind < 0.83:
                 out.append(f'<h2 {MARK}="1">{self.words(1, 6)}</h2><p {MARK}="1">{self.prose(15, 80)}</p>')
             elif kind < 0.92:
-                items = "".join(f'<li {MARK}="1">{self.words(1, 14)}</li>' for _ in range(r.randint(2, 5)))
+                most = r.choice((2, 4, 14))
+                items = "".join(f'<li {MARK}="1">{self.words(1, most)}</li>' for _ in range(r.randint(2, 5)))
                 out.append(f'<p {MARK}="1">{self.words(12, 40)}</p><ul>{items}</ul><p {MARK}="1">{self.prose(14, 60)}</p>')
             else:
                 out.append(f'<blockquote {MARK}="1">{self.words(8, 40)}</blockquote><p {MARK}="1">{self.prose(14, 60)}</p>')
         if not any("<p" in x for x in out):
             out.append(f'<p {MARK}="1">{self.prose(20, 90)}</p>')
+        for _ in range(r.randint(0, 2)):
+            # Lines of a word or two stand anywhere, also first.
+            out.insert(r.randint(0, len(out)), f'<p {MARK}="1">{self.words(1, 3)}</p>')
         for extra in self.marked_only():
             out.insert(r.randint(1, len(out)), extra)
         inner = "".join(out)
