@@ -174,6 +174,19 @@ def test_katz_with_a_small_vocabulary_is_still_a_distribution(spark):
     assert katz.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("vocab", [0, 2, 6, 40])
+def test_katz_of_words_beyond_the_vocabulary_equals_slow(spark, vocab):
+    rng = random.Random(14)
+    rows = [(i, " ".join(rng.choice(["a", "b", "the", f"w{rng.randint(0, 30)}", f"x{rng.randint(0, 400)}"]) for _ in range(rng.randint(0, 40)))) for i in range(120)]
+    rows += [(None, "x1 x1 x1 x2"), (500, None), (501, ""), (16, "never met never met x3"), (7, rows[7][1])]
+    got = katz.score(spark.createDataFrame(rows, "doc_id long, text string"), vocab=vocab, hot_bigrams=20).collect()
+    key = lambda r: (r[0] is not None, r[0] or 0)
+    want = sorted(((i, *s) for (i, _), s in zip(rows, slow_katz(rows), strict=True)), key=lambda r: (key(r), r[6]))
+    for mine, slow in zip(sorted(map(tuple, got), key=lambda r: (key(r), r[6])), want, strict=True):
+        assert mine[:5] == slow[:5]
+        assert mine[5:] == pytest.approx(slow[5:], rel=1e-9, abs=1e-9)
+
+
 def luhn(number):
     digits = [int(c) for c in reversed(number) if c.isdigit()]
     return sum(d if i % 2 == 0 else d * 2 // 10 + d * 2 % 10 for i, d in enumerate(digits)) % 10 == 0

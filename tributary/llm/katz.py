@@ -3,7 +3,9 @@
 Counts grow with the corpus and stay in partitioned tables. Tasks hold only what
 has a bound: the most frequent words (``VOCAB``), one weight for each of them as
 a context, and the most frequent bigrams. All other tokens meet their counts by
-a shuffle: bigrams as packed arrays by shard, rare words as rows.
+a shuffle: bigrams of frequent words as packed arrays by shard, bigrams with a
+rare word, rare words and rare contexts as rows. So every word has its own
+bigrams, and ``VOCAB`` decides only which way a count takes.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 from tributary.llm.common import byte_words, small_batches
 from tributary.session import durable
 
-#: Most words with a number of their own. Rarer ones form one class in bigrams; inside it their own counts decide.
-VOCAB = 1 << 20
+#: Most words with a number of their own, which tasks hold. The counts of all others are joined as rows.
+VOCAB = 1 << 21
 #: Most bigrams that every task holds; they carry the hot ones past the shuffle.
 HOT_BIGRAMS = 1 << 19
 #: Counts up to this one are discounted.
@@ -35,6 +37,8 @@ CHUNK_BYTES = 2 << 20
 #: Hash of the end token: no word is a space.
 END = xxhash.xxh64_intdigest(b" ")
 SHIFT = 22
+#: Set in the hash of a word without a number, so that it is negative and no number.
+RARE = -1 << 63
 
 
 def discounts(met: list[int]) -> np.ndarray:
@@ -53,7 +57,7 @@ def discounts(met: list[int]) -> np.ndarray:
 
 @dataclass
 class Words:
-    """The frequent words: hashes in order, counts, discounted probabilities; class and start follow as numbers."""
+    """The frequent words: hashes in order, counts, discounted probabilities; what all others get and the start follow as numbers."""
 
     hashes: np.ndarray
     counts: np.ndarray
@@ -69,7 +73,7 @@ class Words:
         return len(self.hashes)
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """Numbers of words by hash; rare and unknown ones get the class."""
+        """Numbers of words by hash; rare and unknown ones get ``other``."""
         if not len(self.hashes):
             return np.zeros(len(hashes), np.int64)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
@@ -122,13 +126,17 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray,
             yield part, tokens, np.repeat(np.arange(len(lengths)), lengths)
 
 
-def _bigrams(words: Words, hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number and bigram key of every token; the start is the context of a text's first."""
+def _bigrams(words: Words, hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context and code of every token, and where both are numbers; the start is the context of a text's first.
+
+    A code is the number of a frequent word, and else its negative hash.
+    """
     numbers = words.numbers(hashes)
-    before = np.empty_like(numbers)
-    before[1:] = numbers[:-1]
+    codes = np.where(numbers == words.other, hashes | RARE, numbers)
+    before = np.empty_like(codes)
+    before[1:] = codes[:-1]
     before[np.flatnonzero(np.diff(rows, prepend=-1))] = words.other + 1
-    return numbers, before << SHIFT | numbers
+    return before, codes, (before >= 0) & (codes >= 0)
 
 
 def _word_counts(texts: DataFrame) -> DataFrame:
@@ -176,15 +184,18 @@ def _blobs(words: Words, keys: np.ndarray, *columns: np.ndarray) -> Iterator[tup
 
 
 def _bigram_counts(texts: DataFrame, words: object) -> DataFrame:
-    """``shard, keys, counts`` (packed, by key) of the training bigrams, and how many were met 1 to 6 times."""
+    """``shard, keys, counts`` (packed, by key) of the training bigrams of frequent words, and how many were met 1 to 6 times."""
+
+    packed_kinds = pa.schema({"shard": pa.int64(), "keys": pa.binary(), "counts": pa.binary()})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = words.value
         for batch in batches:
             for _, hashes, rows in _chunks(batch):
-                key, c = np.unique(_bigrams(own, hashes, rows)[1], return_counts=True)
+                before, codes, plain = _bigrams(own, hashes, rows)
+                key, c = np.unique(before[plain] << SHIFT | codes[plain], return_counts=True)
                 out = [(s, pack(k), pack(n)) for s, (k, n) in _blobs(own, key, c)]
-                yield pa.RecordBatch.from_pylist([{"shard": s, "keys": k, "counts": n} for s, k, n in out])
+                yield pa.RecordBatch.from_pylist([{"shard": s, "keys": k, "counts": n} for s, k, n in out], packed_kinds)
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         keys, counts = (np.concatenate([unpack(x) for x in group[c]]) for c in ("keys", "counts"))
@@ -201,6 +212,36 @@ def _bigram_counts(texts: DataFrame, words: object) -> DataFrame:
     return durable(packed.groupBy("shard").applyInPandas(merge, kinds), "katz-bigrams")
 
 
+def _rare_counts(texts: DataFrame, words: object) -> DataFrame:
+    """``context, word, c`` (codes) of the training bigrams with a word that has no number."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = words.value
+        for batch in batches:
+            for _, hashes, rows in _chunks(batch):
+                before, codes, plain = _bigrams(own, hashes, rows)
+                found = pd.DataFrame({"context": before[~plain], "word": codes[~plain]}).groupby(["context", "word"]).size()
+                yield pa.RecordBatch.from_pandas(found.reset_index(name="c").astype(np.int64), preserve_index=False)
+
+    counted = texts.select("data").mapInArrow(run, "context long, word long, c long")
+    return durable(counted.groupBy("context", "word").agg(F.sum("c").alias("c")), "katz-rare")
+
+
+def _with_rare(df: DataFrame, column: str, other: Column, table: DataFrame) -> DataFrame:
+    """``df`` with the row of ``table`` for the code in ``column``, if that has no number; ``other`` (not negative) spreads all other rows."""
+    keyed = df.withColumn("__key", F.when(F.col(column) < 0, F.col(column)).otherwise(other))
+    return keyed.join(table.withColumnRenamed("code", "__key"), "__key", "left").drop("__key")
+
+
+def _probs(words: Words, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Probabilities of words by code; ``counts`` are those of words without a number, zero if not met in training."""
+    known = counts * words.discount[np.minimum(counts, DISCOUNTED + 1)] / max(words.total, 1)
+    out = np.where(counts > 0, known, words.left)
+    numbered = codes >= 0
+    out[numbered] = words.probs[codes[numbered]]
+    return out
+
+
 @dataclass
 class Contexts:
     """By word number: what a context's counts are divided by, and the log10 weight of backing off; and the hot bigrams."""
@@ -212,30 +253,40 @@ class Contexts:
     hot_counts: np.ndarray
 
 
-def _class_prob(words: Words) -> float:
-    """Probability of the class of rare and unknown words."""
-    return max(1 - float(words.probs.sum()), words.left)
-
-
-def _contexts(bigrams: DataFrame, shared: object, hot: int) -> Contexts:
-    """Sums by context over the shards, and the bigrams of the highest counts."""
+def _contexts(bigrams: DataFrame, pairs: DataFrame, rare: DataFrame, shared: object, hot: int) -> tuple[Contexts, DataFrame]:
+    """Sums by context over the shards and the bigrams with a rare word (``pairs``), the bigrams of the highest counts,
+    and ``code, seen, weight`` of the contexts without a number. ``rare`` has ``code, own`` of the words without one."""
     met = bigrams.agg(*[F.sum(f"n{r}").alias(f"n{r}") for r in range(1, DISCOUNTED + 2)]).first()
-    d = discounts([0, *(met[f"n{r}"] or 0 for r in range(1, DISCOUNTED + 2))])
+    apart = pairs.agg(*[F.sum((F.col("c") == r).cast("long")).alias(f"n{r}") for r in range(1, DISCOUNTED + 2)]).first()
+    d = discounts([0, *((met[f"n{r}"] or 0) + (apart[f"n{r}"] or 0) for r in range(1, DISCOUNTED + 2))])
+    summed_kinds = "context long, seen double, mass double, low double"
+
+    def sums_by_context(context: np.ndarray, counts: np.ndarray, probs: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(context, kind="stable")
+        first = np.flatnonzero(np.diff(context[order], prepend=context[order][:1] - 1))
+        parts = (counts, counts * d[np.minimum(counts, DISCOUNTED + 1)], probs)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(context[order][first]), *(pa.array(np.add.reduceat(p[order], first).astype(float) if len(first) else np.empty(0)) for p in parts)],
+            ["context", "seen", "mass", "low"],
+        )
 
     def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
-        probs = np.append(words.probs, _class_prob(words))
         for batch in batches:
             for k, n in zip(batch.column("keys"), batch.column("counts"), strict=True):
                 keys, counts = unpack(k.as_py()), unpack(n.as_py())
-                context = keys >> SHIFT
-                order = np.argsort(context, kind="stable")
-                first = np.flatnonzero(np.diff(context[order], prepend=-1))
-                parts = (counts, counts * d[np.minimum(counts, DISCOUNTED + 1)], probs[keys & ((1 << SHIFT) - 1)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(context[order][first]), *(pa.array(np.add.reduceat(p[order], first).astype(float)) for p in parts)],
-                    ["context", "seen", "mass", "low"],
-                )
+                yield sums_by_context(keys >> SHIFT, counts, words.probs[keys & ((1 << SHIFT) - 1)])
+
+    def rare_sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        for batch in batches:
+            context, word, c, own = (batch.column(x).to_numpy() for x in ("context", "word", "c", "own"))
+            yield sums_by_context(context, c, _probs(words, word, own))
+
+    def of_pairs(some: DataFrame) -> DataFrame:
+        # Of a context and a word with a number there are no such pairs, so one of the two codes is negative.
+        both = _with_rare(some, "word", F.bitwise_not("context"), rare)
+        return both.select("context", "word", "c", F.coalesce("own", F.lit(0)).alias("own")).mapInArrow(rare_sums, summed_kinds)
 
     def levels(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,15 +295,20 @@ def _contexts(bigrams: DataFrame, shared: object, hot: int) -> Contexts:
                 yield pa.RecordBatch.from_arrays([pa.array(level), pa.array(size)], ["level", "n"])
 
     words: Words = shared.value
-    summed = bigrams.select("keys", "counts").mapInArrow(sums, "context long, seen double, mass double, low double")
+    totals = [F.sum(c).alias(c) for c in ("seen", "mass", "low")]
+    summed = bigrams.select("keys", "counts").mapInArrow(sums, summed_kinds).unionByName(of_pairs(pairs.where("context >= 0")))
     # At most one row per word with a number.
-    rows = summed.groupBy("context").agg(*[F.sum(c).alias(c) for c in ("seen", "mass", "low")]).toArrow()
+    rows = summed.groupBy("context").agg(*totals).toArrow()
     seen, weight = np.zeros(words.other + 2), np.zeros(words.other + 2)
     at, total, mass, low = (rows.column(c).to_numpy() for c in ("context", "seen", "mass", "low"))
     # A context whose counts are all too high to be discounted still leaves half a count for what it was not met with.
     seen[at] = np.maximum(total, mass + 0.5)
     # Seen words leave at least the unknown one; floats may round that to zero.
     weight[at] = np.log10(1 - mass / seen[at]) - np.log10(np.maximum(1 - low, words.left))
+    others = of_pairs(pairs.where("context < 0")).groupBy("context").agg(*totals)
+    others = others.select(F.col("context").alias("code"), F.greatest("seen", F.col("mass") + 0.5).alias("seen"), "mass", "low")
+    weights = F.log10(1 - F.col("mass") / F.col("seen")) - F.log10(F.greatest(1 - F.col("low"), F.lit(words.left)))
+    others = durable(others.select("code", "seen", weights.alias("weight")), "katz-contexts")
     sizes = bigrams.select("counts").mapInArrow(levels, "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).orderBy(F.desc("level")).collect()
     least, held = 1 << 62, 0
     for r in sizes:
@@ -272,7 +328,7 @@ def _contexts(bigrams: DataFrame, shared: object, hot: int) -> Contexts:
     table = bigrams.select("keys", "counts").mapInArrow(frequent, "key long, c long").toArrow()
     hot_keys, hot_counts = (table.column(c).to_numpy() for c in ("key", "c"))
     order = np.argsort(hot_keys, kind="stable")
-    return Contexts(seen, weight, d, hot_keys[order], hot_counts[order])
+    return Contexts(seen, weight, d, hot_keys[order], hot_counts[order]), others
 
 
 def _find(keys: np.ndarray, sorted_keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -286,17 +342,20 @@ def _find(keys: np.ndarray, sorted_keys: np.ndarray, counts: np.ndarray) -> np.n
 def _logprob(words: Words, contexts: Contexts, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """log10 of each bigram's probability given its count: discounted if seen, else backed off to the word's own."""
     context, word = keys >> SHIFT, keys & ((1 << SHIFT) - 1)
-    probs = np.append(words.probs, _class_prob(words))
-    known = counts > 0
-    direct = counts * contexts.discount[np.minimum(counts, DISCOUNTED + 1)] / np.maximum(contexts.seen[context], 1)
     # A context that was never met has weight one.
-    return np.where(known, np.log10(np.where(known, direct, 1)), contexts.weight[context] + np.log10(probs[word]))
+    return _backed_off(contexts, counts, contexts.seen[context], contexts.weight[context], words.probs[word])
+
+
+def _backed_off(contexts: Contexts, counts: np.ndarray, seen: np.ndarray, weight: np.ndarray, probs: np.ndarray) -> np.ndarray:
+    known = counts > 0
+    direct = counts * contexts.discount[np.minimum(counts, DISCOUNTED + 1)] / np.maximum(seen, 1)
+    return np.where(known, np.log10(np.where(known, direct, 1)), weight + np.log10(probs))
 
 
 #: Columns of the rows that scoring a chunk gives; ``id`` has the type it has in the table.
 FACTS = {
     "row": pa.int64(), "id": None, "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64(),
-    "shard": pa.int64(), "chunk": pa.int64(), "keys": pa.binary(), "at": pa.binary(), "word": pa.int64(), "times": pa.int64(),
+    "shard": pa.int64(), "chunk": pa.int64(), "keys": pa.binary(), "at": pa.binary(), "context": pa.int64(), "word": pa.int64(), "times": pa.int64(),
 }
 
 
@@ -319,7 +378,8 @@ def score(
     Words are lower-cased (A to Z) and compared by 64-bit hash; every text ends
     with one end token and starts from a start context. The model is learnt from
     the rows that are not held out. ``base_score`` is add-one unigrams,
-    ``score`` Katz bigrams, both log10. A null text has the end token only.
+    ``score`` Katz bigrams of all words, both log10; ``vocab`` and ``hot_bigrams``
+    bound what tasks hold and change no score. A null text has the end token only.
     Repeated rows count and are scored each. If no row trains, all words are
     unknown and share one probability.
     """
@@ -332,36 +392,38 @@ def score(
     counts = _word_counts(training)
     words, least = _frequent(counts, vocab)
     shared = spark.sparkContext.broadcast(words)
-    bigrams = _bigram_counts(training, shared)
-    model = spark.sparkContext.broadcast(_contexts(bigrams, shared, hot_bigrams))
+    bigrams, pairs = _bigram_counts(training, shared), _rare_counts(training, shared)
+    rare = counts.where(F.col("c") < least).select(F.col("word").bitwiseOR(F.lit(RARE)).alias("code"), F.col("c").alias("own"))
+    known, rare_contexts = _contexts(bigrams, pairs, rare, shared, hot_bigrams)
+    model = spark.sparkContext.broadcast(known)
     norm = float(np.log10(words.total + words.distinct + 1))
-    class_log = float(np.log10(_class_prob(words)))
 
     id_kind = df.schema[id_col].dataType.simpleString()
 
     def facts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Three kinds of rows in one pass: what tasks know by themselves, by row; bigrams that no task knows, by shard,
-        with the place in the chunk that has each; words without a number, once per row, with their number of times."""
+        with the place in the chunk that has each; bigrams with a word without a number, once per row, with their number of times."""
         own, contexts = shared.value, model.value
-        base = np.append(np.log10(own.counts + 1.0) - norm, 0.0)
+        base = np.log10(own.counts + 1.0) - norm
         for batch in batches:
             kinds = {**FACTS, "id": batch.schema.field("id").type}
             for part, hashes, rows in _chunks(batch):
-                numbers, keys = _bigrams(own, hashes, rows)
+                before, codes, plain = _bigrams(own, hashes, rows)
+                n, ids, numbered, places = part.num_rows, part.column("row").to_numpy(), codes >= 0, rows[plain]
+                keys = before[plain] << SHIFT | codes[plain]
                 met = _find(keys, contexts.hot_keys, contexts.hot_counts)
-                logs = np.where(met > 0, _logprob(own, contexts, keys, met), 0.0)
-                n, ids = part.num_rows, part.column("row").to_numpy()
-                sums = [np.bincount(rows, minlength=n), np.bincount(rows, numbers < own.other, n).astype(np.int64)]
-                sums += [np.bincount(rows, base[numbers], n), np.bincount(rows, logs, n)]
+                hot, cold = met > 0, met == 0
+                sums = [np.bincount(rows, minlength=n), np.bincount(rows, numbered, n).astype(np.int64)]
+                sums += [np.bincount(rows[numbered], base[codes[numbered]], n)]
+                sums += [np.bincount(places[hot], _logprob(own, contexts, keys[hot], met[hot]), n)]
                 sums = dict(zip(("n_tokens", "n_known", "base_score", "score"), sums, strict=True))
                 yield _facts(kinds, n, row=ids, id=part.column("id"), held_out=part.column("held_out"), **sums)
-                cold = met == 0
-                out = [(s, pack(k), pack(at)) for s, (k, at) in _blobs(own, keys[cold], rows[cold])]
-                shards, asked, places = zip(*out, strict=True) if out else ((), (), ())
-                yield _facts(kinds, len(out), shard=shards, chunk=[int(ids[0])] * len(out), keys=asked, at=places)
-                unnumbered = numbers == own.other
-                pairs = pd.DataFrame({"row": ids[rows[unnumbered]], "word": hashes[unnumbered]}).value_counts().reset_index(name="times")
-                yield _facts(kinds, len(pairs), **{c: pairs[c].to_numpy(np.int64) for c in ("row", "word", "times")})
+                out = [(s, pack(k), pack(at)) for s, (k, at) in _blobs(own, keys[cold], places[cold])]
+                shards, asked, at = zip(*out, strict=True) if out else ((), (), ())
+                yield _facts(kinds, len(out), shard=shards, chunk=[int(ids[0])] * len(out), keys=asked, at=at)
+                others = pd.DataFrame({"row": ids[rows[~plain]], "context": before[~plain], "word": codes[~plain]})
+                others = others.groupby(["row", "context", "word"]).size().reset_index(name="times")
+                yield _facts(kinds, len(others), **{c: others[c].to_numpy(np.int64) for c in others.columns})
 
     def answer(_: tuple, asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
         own, contexts = shared.value, model.value
@@ -380,22 +442,31 @@ def score(
         places, at = np.unique(np.concatenate([unpack(x) for x in group["places"]]), return_inverse=True)
         return pd.DataFrame({"row": group["chunk"].iloc[0] + places, "score": np.bincount(at, logs)})
 
+    def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What the bigrams with a word without a number add to their rows."""
+        own, contexts = shared.value, model.value
+        for batch in batches:
+            context, word, times, c, met = (batch.column(x).to_numpy() for x in ("context", "word", "times", "c", "own"))
+            seen, weight = (batch.column(x).to_numpy().copy() for x in ("seen", "weight"))
+            numbered, unnumbered = context >= 0, word < 0
+            seen[numbered], weight[numbered] = contexts.seen[context[numbered]], contexts.weight[context[numbered]]
+            logs = times * _backed_off(contexts, c, seen, weight, _probs(own, word, met))
+            base = np.where(unnumbered, times * (np.log10(met + 1.0) - norm), 0.0)
+            columns = [batch.column("row"), pa.array(np.where(met > 0, times, 0)), pa.array(base), pa.array(logs)]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "n_known", "base_score", "score"])
+
     kinds = {c: {pa.int64(): "long", pa.float64(): "double", pa.bool_(): "boolean", pa.binary(): "binary"}.get(t, id_kind) for c, t in FACTS.items()}
     # Written once: texts are cut into words once, and row numbers are the same for all that follows.
     told = durable(texts.mapInArrow(facts, ", ".join(f"{c} {t}" for c, t in kinds.items())), "katz-facts")
     sums = told.where("n_tokens is not null").select("row", "id", "held_out", "n_tokens", "n_known", "base_score", "score")
     asked = told.where("shard is not null").select("shard", "chunk", "keys", "at")
-    others = told.where("word is not null").select("row", "word", "times")
+    others = told.where("word is not null").select("row", "context", "word", "times")
     answers = asked.groupBy("shard").cogroup(bigrams.select("shard", "keys", "counts").groupBy("shard")).applyInPandas(answer, "chunk long, places binary, logs binary")
     answers = answers.groupBy("chunk").applyInPandas(total, "row long, score double")
-    c = F.coalesce("c", F.lit(0))
-    own_prob = F.when(c > 0, c * F.element_at(F.array(*[F.lit(float(x)) for x in words.discount]), F.least(c, F.lit(DISCOUNTED + 1)).cast("int") + 1) / max(words.total, 1)).otherwise(F.lit(words.left))
-    found = others.join(counts.where(F.col("c") < least), "word", "left").select(
-        "row",
-        (F.col("times") * (c > 0).cast("long")).alias("n_known"),
-        (F.col("times") * (F.log10(c + 1) - norm)).alias("base_score"),
-        (F.col("times") * (F.log10(own_prob) - class_log)).alias("score"),
-    )
+    found = others.join(pairs, ["context", "word"], "left")
+    found = _with_rare(_with_rare(found, "word", F.col("row"), rare), "context", F.col("row"), rare_contexts)
+    found = found.select("row", "context", "word", "times", *[F.coalesce(c, F.lit(x)).alias(c) for c, x in (("c", 0), ("own", 0), ("seen", 0.0), ("weight", 0.0))])
+    found = found.mapInArrow(judge, "row long, n_known long, base_score double, score double")
     found = found.groupBy("row").agg(*[F.sum(x).alias(x) for x in ("n_known", "base_score", "score")])
     parts = sums.unionByName(answers, allowMissingColumns=True).unionByName(found, allowMissingColumns=True)
     merged = parts.groupBy("row").agg(
