@@ -301,6 +301,29 @@ def test_kneser_ney_learns_small_languages_beside_large_ones(spark):
     assert [tuple(r) for r in kneser_ney.unlearnt(judged).collect()] == [("zz", 1)]
 
 
+def test_kneser_ney_learns_from_half_of_all_trusted_documents(spark):
+    docs = spark.createDataFrame([(i, chr(0x4E00 + i) * 3, "zh") for i in range(9_000)], "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    found = sorted(r.perplexity for r in kneser_ney.classify(docs, labels).collect())
+    learnt = sum(p < 0.5 * found[-1] for p in found)
+    assert 4_250 < learnt < 4_750
+
+
+def test_kneser_ney_beyond_what_tasks_hold_is_the_same(spark):
+    rng = random.Random(9)
+    words = ["river", "stone", "early", "wind", "lamp", "fluss", "abend"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(20)), ["en", "de", None][i % 3]) for i in range(90)]
+    rows += [(500, "#%$ QQXX é", "en"), (501, None, "en"), (502, "other tongue", "zz"), (None, rows[0][1], "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(90)], "doc_id long, quality int, toxic int")
+    key = lambda r: (r.doc_id is None, r.doc_id)
+    whole = sorted(kneser_ney.classify(docs, labels, least_held=5).collect(), key=key)
+    for held in (0, 60):
+        part = sorted(kneser_ney.classify(docs, labels, least_held=5, model_rows=held).collect(), key=key)
+        assert [(r.doc_id, r.text, r.lang, r.n_tokens, r.kept) for r in part] == [(r.doc_id, r.text, r.lang, r.n_tokens, r.kept) for r in whole]
+        assert [r.perplexity or 0 for r in part] == pytest.approx([r.perplexity or 0 for r in whole], rel=1e-9)
+
+
 def test_training_sample_is_filled_by_language():
     assert kneser_ney._fill([1e6, 1e6, 30, 500], 4_000) == (4_000 - 530) / 2
     assert kneser_ney._fill([40, 60], 4_000) == 60
