@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tributary.llm import katz, kneser_ney
+from tributary.llm import bpe, katz, kneser_ney
 from tributary.llm.bpe import encode, read_ranks
 from tributary.llm.html import main_text, page_blocks, train_tree
 from tributary.llm.outliers import chi_square, chi_square_quantile, with_statistics
@@ -358,6 +358,18 @@ def test_byte_pairs_equal_the_library(spark):
     assert encode(df.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_byte_pairs_met_again_stay_remembered(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_PIECES", 8)
+    coder, encoded = bpe.BytePairCoder(read_ranks(RANKS)), Counter()
+    encode_bytes = coder._encode
+    monkeypatch.setattr(coder, "_encode", lambda piece: encoded.update([piece]) or encode_bytes(piece))
+    pieces = [p for i in range(60) for p in (" often", f" rare{i}")]
+    for piece in pieces:
+        done = coder.pieces.get(piece) or coder.encode_piece(piece)
+        assert done[3] == piece.encode() and done[2] == b",".join(b"%d" % i for i in done[0])
+    assert encoded[b" often"] == 1 and len(coder.pieces) <= 8 and len(coder.older) <= 8
+
+
 def test_packed_integers_come_back():
     rng = np.random.default_rng(7)
     cases = [[], [0], [5], [0, 0, 0], [1 << 41, (1 << 41) + 3], [3, 1, 2], [1 << 62, 0, 255, 256]]

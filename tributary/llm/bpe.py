@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from tributary.llm.common import small_batches
 
-#: Pieces whose ids a task remembers, and the longest one in bytes; both bound memory only.
+#: Pieces whose ids a task remembers in each of two generations, and the longest one in characters; both bound memory only.
 MEMO_PIECES, MEMO_BYTES = 200_000, 64
 #: Adjacent token pairs whose compatibility a task remembers.
 MEMO_PAIRS = 400_000
@@ -63,9 +63,17 @@ class BytePairCoder:
         self.automaton = ahocorasick.Automaton()
         for text, rank in self.by_text.items():
             self.automaton.add_word(text, rank)
+        # Each beginning of a token, with the longest token that it begins with.
+        self.longest: dict[str, int | None] = {}
+        for text in self.by_text:
+            for n in range(1, len(text) + 1):
+                if text[:n] not in self.longest:
+                    self.longest[text[:n]] = self.by_text.get(text[:n], self.longest.get(text[: n - 1]))
+        self.decimals = {r: b"%d" % r for r in self.tokens}
         self.shorter = {r: self._prefix(self.tokens[r]) for r in self.made}
         self.pairs: dict[int, bool] = {}
         self.pieces: dict[str, Piece] = {}
+        self.older: dict[str, Piece] = {}
 
     def _merged(self, token: bytes, below: int) -> list[bytes]:
         """Parts of a token after all merges of ranks under ``below``."""
@@ -149,17 +157,17 @@ class BytePairCoder:
     def _longest(self, text: str, at: int) -> int | None:
         """The longest token that the text goes on with at a place."""
         ahead = text[at : at + self.most]
-        n = self.automaton.longest_prefix(ahead)
-        while n and (rank := self.by_text.get(ahead[:n])) is None:
-            n -= 1
-        return rank if n else None
+        return self.longest.get(ahead[: self.automaton.longest_prefix(ahead)])
 
     def encode_piece(self, piece: str) -> Piece:
-        """What one match of the splitting pattern becomes; short ones are remembered."""
-        ids = self._encode(piece.encode())
-        done = (ids, len(ids), b",".join(b"%d" % i for i in ids), self.decode(ids))
+        """What one match of the splitting pattern becomes; short ones are remembered, those met again the longest."""
+        done = self.older.get(piece)
+        if done is None:
+            ids = self._encode(piece.encode())
+            done = (ids, len(ids), b",".join(map(self.decimals.__getitem__, ids)), self.decode(ids))
         if len(piece) <= MEMO_BYTES:
             if len(self.pieces) >= MEMO_PIECES:
+                self.older = self.pieces.copy()
                 self.pieces.clear()
             self.pieces[piece] = done
         return done
