@@ -187,6 +187,27 @@ def test_katz_of_words_beyond_the_vocabulary_equals_slow(spark, vocab):
         assert mine[5:] == pytest.approx(slow[5:], rel=1e-9, abs=1e-9)
 
 
+def test_katz_moves_rare_words_packed(spark, monkeypatch):
+    """Of 3,000 words without a number nothing but the first counts is a row each; they meet in several shards."""
+    rows = [(i, " ".join(f"x{(i * 37 + k * k) % 3000}" for k in range(40))) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = {r.id: r.score for r in katz.score(df, vocab=1 << 12).collect()}
+    written, write = {}, katz.durable
+    monkeypatch.setattr(katz, "durable", lambda df, label: written.setdefault(label, write(df, label)))
+    monkeypatch.setattr(katz, "RARE_TOKENS", 500, raising=False)
+    monkeypatch.setattr(katz, "SHARD_TOKENS", 500)
+    scored = katz.score(df, vocab=0)
+    assert {r.id: r.score for r in scored.collect()} == pytest.approx(plain, rel=1e-9)
+    assert max(table.count() for label, table in written.items() if label != "katz-words") < 100
+    assert "SortMergeJoin" not in scored._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("codes", [[], [0], [-1, -(1 << 63), 5], [7, 7, 9], [-5], [0, 0, -2, 1 << 21]])
+def test_packed_codes_come_back(codes):
+    values = np.array(codes, np.int64)
+    assert katz.unpack_codes(katz.pack_codes(values)).tolist() == codes
+
+
 def luhn(number):
     digits = [int(c) for c in reversed(number) if c.isdigit()]
     return sum(d if i % 2 == 0 else d * 2 // 10 + d * 2 % 10 for i, d in enumerate(digits)) % 10 == 0
