@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.functions.columns import hash_fraction, quoted
+from tributary.operators.forest import MOST_DEPTH, fit_forest, in_memory_bytes
 from tributary.operators.metrics import accuracy, rmse, roc_auc_unrounded, with_class_weight
 from tributary.operators.quantiles import exact_quantiles
 from tributary.operators.split import assign_folds
@@ -23,6 +24,8 @@ from tributary.sources.tables import union_rows
 
 CLASSIFICATION, REGRESSION = "classification", "regression"
 MAX_TREE_DEPTH = 30  # the deepest tree Spark ML grows
+#: Regression forests whose rows would take more memory in Spark ML's own are fitted from blocks.
+FOREST_BYTES = 512 << 20
 
 
 @dataclass
@@ -226,9 +229,14 @@ class Training:
         return model
 
     def _fitted(self, o: ModelOptions, rows: DataFrame) -> FittedModel:
-        # Only the penalty of linear models needs the number of rows.
-        n = rows.count() if o.kind in ("logistic", "linear") else 0
-        pipeline = Pipeline(stages=[_estimator(o, n, self.label)]).fit(rows)
+        # The penalty of linear models needs the number of rows, and so does the choice of the forest's way.
+        forest = o.kind == "forest" and o.task == REGRESSION and 1 <= o.max_depth <= MOST_DEPTH
+        n = rows.count() if forest or o.kind in ("logistic", "linear") else 0
+        estimator = _estimator(o, n, self.label)
+        if forest and in_memory_bytes(n, len(self.features), o.trees) > FOREST_BYTES:
+            pipeline = PipelineModel([fit_forest(rows, estimator, n)])
+        else:
+            pipeline = Pipeline(stages=[estimator]).fit(rows)
         return FittedModel(self.features, self.label, o, self.imputer, self.scaler, pipeline)
 
 
