@@ -112,3 +112,20 @@ def test_labels_that_are_no_numbers_and_constant_features(spark, points, from_bl
     broken = points.withColumn("y", F.when(F.col("id") == 5, F.lit(float("nan"))).otherwise(F.col("y")))
     with pytest.raises(Exception, match="NaN"):
         m.fit_model(broken, COLUMNS, "y", options(trees=3), key="id")
+
+
+def test_a_fit_reads_its_rows_once(spark, tmp_path):
+    """Every pass of the medians over the source would call the counter again for each row."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            calls.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(500, numPartitions=2).selectExpr("id", "cast(id % 17 as double) a", "cast(id % 5 as double) y")
+    df = df.mapInArrow(counted, df.schema)
+    m.fit_model(df, ["a"], "y", options(trees=2, max_depth=1), key="id")
+    assert calls.value == 500
+    ready = m.prepare_training(df, ["a"], "y", key="id").ready
+    assert ready.columns == ["__features", "y", m.HASH, m.PART]

@@ -190,7 +190,7 @@ def best_round(losses: Sequence[float], patience: int) -> int:
 
 @dataclass
 class Training:
-    """Rows ready to fit: vector, label and two hashes of the key; written once, read by every fit."""
+    """Rows ready to fit: vector, label and two hashes of the key, if they were asked for; written once, read by every fit."""
 
     features: list[str]
     label: str
@@ -246,22 +246,26 @@ HASH, PART = "__hash", "__part"
 
 def prepare_training(
     train: DataFrame, features: Sequence[str], label: str, *, key: str | None = None, seed: int = 42,
-    imputer: Imputer | None = None, scaler: Scaler | None = None,
+    imputer: Imputer | None = None, scaler: Scaler | None = None, hashed: bool = True,
 ) -> Training:
     """Medians, means and deviations of the training rows, and their vectors, written to the shared folder.
 
     Spark ML keeps what its iterations need by itself, so nothing is cached here
-    and a lost executor costs a read. ``key`` decides a row's hash, else its features do.
+    and a lost executor costs a read. ``key`` decides a row's hash, else its features do;
+    ``hashed=False`` leaves the hashes out, which only boosting and samples read.
+    Rows that the medians are still wanted of are written before: those take many passes.
     """
     names = list(features)
+    if imputer is None:
+        train = durable(train.select(*[quoted(c) for c in dict.fromkeys([*names, label, *([key] if key else [])])]), "train")
     known = train.where(quoted(label).isNotNull())
     imputer = imputer or Imputer.fit(train, names)
     filled = imputer.transform(train)
     scaler = scaler or Scaler.fit(filled, names)
     pick = [quoted(key)] if key else [quoted(c) for c in names]
-    hashed = known.withColumns({HASH: hash_fraction(seed, *pick), PART: hash_fraction(seed + 1, *pick)})
-    ready = _with_vector(scaler.transform(imputer.transform(hashed)), names)
-    ready = ready.select("__features", quoted(label).cast("double").alias(label), HASH, PART)
+    hashes = {HASH: hash_fraction(seed, *pick), PART: hash_fraction(seed + 1, *pick)} if hashed else {}
+    ready = _with_vector(scaler.transform(imputer.transform(known.withColumns(hashes))), names)
+    ready = ready.select("__features", quoted(label).cast("double").alias(label), *hashes)
     return Training(names, label, imputer, scaler, durable(ready, "training"))
 
 
@@ -270,7 +274,7 @@ def fit_model(
 ) -> FittedModel:
     """Impute medians, scale, and fit on the training rows; rows without a label only help to impute and scale."""
     o = options or ModelOptions()
-    return prepare_training(train, features, label, key=key, seed=o.seed).fit(o)
+    return prepare_training(train, features, label, key=key, seed=o.seed, hashed=o.kind == "boosted").fit(o)
 
 
 def evaluate(model: FittedModel, test: DataFrame) -> dict[str, float]:
