@@ -1,6 +1,7 @@
 import functools
 import gzip
 import hashlib
+import io
 import os
 import random
 from pathlib import Path
@@ -168,6 +169,46 @@ def test_broken_files_are_named(spark, damaged):
     assert "Parquet" in found["facts/half.parquet"]["reason"]
 
 
+@pytest.mark.parametrize(("schemes", "whole", "longest"), [(("file",), 64 << 20, 13), ((), 64 << 20, 2**31 - 1), ((), 13, 13)])
+def test_no_whole_contents_of_long_files_are_read(spark, damaged, monkeypatch, schemes, whole, longest):
+    """By tasks; on other stores by Spark, short ones whole and long ones by its readers. ``longest`` stands for Spark's 2 GiB."""
+    (Path(damaged) / "facts" / "odd [1] {a,b}*+%.parquet").write_bytes(b"nothing at all")
+    monkeypatch.setattr(accounts, "OPENED", schemes)
+    monkeypatch.setattr(accounts, "WHOLE_BYTES", whole)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", longest)
+    try:
+        found = {r["relative_path"]: r for r in accounts.account_files(spark, damaged).collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    status = {n: r["status"] for n, r in found.items() if "part-" not in n}
+    assert status == {
+        "facts/bad one.parquet": "unreadable", "facts/odd [1] {a,b}*+%.parquet": "unreadable", "facts/half.parquet": "unreadable",
+        "facts/spoilt.parquet": "cut short", "notes.csv": "read", "head.csv": "empty", "cut.csv.gz": "unreadable",
+    }
+    parts = [found[n] for n in found if "part-" in n]
+    assert sorted(r["status"] for r in parts) == ["empty", "read", "read"] and sum(r["rows"] for r in parts) == 40
+    assert {n for n, r in found.items() if r["reason"]} == {n for n, s in status.items() if s == "unreadable"}
+
+
+def test_only_files_without_rows_are_opened(spark, damaged, monkeypatch):
+    seen = []
+    monkeypatch.setattr(accounts, "OPENED", ())
+    monkeypatch.setattr(accounts, "_read_by_spark", lambda s, files, read=accounts._read_by_spark: seen.extend(files) or read(s, files))
+    accounts.account_files(spark, damaged).collect()
+    names = {Path(r["path"]).name for r in seen}
+    assert {n for n in names if "part-" not in n} == {"bad one.parquet", "half.parquet", "spoilt.parquet", "head.csv", "cut.csv.gz"}
+    assert [Path(r["path"]).parent.name for r in seen if "part-" in r["path"]] == ["none"]
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1 << 20])
+def test_ends_of_zipped_text_are_found_in_pieces(monkeypatch, chunk):
+    monkeypatch.setattr(accounts, "CHUNK", chunk)
+    for text in (b"", b"k,v\n", b"1,x\n" * 5_000, random.Random(3).randbytes(2_000)):
+        data = gzip.compress(text)
+        assert not accounts._ends_early(io.BytesIO(data))
+        assert all(accounts._ends_early(io.BytesIO(data[:n])) for n in (0, 2, len(data) // 2, len(data) - 8, len(data) - 1))
+
+
 def test_reading_a_damaged_folder_warns_and_keeps_the_rest(spark, damaged):
     with pytest.warns(UserWarning) as told:
         tables, report = accounts.read_folder_checked(spark, damaged, schemas={"cut": t.T.StructType.fromDDL("k int, v string")})

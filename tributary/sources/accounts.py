@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-import io
+import re
 import warnings
 import zlib
 from collections.abc import Iterable, Iterator
+from contextlib import closing
+from functools import partial
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import orc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tributary.functions.columns import quoted
-from tributary.sources.ranges import all_blocks, map_blocks
+from tributary.session import durable, in_parallel
+from tributary.sources.ranges import all_blocks, map_blocks, opened
 from tributary.sources.tables import FORMATS, discover_tables, file_format, read_folder, read_table, union_rows
 
 #: Formats whose files end in their own row counts.
@@ -26,6 +29,12 @@ SAMPLE_BYTES, SAMPLE_BLOCK = 1_000_000, 16_384
 ERRORS = 3
 #: Broken files that one warning each is given for; all of them are in the accounts.
 WARNED = 100
+#: Schemes of files that a task opens by itself to see what is wrong with them; Spark reads the others, with the session's rights.
+OPENED = ("file",)
+#: Bytes up to which Spark hands the contents of such a file to a task; longer ones are judged by its readers, so many at a time.
+WHOLE_BYTES, AT_ONCE = 64 << 20, 8
+#: Bytes of compressed text in and out at a time.
+CHUNK = 1 << 20
 
 READ, EMPTY, CUT, BROKEN = "read", "empty", "cut short", "unreadable"
 
@@ -33,8 +42,11 @@ READ, EMPTY, CUT, BROKEN = "read", "empty", "cut short", "unreadable"
 def _known_files(spark: SparkSession, root: str) -> DataFrame:
     """Files of known formats, with ``fmt`` and whether they are compressed."""
     files = discover_tables(spark, root).withColumn("fmt", file_format(F.col("path")))
-    plain = F.lower("path").rlike(r"\.(" + "|".join(FORMATS) + r")$")
-    return files.where(F.col("fmt") != "").withColumn("packed", ~plain)
+    return files.where(F.col("fmt") != "").withColumn("packed", _packed())
+
+
+def _packed() -> Column:
+    return ~F.lower("path").rlike(r"\.(" + "|".join(FORMATS) + r")$")
 
 
 def _paths(root: str, own: DataFrame) -> list[str]:
@@ -45,43 +57,102 @@ def _paths(root: str, own: DataFrame) -> list[str]:
     return loose + ([f"{root.rstrip('/')}/{table['table']}"] if table else [])
 
 
-def _path() -> Column:
-    """The file of a row as listings write it; the metadata column escapes signs."""
-    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path")
+def _per_file(df: DataFrame, value: Column) -> DataFrame:
+    """``path`` as listings write it, and an aggregate of each file's rows; the metadata column escapes signs."""
+    found = df.groupBy(F.col("_metadata.file_path").alias("escaped")).agg(value)
+    path = F.url_decode(F.replace("escaped", F.lit("+"), F.lit("%2B")))
+    return found.select(path.alias("path"), *found.columns[1:])
+
+
+def _ends_early(file: pa.NativeFile) -> bool:
+    """Whether gzipped data have no end; neither they nor what they unpack to are held whole."""
+    unpacking = zlib.decompressobj(31)
+    while not unpacking.eof:
+        data = unpacking.unconsumed_tail or file.read(CHUNK)
+        if not unpacking.decompress(data, CHUNK) and not data and not unpacking.eof:
+            return True
+    return False
 
 
-def _trouble(fmt: str, packed: bool, data: bytes) -> str | None:
-    """Why a file without rows can't be read, or None if it just holds none."""
+def _trouble(fmt: str, packed: bool, file: pa.NativeFile) -> str | None:
+    """Why a file without rows can't be read, or None if it just holds none; of Parquet and ORC only the end is read."""
     try:
         if fmt == "parquet":
-            pq.ParquetFile(io.BytesIO(data))
+            pq.ParquetFile(file)
         elif fmt == "orc":
-            orc.ORCFile(io.BytesIO(data))
-        elif packed and data[:2] == b"\x1f\x8b":
-            unpacking = zlib.decompressobj(31)
-            unpacking.decompress(data)
-            return None if unpacking.eof else "the compressed data end too early"
+            orc.ORCFile(file)
+        elif packed and file.read(2) == b"\x1f\x8b":
+            file.seek(0)
+            return "the compressed data end too early" if _ends_early(file) else None
     except (pa.ArrowException, OSError, zlib.error) as e:
         return f"{type(e).__name__}: {e}"[:200]
     return None
 
 
 def _explain(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with a ``reason``, for which files that are asked for are opened."""
+
+    def reason(path: str, fmt: str, packed: bool, asked: bool) -> str | None:
+        if not asked:
+            return None
+        with closing(opened(path)) as file:
+            return _trouble(fmt, packed, file)
+
+    for batch in batches:
+        columns = (batch.column(n).to_pylist() for n in ("path", "fmt", "packed", "asked"))
+        yield batch.append_column("reason", pa.array([reason(*row) for row in zip(*columns, strict=True)], pa.string()))
+
+
+def _explain_contents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns = (batch.column(n).to_pylist() for n in ("fmt", "packed", "content"))
-        reasons = [_trouble(*row) for row in zip(*columns, strict=True)]
+        content, columns = batch.column("content"), (batch.column(n).to_pylist() for n in ("fmt", "packed"))
+        files = (pa.BufferReader(content[i].as_buffer()) for i in range(len(content)))
+        reasons = [_trouble(*row) for row in zip(*columns, files, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(reasons, pa.string())], ["path", "reason"])
 
 
+def _by_name(path: str) -> str:
+    """A path whose signs are no pattern."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
+def _judged(spark: SparkSession, file: Row) -> tuple[str, str | None]:
+    """What Spark's own reader says of one file; columns of Parquet and ORC are not read."""
+    reader = spark.read.format(FORMATS[file["fmt"]]).option("ignoreCorruptFiles", "false").schema("line string")
+    try:
+        reader.load(_by_name(file["path"])).count()
+    except Exception as e:
+        return file["path"], f"{type(e).__name__}: {e}"[:200]
+    return file["path"], None
+
+
+def _read_by_spark(spark: SparkSession, silent: list[Row]) -> DataFrame:
+    """``path, reason`` of files that tasks can't open; only these files are read."""
+    parts = [spark.createDataFrame([], "path string, reason string")]
+    short = [_by_name(r["path"]) for r in silent if r["length"] <= WHOLE_BYTES]
+    if short:
+        contents = spark.read.format("binaryFile").load(short)
+        contents = contents.select("path", "content", file_format(F.col("path")).alias("fmt"), _packed().alias("packed"))
+        parts.append(contents.mapInArrow(_explain_contents, "path string, reason string"))
+    # Plain text can always be read.
+    long = [r for r in silent if r["length"] > WHOLE_BYTES and (r["packed"] or r["fmt"] in WITH_FOOTERS)]
+    if long:
+        said = in_parallel(spark, [partial(_judged, spark, r) for r in long], AT_ONCE)
+        parts.append(spark.createDataFrame(said, "path string, reason string"))
+    return union_rows(*parts)
+
+
 def account_files(spark: SparkSession, root: str, *, schemas: dict[str, T.StructType] | None = None, decode: bool = True) -> DataFrame:
     """``table, relative_path, length, rows, stored, status, reason`` of every file of a known format.
 
     ``rows`` are those that reading all columns gives (with ``decode``, else
     those of the footer), ``stored`` those that the file's footer names, null
     for text. Files that give fewer rows than they store are ``cut short``;
-    files that give none are read once more to tell ``empty`` from
-    ``unreadable``, and ``reason`` says what is wrong. A broken file is reported
-    here, while reading with ``skip_corrupt`` leaves its rows out unseen.
+    files that give none, and no others, are opened once more to tell ``empty``
+    from ``unreadable``, and ``reason`` says what is wrong. A broken file is
+    reported here, while reading with ``skip_corrupt`` leaves its rows out
+    unseen. Of files on other stores than ``OPENED`` the counts are taken at
+    once, as Spark must be told which to read again.
     """
     files = _known_files(spark, root)
     kinds = files.select("table", "fmt").distinct().orderBy("table", "fmt").collect()
@@ -100,9 +171,9 @@ def account_files(spark: SparkSession, root: str, *, schemas: dict[str, T.Struct
         if decode and df.columns:
             # A digest of all columns, or none would be read for a count.
             every = F.when(F.bit_xor(F.xxhash64(*[quoted(c) for c in df.columns])).isNotNull(), every)
-        found = df.groupBy(_path()).agg(every.alias("rows"))
+        found = _per_file(df, every.alias("rows"))
         if kind["fmt"] in WITH_FOOTERS:
-            footers = df.groupBy(_path()).agg(F.count(F.lit(1)).alias("stored"))
+            footers = _per_file(df, F.count(F.lit(1)).alias("stored"))
             found = footers.join(found, "path", "left")
         else:
             found = found.withColumn("stored", stored)
@@ -110,10 +181,19 @@ def account_files(spark: SparkSession, root: str, *, schemas: dict[str, T.Struct
     if not parts:
         parts = [spark.createDataFrame([], "path string, rows long, stored long, failed string")]
     seen = files.join(union_rows(*parts), "path", "left").withColumn("rows", F.coalesce("rows", F.lit(0).cast("long")))
-    silent = seen.where((F.col("rows") == 0) & (F.col("length") > 0)).select("path", "fmt", "packed")
-    contents = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
-    reasons = contents.join(silent, "path").mapInArrow(_explain, "path string, reason string")
-    seen = seen.join(reasons, "path", "left").withColumn("reason", F.coalesce("reason", "failed"))
+    silent = (F.col("rows") == 0) & (F.col("length") > 0)
+    near = F.regexp_extract("path", "^([A-Za-z0-9]+):", 1).isin(*OPENED)
+    far = not files.where(~near).isEmpty()
+    if far:
+        seen = durable(seen, "accounts")
+    # As many tasks as other shuffles have, which small rows alone would not get.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = seen.drop("modificationTime").withColumn("asked", silent & near).repartition(tasks, "path")
+    explained = asked.mapInArrow(_explain, T.StructType([*asked.schema, T.StructField("reason", T.StringType())]))
+    if far:
+        said = _read_by_spark(spark, seen.where(silent & ~near).select("path", "fmt", "packed", "length").collect())
+        explained = explained.join(said.withColumnRenamed("reason", "said"), "path", "left").withColumn("reason", F.coalesce("reason", "said"))
+    seen = explained.withColumn("reason", F.coalesce("reason", "failed"))
     status = (
         F.when(F.col("reason").isNotNull(), BROKEN)
         .when(F.col("rows") < F.col("stored"), CUT)

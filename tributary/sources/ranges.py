@@ -25,7 +25,8 @@ def all_blocks(files: DataFrame, block_bytes: int) -> DataFrame:
     return starts.select("path", F.sequence("first", F.least(F.col("first") + AT_ONCE - 1, "last")).alias("blocks"))
 
 
-def _opened(path: str) -> pa.NativeFile:
+def opened(path: str) -> pa.NativeFile:
+    """A file of one of ``SCHEMES``, of which only what is asked for is read."""
     scheme, rest = path.split(":", 1)
     rest = rest.lstrip("/")
     if SCHEMES[scheme] == "file":
@@ -50,7 +51,7 @@ def map_blocks(
     def from_files(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                with closing(_opened(row["path"])) as f:
+                with closing(opened(row["path"])) as f:
                     yield table([(row["path"], b, *use(f.read_at(block_bytes, b * block_bytes))) for b in row["blocks"]])
 
     def from_contents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
