@@ -36,6 +36,11 @@ def test_kth_value_of_large_whole_numbers(spark):
     assert q.kth_values(df, [("x", 0), ("x", 49)]) == [big, big + 49]
 
 
+def test_decimals_alone(spark):
+    df = spark.range(40).selectExpr("CAST(id / 4 AS DECIMAL(20, 2)) AS d")
+    assert q.kth_values(df, [("d", 0), ("d", 7), ("d", 39)]) == [0.0, 1.75, 9.75]
+
+
 def test_no_values(spark):
     df = spark.createDataFrame([(None,)], "x double")
     assert q.exact_quantiles(df, ["x"], [0.5]) == {"x": [None]}

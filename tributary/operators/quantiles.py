@@ -154,7 +154,9 @@ def _finish(df: DataFrame, targets: list[_Target]) -> None:
     for t in targets:
         groups.setdefault((t.column, t.low, t.high), []).append(t)
     lead = [members[0] for members in groups.values()]
-    same_type = len({df.schema[t.column].dataType.simpleString() for t in lead}) == 1
+    types = {df.schema[t.column].dataType.simpleString() for t in lead}
+    # Decimals would come as objects; sketches give doubles for them too.
+    same_type = len(types) == 1 and not min(types).startswith("decimal")
     value = lambda t: quoted(t.column) if same_type else quoted(t.column).cast("double")
     picks = F.array(*[
         F.when(t.in_play(), F.struct(F.lit(i).alias("g"), value(t).alias("v"))) for i, t in enumerate(lead)
